@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from tokenloom.llm.decontaminate import OP6_SQL, op6_decontamination
 from tokenloom.llm.quality import OP5_SQL, op5_quality_rules
+from tokenloom.llm.secrets import op8_secret_scan
 from tokenloom.llm.sharding import OP9_SQL, op9_sharding
 
 
 def queries() -> dict:
     return {
         "op5_quality_rules": op5_quality_rules,
+        "op6_decontamination": op6_decontamination,
+        "op8_secret_scan": op8_secret_scan,
         "op9_sharding": op9_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op9_sharding": OP9_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_sharding": OP9_SQL}
