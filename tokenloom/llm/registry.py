@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from tokenloom.llm.chunks import op3_chunk_dedup
 from tokenloom.llm.decontaminate import OP6_SQL, op6_decontamination
+from tokenloom.llm.langid import op10_language_id
 from tokenloom.llm.quality import OP5_SQL, op5_quality_rules
 from tokenloom.llm.secrets import op8_secret_scan
 from tokenloom.llm.sharding import OP9_SQL, op9_sharding
 from tokenloom.llm.simhash import op7_simhash_golay
+from tokenloom.llm.suffixes import op4_suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op3_chunk_dedup": op3_chunk_dedup,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_decontamination": op6_decontamination,
         "op7_simhash_golay": op7_simhash_golay,
         "op8_secret_scan": op8_secret_scan,
         "op9_sharding": op9_sharding,
+        "op10_language_id": op10_language_id,
     }
 
 
