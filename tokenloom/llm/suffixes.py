@@ -37,7 +37,9 @@ from tokenloom.llm.common import read, use_checkpoints
 
 WIDTH, GRAM = 100, 24
 #: Batches a whole table is inserted in, and members of a minimizer that one task compares.
-BATCHES, GROUP = 4, 500
+BATCHES, GROUP = 2, 500
+#: Bits of the filter that holds the ids of documents with findings: a fixed size, whatever the table's.
+FILTER_BITS = 1 << 22
 _PIECE = 1 << 20
 _MIX, _BASE = np.uint64(0xBF58476D1CE4E5B9), 0x9E3779B97F4A7C15
 
@@ -113,9 +115,35 @@ def _entry_rows(width: int, gram: int) -> Callable:
     return run
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """_key, _mark (tells rows with the same id apart) and _text."""
-    return docs.select(F.col(f"`{key}`").alias("_key"), F.hash(f"`{text}`").alias("_mark"), F.col(f"`{text}`").alias("_text"))
+def mark_of(docs: DataFrame, key: str, text: str) -> Column:
+    """Tells rows with the same id apart: a hash of their text, or a constant where no id occurs twice."""
+    repeated = docs.groupBy(f"`{key}`").count().filter("count > 1").limit(1).count()
+    return F.hash(f"`{text}`") if repeated else F.lit(0)
+
+
+def filled(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter of keys (columns _key, _mark), built by the tasks; the driver gets its words."""
+    spots = F.explode(F.array(*(F.pmod(F.xxhash64("_key", "_mark", F.lit(i)), F.lit(bits)) for i in range(2))))
+    words = keys.select("_key", "_mark").distinct().select(spots.alias("s")).groupBy(F.floor(F.col("s") / 32).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(32)).cast("int"))).alias("b"))
+    out = np.zeros(bits // 32, dtype=np.uint32)
+    for w, b in words.collect():  # at most bits / 32 rows
+        out[w] = b
+    return out
+
+
+def may_hold(words: np.ndarray) -> Column:
+    """Whether the filter may hold the row's _key and _mark: never wrong when it says no."""
+    bits = 32 * len(words)
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for spots in batches:
+            inside = np.ones(len(spots[0]), dtype=bool)
+            for s in spots:
+                at = s.to_numpy()
+                inside &= words[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1
+            yield pd.Series(inside)
+
+    return F.pandas_udf(run, "boolean")(*(F.pmod(F.xxhash64("_key", "_mark", F.lit(i)), F.lit(bits)) for i in range(2)))
 
 
 def entries(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -158,7 +186,9 @@ class Family:
         for level in levels:
             over = Window.partitionBy("gram")
             scanned = merge_scan(open_, level).withColumns({"shared": F.count(F.when(F.col("nth") == 1, 1)).over(over) > 1, "fresh": F.max(F.when(F.col("nth") == 1, F.col("age"))).over(over) == _NEW})
-            scanned = store(scanned.filter((F.col("age") == _NEW) | (F.col("shared") & F.col("fresh"))))
+            matched = (F.col("age") == _NEW) & (F.col("nth") > 1) | F.col("shared") & F.col("fresh")
+            final = last and level is levels[-1]
+            scanned = store(scanned.filter(matched if final else matched | (F.col("age") == _NEW)))
             self.whole.append(scanned.filter((F.col("age") == _NEW) & (F.col("nth") > 1)).select(*_PLACE, "n"))
             self.partial.append(scanned.filter((F.col("nth") == 1) & F.col("shared")).select("gram", *_PLACE, "n"))
             open_ = scanned.filter((F.col("age") == _NEW) & (F.col("nth") == 1)).select(new.columns)
@@ -176,7 +206,7 @@ def _fetch(width: int) -> Callable:
         for batch in batches:
             rows, size = [], 0
             for key, mark, text, places in zip(batch["_key"], batch["_mark"], batch["_text"], batch["places"], strict=True):
-                raw = text.encode()
+                raw = (text or "").encode()
                 for p in places:
                     rows.append((p["gram"], key, mark, p["lo"], raw[p["lo"] : p["lo"] + p["n"] + width - 1]))
                     size += p["n"] + width
@@ -231,10 +261,12 @@ def resolve(rows: DataFrame, partial: DataFrame, width: int = WIDTH, most: int =
     """Byte spans (_key, _mark, start, end) of the windows in partial matches that also start earlier."""
     kind = dict(rows.dtypes)["_key"]
     places = partial.distinct().groupBy("_key", "_mark").agg(F.collect_list(F.struct("gram", "lo", "n")).alias("places"))
-    joined = rows.dropDuplicates(["_key", "_mark"]).join(places, rows["_key"].eqNullSafe(places["_key"]) & (rows["_mark"] == places["_mark"]))
-    fetched = store(joined.select(rows["_key"], rows["_mark"], "_text", "places").mapInPandas(_fetch(width), f"gram int, _key {kind}, _mark int, lo int, bytes binary"))
+    places = store(places)
+    few = rows.filter(may_hold(filled(places)))
+    joined = few.join(places.withColumnsRenamed({"_key": "_k", "_mark": "_m"}), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m")))
+    fetched = store(joined.select("_key", "_mark", "_text", "places").mapInPandas(_fetch(width), f"gram int, _key {kind}, _mark int, lo int, bytes binary"))
     large = fetched.groupBy("gram").count().filter(F.col("count") > most).select("gram")
-    members = F.array_sort(F.collect_list(F.struct("_key", "_mark", "lo", "bytes"))).alias("members")
+    members = F.sort_array(F.collect_set(F.struct("_key", "_mark", "lo", "bytes"))).alias("members")
     small = fetched.join(large, "gram", "left_anti").groupBy("gram").agg(members).select("members")
     spans = f"_key {kind}, _mark int, start int, end int"
     compared = small.mapInPandas(_compare(width), spans)
@@ -260,9 +292,8 @@ def _batches(rows: DataFrame, n: int) -> list[DataFrame]:
     return out
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
-    """Byte spans (_key, _mark, start, end) to remove; they may overlap."""
-    rows = keyed(docs, key, text)
+def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
+    """Byte spans (_key, _mark, start, end) to remove from rows of _key, _mark and _text; they may overlap."""
     family = Family()
     parts = _batches(rows, batches)
     for i, part in enumerate(parts):
@@ -290,13 +321,19 @@ def _cut_out(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
-    """The documents with a column _cut: kept (the bytes left) and runs (maximal removed spans of bytes)."""
-    spans = repeated_spans(docs, key, text, width, gram, batches, group)
-    spans = spans.groupBy("_key", "_mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    marked = docs.withColumn("_hash", F.hash(f"`{text}`"))
-    joined = marked.join(spans, marked[key].eqNullSafe(spans["_key"]) & (F.col("_hash") == F.col("_mark")), "left")
+    """The documents with a column _cut: kept (the bytes left) and runs (maximal removed spans of bytes).
+
+    Documents without a finding, as the filter tells, are not shuffled.
+    """
+    marked = docs.withColumns({"_key": F.col(f"`{key}`"), "_mark": mark_of(docs, key, text)})
+    spans = repeated_spans(marked.select("_key", "_mark", F.col(f"`{text}`").alias("_text")), width, gram, batches, group)
+    spans = store(spans.groupBy("_key", "_mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans")))
+    tested = marked.withColumn("_maybe", may_hold(filled(spans)))
+    spans = spans.withColumnsRenamed({"_key": "_k", "_mark": "_m"})
+    found = tested.filter("_maybe").join(spans, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m")), "left").drop("_k", "_m")
+    rest = tested.filter(~F.col("_maybe")).withColumn("_spans", F.lit(None).cast("array<struct<start:int,end:int>>"))
     cut_out: Column = F.pandas_udf(_cut_out, "kept binary, runs array<struct<start:int,end:int>>")(F.col(f"`{text}`"), F.col("_spans"))
-    return joined.withColumn("_cut", cut_out).drop("_hash", "_key", "_mark", "_spans")
+    return found.unionByName(rest).withColumn("_cut", cut_out).drop("_key", "_mark", "_maybe", "_spans")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
