@@ -5,6 +5,7 @@ from __future__ import annotations
 from tokenloom.llm.chunks import op3_chunk_dedup
 from tokenloom.llm.decontaminate import OP6_SQL, op6_decontamination
 from tokenloom.llm.langid import op10_language_id
+from tokenloom.llm.licenses import op2_license_scan
 from tokenloom.llm.pieces import op1_sentencepiece
 from tokenloom.llm.quality import OP5_SQL, op5_quality_rules
 from tokenloom.llm.secrets import op8_secret_scan
@@ -16,6 +17,7 @@ from tokenloom.llm.suffixes import op4_suffix_dedup
 def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_license_scan": op2_license_scan,
         "op3_chunk_dedup": op3_chunk_dedup,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality_rules": op5_quality_rules,
