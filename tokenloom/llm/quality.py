@@ -79,17 +79,19 @@ def _repeats_neighbour(windows: Column) -> Callable[[Column, Column], Column]:
     return lambda x, j: F.get(windows, j + 1)["h"].eqNullSafe(x["h"]) | before(j).eqNullSafe(x["h"])
 
 
-def features(docs: DataFrame, text: str = "text", names: tuple[str, ...] | None = None) -> DataFrame:
+def features(docs: DataFrame, text: str = "text", names: tuple[str, ...] | None = None, helpers: bool = False) -> DataFrame:
     """Add the named features (all by default), as bigint columns named PREFIX + name.
 
     A word lies in a repeated passage if one of the WINDOW-word windows that hold it occurs twice or more in
     the text. Windows are compared by 64-bit hashes: sorted with their starts, equal ones become neighbours,
-    and the union of their spans follows from the gaps between the sorted starts.
+    and the union of their spans follows from the gaps between the sorted starts. Features that docs have
+    already are not computed again; with `helpers` the words and lines stay for features to come.
     """
-    wanted = set(names or COSTS)
+    wanted = {n for n in names or COSTS if PREFIX + n not in docs.columns}
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     empty = lambda kind: F.array().cast(f"array<{kind}>")
-    out = docs.withColumns({PREFIX + "words": words_of(whole), PREFIX + "lines": _lines(whole)})
+    made = {"words": words_of(whole), "lines": _lines(whole)}
+    out = docs.withColumns({PREFIX + k: v for k, v in made.items() if PREFIX + k not in docs.columns})
     simple = {
         "n_words": F.size(_f("words")),
         "word_chars": F.length(F.translate(whole, " \t\n\x0b\x0c\r", "")),
@@ -100,7 +102,7 @@ def features(docs: DataFrame, text: str = "text", names: tuple[str, ...] | None
         "longest_word": F.coalesce(F.array_max(F.transform(_f("words"), F.length)), F.lit(0)),
     }
     out = out.withColumns({PREFIX + k: v.cast("long") for k, v in simple.items() if k in wanted})
-    helpers = ["words", "lines"]
+    spent = [] if helpers else ["words", "lines"]
     if "n_repeat_words" in wanted:
         out = out.withColumn(PREFIX + "hashes", F.transform(_f("words"), lambda w: F.xxhash64(w)))
         n = F.size(_f("hashes"))
@@ -112,8 +114,8 @@ def features(docs: DataFrame, text: str = "text", names: tuple[str, ...] | None
         out = out.withColumn(PREFIX + "starts", F.sort_array(F.transform(F.filter(_f("sorted"), _repeats_neighbour(_f("sorted"))), lambda x: x["i"])))
         gaps = F.transform(_f("starts"), lambda s, j: F.least(F.lit(WINDOW), F.coalesce(F.get(_f("starts"), j + 1) - s, F.lit(WINDOW))).cast("long"))
         out = out.withColumn(PREFIX + "n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda total, x: total + x))
-        helpers += ["hashes", "windows", "sorted", "starts"]
-    return out.drop(*(PREFIX + h for h in helpers))
+        spent += ["hashes", "windows", "sorted", "starts"]
+    return out.drop(*(PREFIX + h for h in spent))
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -121,12 +123,14 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sa
     if not rules:
         return []
     needed = tuple({n for r in rules for n in r.needs})
-    sample = features(docs.select(F.col(f"`{text}`").alias("text")).sample(fraction=0.2, seed=11).limit(sample_rows), "text", needed)
-    shares = [F.avg(F.coalesce(r.rejects(_f), F.lit(False)).cast("double")).alias(f"r{i}") for i, r in enumerate(rules)]
-    seen = sample.agg(F.avg(F.length(F.coalesce("text", F.lit("")))).alias("chars"), *shares).first()
-    chars = seen["chars"] or 1.0
+    some = docs.select(F.col(f"`{text}`").alias("text")).sample(fraction=0.2, seed=11)
+    shown = [F.coalesce(r.rejects(_f), F.lit(False)).cast("int") for r in rules]
+    # takes as few partitions as hold that many rows, and a few numbers of each row
+    seen = features(some, "text", needed).select(F.coalesce(F.length("text"), F.lit(0)), *shown).limit(sample_rows).collect()
+    chars = sum(x[0] for x in seen) / max(1, len(seen)) or 1.0
+    share = [sum(x[i + 1] for x in seen) / max(1, len(seen)) for i in range(len(rules))]
     cost = {r.name: sum(COSTS[n](chars, chars / 6) for n in r.needs) for r in rules}
-    return [r for _, r in sorted(enumerate(rules), key=lambda x: (-(seen[f"r{x[0]}"] or 0.0) / cost[x[1].name], cost[x[1].name], x[1].name))]
+    return [r for _, r in sorted(enumerate(rules), key=lambda x: (-share[x[0]] / cost[x[1].name], cost[x[1].name], x[1].name))]
 
 
 def first_rejection(rules: list[Rule]) -> Column:
@@ -146,10 +150,17 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = MORE, s
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = MORE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents that no rule rejects, with their own columns only. Dear features come last in the cascade."""
-    ordered = order_rules(docs, rules + BASE, text, sample_rows)
-    needed = tuple({n for r in ordered for n in r.needs})
-    return features(docs, text, needed).filter(first_rejection(ordered).isNull()).select(*(f"`{c}`" for c in docs.columns))
+    """The documents that no rule rejects, with their own columns only.
+
+    Rule after rule computes what it needs for the documents that are left. The row number in the condition is
+    always true; it keeps the optimizer from moving a filter below the features, which would compute them anew
+    at each mention.
+    """
+    out = docs
+    for rule in order_rules(docs, rules + BASE, text, sample_rows):
+        out = features(out, text, rule.needs, helpers=True).withColumn(PREFIX + "row", F.monotonically_increasing_id())
+        out = out.filter((_f("row") >= 0) & ~F.coalesce(rule.rejects(_f), F.lit(False))).drop(PREFIX + "row")
+    return out.select(*(f"`{c}`" for c in docs.columns))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
