@@ -1,9 +1,13 @@
 """Registered queries over the columnar tables and the SQL each is held against."""
 
+from __future__ import annotations
+
+from tokenloom.plans.queries import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
