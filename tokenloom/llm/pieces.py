@@ -39,7 +39,7 @@ MARK = "▁"
 #: Longest unit that the column-wise fold takes (its boundaries are the bits of a number); others go through a heap.
 LONGEST = 48
 #: Text whose distinct units a task encodes at once, and encoded units that a task remembers.
-BATCH_CHARS, REMEMBERED = 6_000_000, 300_000
+BATCH_CHARS, REMEMBERED = 1_000_000, 60_000
 
 
 @dataclass
@@ -256,16 +256,6 @@ def decoder(vocabulary: Vocabulary) -> Column:
     return F.pandas_udf(run, "string")
 
 
-def digest(ids: Column) -> Column:
-    """SHA-256 of ids as four little-endian bytes each."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([None if x is None else hashlib.sha256(np.asarray(x, dtype="<i4").tobytes()).hexdigest() for x in batch], dtype=object)
-
-    return F.pandas_udf(run, "string")(ids)
-
-
 def viterbi_words(words: DataFrame, pieces: DataFrame, word: str = "word", longest: int = 16) -> DataFrame:
     """Best paths of distinct words under a unigram model; pieces has piece, id and score.
 
@@ -296,11 +286,36 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", to:
     return docs.withColumn(to, decoder(vocabulary)(F.col(f"`{pieces}`")))
 
 
+def coded(vocabulary: Vocabulary) -> Column:
+    """A function of a text column: number and digest of its pieces, and whether decoding them gives the text.
+
+    Encodes, decodes and digests some documents at a time in one pass, so that pieces needn't leave the task.
+    """
+    table = piece_bytes(vocabulary)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encode = Encoder(vocabulary)
+
+        def rows(texts: list[str | None]) -> list[tuple]:
+            found = zip(texts, encode.encode(texts), strict=True)
+            return [(None, None, True) if x is None else (len(x), hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), decode_ids(x, table) == t) for t, x in found]
+
+        for batch in batches:
+            out, held, size = [], [], 0
+            for t in batch:
+                held.append(t)
+                size += len(t or "")
+                if size >= BATCH_CHARS:
+                    out += rows(held)
+                    held, size = [], 0
+            yield pd.DataFrame(out + rows(held), columns=["n_pieces", "pieces_sha256", "round_trip"]).astype({"n_pieces": "Int64", "round_trip": bool})
+
+    return F.pandas_udf(run, "n_pieces long, pieces_sha256 string, round_trip boolean")
+
+
 def encoded_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, number and digest of the pieces, and whether decoding them gives the text."""
-    vocabulary = Vocabulary.load(path)
-    coded = decode(encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
-    return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), digest(F.col("pieces")).alias("pieces_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    """doc_id, number and digest of the pieces (ids as four little-endian bytes), and whether decoding gives the text."""
+    return docs.select("doc_id", coded(Vocabulary.load(path))(F.col("text")).alias("_coded")).select("doc_id", "_coded.*")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
