@@ -66,7 +66,7 @@ def chunk(text: str | None) -> list[tuple[int, int, bytes]]:
     """(start, length, digest) of a text's chunks, in UTF-8 bytes."""
     raw = (text or "").encode()
     ends = cuts(np.frombuffer(raw, dtype=np.uint8)).tolist()
-    return [(s, e - s, xxhash.xxh3_128_digest(raw[s:e])) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+    return [(s, e - s, xxhash.xxh3_128_digest(raw[s:e])) for s, e in zip([0, *ends][:-1], ends, strict=True)]
 
 
 def _chunk_rows(least: int):
