@@ -85,7 +85,9 @@ def features(docs: DataFrame, text: str = "text", names: tuple[str, ...] | None
     A word lies in a repeated passage if one of the WINDOW-word windows that hold it occurs twice or more in
     the text. Windows are compared by 64-bit hashes: sorted with their starts, equal ones become neighbours,
     and the union of their spans follows from the gaps between the sorted starts. Features that docs have
-    already are not computed again; with `helpers` the words and lines stay for features to come.
+    already are not computed again; with `helpers` the words and lines stay for features to come. The row number
+    that every feature refers to is never negative; it keeps the optimizer from moving a filter on features below
+    their computation, where each mention would compute them anew.
     """
     wanted = {n for n in names or COSTS if PREFIX + n not in docs.columns}
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -115,7 +117,8 @@ def features(docs: DataFrame, text: str = "text", names: tuple[str, ...] | None
         gaps = F.transform(_f("starts"), lambda s, j: F.least(F.lit(WINDOW), F.coalesce(F.get(_f("starts"), j + 1) - s, F.lit(WINDOW))).cast("long"))
         out = out.withColumn(PREFIX + "n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda total, x: total + x))
         spent += ["hashes", "windows", "sorted", "starts"]
-    return out.drop(*(PREFIX + h for h in spent))
+    out = out.drop(*(PREFIX + h for h in spent)).withColumn(PREFIX + "row", F.monotonically_increasing_id())
+    return out.withColumns({PREFIX + n: F.when(_f("row") >= 0, _f(n)) for n in COSTS if n in wanted}).drop(PREFIX + "row")
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -152,14 +155,11 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = MORE, s
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = MORE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with their own columns only.
 
-    Rule after rule computes what it needs for the documents that are left. The row number in the condition is
-    always true; it keeps the optimizer from moving a filter below the features, which would compute them anew
-    at each mention.
+    Rule after rule computes what it needs for the documents that are left.
     """
     out = docs
     for rule in order_rules(docs, rules + BASE, text, sample_rows):
-        out = features(out, text, rule.needs, helpers=True).withColumn(PREFIX + "row", F.monotonically_increasing_id())
-        out = out.filter((_f("row") >= 0) & ~F.coalesce(rule.rejects(_f), F.lit(False))).drop(PREFIX + "row")
+        out = features(out, text, rule.needs, helpers=True).filter(~F.coalesce(rule.rejects(_f), F.lit(False)))
     return out.select(*(f"`{c}`" for c in docs.columns))
 
 
