@@ -116,11 +116,12 @@ def inherit(declared: DataFrame, path: str = "path", share: float = FILE_SHARE)
     places = declared.filter(F.col(f"`{path}`").isNotNull()).select(directory.alias("own")).distinct()
     up = places.select("own", F.explode(ancestors(F.concat("own", F.lit("/x")))).alias("a")).select("own", "a.depth", "a.directory")
     nearest = up.join(top, "directory").groupBy("own").agg(F.max(F.struct("depth", "directory", "held")).alias("near"))
-    nearest = nearest.select("own", F.col("near.held").alias("inherited"), F.col("near.directory").alias("from_directory"))
-    joined = declared.withColumn("_own", directory).join(nearest, F.col("_own") == F.col("own"), "left")
+    nearest = nearest.select(F.col("own").alias("_at"), F.col("near.held").alias("_inherited"), F.col("near.directory").alias("_from"))
+    joined = declared.withColumn("_own", directory).join(nearest, F.col("_own") == F.col("_at"), "left")
     own = F.col("_license").isNotNull()
-    how = F.when(own & (F.col("_share") >= share), "file").when(own, "header").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
-    return joined.withColumns({"license": F.coalesce("_license", "inherited"), "found_by": how, "from_directory": F.when(~own, F.col("from_directory"))}).drop("own", "_own", "inherited")
+    how = F.when(own & (F.col("_share") >= share), "file").when(own, "header").when(F.col("_inherited").isNotNull(), "inherited").otherwise("none")
+    found = {"license": F.coalesce("_license", "_inherited"), "found_by": how, "from_directory": F.when(~own, F.col("_from"))}
+    return joined.withColumns(found).drop("_own", "_at", "_inherited", "_from")
 
 
 def virtual_path(source: Column, lang: Column, doc_id: Column) -> Column:
