@@ -24,6 +24,7 @@ are one document and each gets its row. A null id comes first. Empty tables give
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,7 +38,7 @@ from tokenloom.llm.common import read, use_checkpoints
 
 WIDTH, GRAM = 100, 24
 #: Batches a whole table is inserted in, and members of a minimizer that one task compares.
-BATCHES, GROUP = 2, 500
+BATCHES, GROUP = 2, 8192
 #: Bits of the filter that holds the ids of documents with findings: a fixed size, whatever the table's.
 FILTER_BITS = 1 << 22
 _PIECE = 1 << 20
@@ -152,11 +153,18 @@ def entries(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     return rows.mapInPandas(_entry_rows(width, gram), f"gram int, seg long, _key {kind}, _mark int, lo int, n int")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that nothing refers to: Spark deletes them once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def store(df: DataFrame) -> DataFrame:
     """The rows as a written table in the checkpoint folder, which all executors share."""
     use_checkpoints(df.sparkSession)
     path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/run-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.parquet(path)
 
 
@@ -165,11 +173,14 @@ _PLACE = ("_key", "_mark", "lo")
 
 
 def merge_scan(new: DataFrame, level: DataFrame | None) -> DataFrame:
-    """New entries and a level in one order, each with age (_NEW or _OLD), nth (from 1) among equal segments."""
+    """New entries and a level in one order, each with age (_NEW or _OLD), nth (from 1) among equal segments.
+
+    Rows that are one document share their places in that order.
+    """
     both = new.withColumn("age", F.lit(_NEW))
     if level is not None:
         both = level.withColumn("age", F.lit(_OLD)).unionByName(both)
-    return both.repartition("gram").withColumn("nth", F.row_number().over(Window.partitionBy("gram", "seg").orderBy("age", *(F.col(c).asc_nulls_first() for c in _PLACE))))
+    return both.repartition("gram").withColumn("nth", F.rank().over(Window.partitionBy("gram", "seg").orderBy("age", *(F.col(c).asc_nulls_first() for c in _PLACE))))
 
 
 class Family:
