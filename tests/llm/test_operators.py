@@ -234,6 +234,15 @@ def test_chunk_dedup(spark):
     assert chunks.remove_repeated(T.empty(spark)).count() == 0
 
 
+def test_exact_copies_lose_all_their_bytes(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghij klmnop") for _ in range(n)) for n in (1, 5, 20, 31, 40, 60, 300, 3000)]
+    assert any(25 <= n < 32 for t in texts for _, n, _ in chunks.chunk(t))
+    docs = spark.createDataFrame([(100 * r + i, t) for r in (0, 1) for i, t in enumerate(texts)], "doc_id long, text string")
+    left = {r["doc_id"]: bytes(r["_kept"]) for r in chunks.remove_repeated(docs).collect()}
+    assert all(left[i] == t.encode() and left[100 + i] == b"" for i, t in enumerate(texts))
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{T.SF}/documents.parquet").unionByName(T.awkward(spark, extra=False))
     model = langid.fit(docs)

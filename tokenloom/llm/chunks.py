@@ -7,8 +7,8 @@ inside. Chunks are longer than REACH bytes (but for those at a text's ends); the
 no upper bound, as in a long run of one byte.
 
 Chunks are deduplicated by a 128-bit digest of their bytes. The first occurrence (smallest id, then place) of
-a chunk stays, later ones go. Only chunks of at least MIN_BYTES take part, so that stray short pieces
-at the ends of texts stay. First occurrences are found by partial aggregation before the shuffle; digests that
+a chunk stays, later ones go. All chunks take part: those of a cut text have REACH bytes or more, also at its
+ends, and a text of up to 2 * REACH bytes is one chunk, so an exact copy loses all its bytes. First occurrences are found by partial aggregation before the shuffle; digests that
 occur once never reach the join.
 
 Null and empty texts have no chunks. Where rows share an id, they are told apart by a hash of their text;
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import read
 
-REACH, MIN_BYTES, GEAR_WINDOW = 24, 32, 16
+REACH, MIN_BYTES, GEAR_WINDOW = 24, 1, 16
 #: The gear table: 256 fixed pseudo-random numbers.
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 
