@@ -59,6 +59,28 @@ def test_running_totals():
     assert [tuple(None if pd.isna(x) else int(x) for x in r) for r in out[["delta_i", "delta_o"]].itertuples(index=False)] == [(10, 1), (None, None), (15, 3), (None, 2), (8, 6)]
 
 
+def test_linked_sets_of_all_events(spark, duck):
+    events = duck.execute("SELECT event_id, user_id, date_trunc('hour', ts), props->>'$.k' FROM events").fetchall()
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for event, user, hour, k in events:
+        for key in (("h", user, hour), ("k", user, k)):
+            if None not in key:
+                parent[find(key)] = find(("e", event))
+    want, got = {}, {}
+    for event, *_ in events:
+        want.setdefault(find(("e", event)), set()).add(event)
+    for r in registry.queries()["linked_sets_events"](spark, SF).collect():
+        got.setdefault(r["set_id"], set()).add(r["observation"])
+    assert len(events) > 400 and sum(map(len, got.values())) == len(events)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_components_and_descendants_stand_cycles(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200)]
     edges = spark.createDataFrame(chain, "a int, b int")

@@ -145,6 +145,23 @@ def linked_sets(spark, d):
     return reconcile.linked_sets(rows, "observation", "keys")
 
 
+def linked_sets_events(spark, d):
+    """Sets over the whole events table, by the keys (user, hour) and (user, k); an event without a key is a set by itself.
+
+    Without SQL: a recursive query over all pairs takes too long at this size. A test holds it against union-find.
+    """
+    user = F.col("user_id").cast("string")
+    hour = F.concat(F.lit("h"), user, F.lit("/"), F.date_trunc("hour", "ts").cast("string"))
+    k = F.concat(F.lit("k"), user, F.lit("/"), F.get_json_object("props", "$.k"))
+    keys = F.array_compact(F.array(hour, k))
+    alone = F.array(F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    rows = read(spark, d, "events").select(F.col("event_id").alias("observation"), F.when(F.size(keys) > 0, keys).otherwise(alone).alias("keys"))
+    return reconcile.linked_sets(rows, "observation", "keys")
+
+
+QUERIES["linked_sets_events"] = linked_sets_events
+
+
 _JSON = """'["req",1,"event","' || event_id || '","' || event_type || '"]'"""
 
 
