@@ -90,6 +90,12 @@ def test_components_and_descendants_stand_cycles(spark):
     assert {(r["node"], r["depth"]) for r in graph.descendants(loop, spark.createDataFrame([("a",)], "node string")).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
 
 
+def test_descendants_of_a_chain_of_over_100_nodes(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(103)], "parent int, child int")
+    got = graph.descendants(chain, spark.createDataFrame([(0,)], "node int")).collect()
+    assert sorted((r["node"], r["depth"]) for r in got) == [(i, i) for i in range(104)]
+
+
 def test_selectors(spark):
     threads = spark.createDataFrame([("t1", "n1", "p1"), ("t2", "n2", "p2"), ("t3", "n2", "p3")], "id string, native_id string, path string")
     assert selection.resolve(threads, "p1") == "t1" and selection.resolve(threads, "n1") == "t1"

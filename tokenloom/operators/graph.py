@@ -42,14 +42,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return known.unionByName(alone.distinct().join(known, "node", "left_anti").select("node", F.col("node").alias("root")))
 
 
-def descendants(edges: DataFrame, seeds: DataFrame, parent: str = "parent", child: str = "child", most: int = 100) -> DataFrame:
+def descendants(edges: DataFrame, seeds: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
     """(node, depth) of the seeds (column node) and all that edges reach; a node met before isn't followed again."""
+    parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     reached = stored(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    front = reached
-    for depth in range(1, most + 1):
+    front, depth = reached, 0
+    while not front.isEmpty():
+        depth += 1
         step = front.join(edges, F.col("node") == F.col(parent)).select(F.col(child).alias("node")).distinct()
-        front = stored(step.join(reached, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            break
-        reached = stored(reached.unionByName(front))
+        found = step.join(reached, "node", "left_anti").withColumn("depth", F.lit(depth))
+        # however many rounds there are, the partitions don't add up
+        reached = stored(reached.unionByName(found).coalesce(parts))
+        front = reached.filter(F.col("depth") == depth)
     return reached
