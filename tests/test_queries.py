@@ -59,6 +59,25 @@ def test_running_totals():
     assert [tuple(None if pd.isna(x) else int(x) for x in r) for r in out[["delta_i", "delta_o"]].itertuples(index=False)] == [(10, 1), (None, None), (15, 3), (None, 2), (8, 6)]
 
 
+def test_grouped_counters_carry_over_batches(spark):
+    big = 2**53 + 1
+    rows = [(s, i, None if i % 3 == 2 else (i % 40) * (1 + (s or 0)), big + i if i % 2 else None) for s in (1, 2, None) for i in range(100)]
+    docs = spark.createDataFrame(rows, "s int, i int, a long, b long").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = ordered.grouped_counter_deltas(docs, "s", ["i"], ["a", "b"])
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+        got = {(r["s"], r["i"]): tuple(r)[4:] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for s in (1, 2, None):
+        counters = ordered.Counters(["a", "b"])
+        want |= {(s, r[1]): tuple(counters.step(r[2:])) for r in rows if r[0] == s}
+    assert got == want and {e for *_, e, _ in want.values()} >= {"advanced", "repeated", "reset"}
+
+
 def test_linked_sets_of_all_events(spark, duck):
     events = duck.execute("SELECT event_id, user_id, date_trunc('hour', ts), props->>'$.k' FROM events").fetchall()
     parent = {}

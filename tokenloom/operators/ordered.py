@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,32 +21,59 @@ def counter_deltas(rows: DataFrame, stream: list[str], order: list[str], counter
     return out.withColumn("epoch", F.sum("_reset").over(w)).drop("_reset")
 
 
-def running_totals(stream: pd.DataFrame, measures: list[str]) -> pd.DataFrame:
-    """deltas, event and epoch of several counters at once, some of which a row may leave out.
+class Counters:
+    """The last values and the epoch of a stream's counters, some of which a row may leave out.
 
     A measure left out keeps its last value within the epoch. If any reported one falls, all start anew.
     """
-    last: dict[str, int] = {}
-    epoch, out = 0, []
-    for row in stream[measures].itertuples(index=False):
-        now = {m: int(v) for m, v in zip(measures, row, strict=True) if not pd.isna(v)}
+
+    def __init__(self, measures: list[str]):
+        self.measures, self.last, self.epoch = measures, {}, 0
+
+    def step(self, row: tuple) -> list:
+        """The deltas of a row's measures, its event and its epoch."""
+        now = {m: int(v) for m, v in zip(self.measures, row, strict=True) if not pd.isna(v)}
         event = "advanced"
-        if any(v < last.get(m, 0) for m, v in now.items()):
-            event, epoch, last = "reset", epoch + 1, {}
-        elif last and all(last.get(m) == v for m, v in now.items()):
+        if any(v < self.last.get(m, 0) for m, v in now.items()):
+            event, self.epoch, self.last = "reset", self.epoch + 1, {}
+        elif self.last and all(self.last.get(m) == v for m, v in now.items()):
             event = "repeated"
-        deltas = {m: v - last.get(m, 0) for m, v in now.items()} if event != "repeated" else {}
-        last = last | now
-        out.append([deltas.get(m) for m in measures] + [event, epoch])
+        deltas = {m: v - self.last.get(m, 0) for m, v in now.items()} if event != "repeated" else {}
+        self.last = self.last | now
+        return [*(deltas.get(m) for m in self.measures), event, self.epoch]
+
+
+def running_totals(stream: pd.DataFrame, measures: list[str]) -> pd.DataFrame:
+    """deltas, event and epoch of several counters at once, for the ordered rows of one stream."""
+    counters = Counters(measures)
+    out = [counters.step(row) for row in stream[measures].itertuples(index=False)]
     made = pd.DataFrame(out, columns=[*(f"delta_{m}" for m in measures), "event", "epoch"], index=stream.index)
     return pd.concat([stream, made.astype({f"delta_{m}": "Int64" for m in measures})], axis=1)
 
 
 def grouped_counter_deltas(rows: DataFrame, stream: str, order: list[str], measures: list[str]) -> DataFrame:
-    """running_totals for every stream: the baseline of a counter with gaps depends on all rows before it."""
+    """running_totals for every stream: the baseline of a counter with gaps depends on all rows before it.
+
+    Spark sorts (and spills) the streams; a task reads them batch by batch and holds the counters of one stream only.
+    """
     made = [T.StructField(f"delta_{m}", T.LongType()) for m in measures]
     schema = T.StructType([*rows.schema.fields, *made, T.StructField("event", T.StringType()), T.StructField("epoch", T.IntegerType())])
-    return rows.groupBy(stream).applyInPandas(lambda x: running_totals(x.sort_values(order), measures), schema)
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = at = None
+        for batch in batches:
+            out = []
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in (stream, *measures)), strict=True):
+                if counters is None or key != at:
+                    counters, at = Counters(measures), key
+                out.append(counters.step(row))
+            made = zip(*out, strict=True) if out else [()] * (len(measures) + 2)
+            kinds = [pa.int64()] * len(measures) + [pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=names)
+
+    places = [F.col(c).asc_nulls_last() for c in (stream, *order)]
+    return rows.repartition(F.col(stream)).sortWithinPartitions(*places).mapInArrow(run, schema)
 
 
 def carry_forward(rows: DataFrame, stream: list[str], order: list[str], value: Column, to: str, inclusive: bool = False) -> DataFrame:
