@@ -88,6 +88,15 @@ def test_decontamination(spark):
     assert decontaminate.find(T.empty(spark), benchmark).count() == 0
 
 
+def test_items_without_an_id_contaminate(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "beta gamma"), (7, "alpha beta")], "item_id long, text string")
+    found = decontaminate.find(docs, items).withColumn("h", decontaminate.covered(F.col("_found.spans"))).collect()
+    assert {r["doc_id"]: (r["h"], r["_found"]["items"]) for r in found} == {1: (3, ["7"]), 2: (0, [])}
+    only = items.filter("item_id IS NULL")
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, only).collect()] == [2]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta x gamma delta"), (2, "alpha beta gamma delta"), (3, "alpha q q q q beta gamma delta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")

@@ -9,7 +9,8 @@ an exact phrase match; with a slop, a list may be off by some positions and the
 The benchmark is a stated query set: the driver reads it in blocks of bounded size and each block goes to the
 tasks as one small variable, so neither documents nor postings are ever shuffled, whatever a source or a
 passage repeats. Null texts and texts without a word have no hits. An item without a word has no window.
-Repeated items and windows count once for each item_id. Rows keep all their own columns.
+Repeated items and windows count once for each item_id; windows of items
+without an id hit like any other, but name no item. Rows keep all their own columns.
 """
 
 from __future__ import annotations
@@ -47,12 +48,12 @@ class Block:
     windows: dict[tuple[int, ...], list[str]] = field(default_factory=dict)
     chars: int = 0
 
-    def add(self, item: str, text: str | None, width: int) -> None:
+    def add(self, item: str | None, text: str | None, width: int) -> None:
         ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
         self.chars += len(text or "")
         for i in range(max(1, len(ids) - width + 1) if ids else 0):
             owners = self.windows.setdefault(tuple(ids[i : i + width]), [])
-            if not owners or owners[-1] != item:
+            if item is not None and (not owners or owners[-1] != item):
                 owners.append(item)
 
     def matrix(self, width: int) -> np.ndarray:
@@ -66,8 +67,7 @@ def blocks(benchmark: DataFrame, width: int = WINDOW, item: str = "item_id", tex
     """The query set, read item by item; the driver holds one block at a time."""
     block = Block()
     for row in benchmark.select(F.col(f"`{item}`").cast("string"), F.col(f"`{text}`")).toLocalIterator():
-        if row[0] is not None:
-            block.add(row[0], row[1], width)
+        block.add(row[0], row[1], width)
         if block.chars >= block_chars:
             yield block
             block = Block()
