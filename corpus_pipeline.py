@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that with the smallest id."""
-    return simhash.drop_near_copies(docs)
+    """Keeps one document of each group of near copies, that with the smallest id; ids may be missing or repeat."""
+    return simhash.drop_near_copies(docs, unique_keys=False)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

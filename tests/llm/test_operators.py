@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import sentencepiece
@@ -175,6 +176,16 @@ def test_simhash_of_awkward_rows(spark):
     assert simhash.group(T.empty(spark)).count() == simhash.drop_near_copies(T.empty(spark)).count() == 0
 
 
+def test_near_copies_of_rows_that_lack_or_share_an_id(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 999)}" for _ in range(60)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (5, a), (5, c), (5, d), (6, c), (6, c), (4, d)]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, T.SF).collect()), key=str)
+        assert kept == sorted([(5, a), (None, b), (5, c), (4, d)], key=str)
+
+
 def test_spanning_edges_join_what_links_join():
     rng = random.Random(5)
     base = rng.getrandbits(64)

@@ -207,21 +207,38 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def rooted(prints: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(fp, least, root) of distinct fingerprints; root is the smallest fingerprint of the component."""
+    root = components(links(prints.select("fp"), block))
+    return prints.join(root, prints["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Every row's key, fingerprint (16 hex digits) and component_id."""
     rows = cut(docs.select(F.col(f"`{key}`").alias("_key"), fingerprints(F.col(f"`{text}`")).alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min("_key").alias("least")))
-    root = components(links(prints.select("fp"), block))
-    rooted = prints.join(root, prints["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    found = rooted(prints, block)
+    named = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest key; rows that repeat its key go too, but for one."""
-    keys_kept = group(docs, key, text).filter(F.col(f"`{key}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{key}`").alias("_kept")).distinct()
-    kept = docs.join(keys_kept, F.col(f"`{key}`").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates([key])
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", unique_keys: bool = True) -> DataFrame:
+    """One row of each component: that with the smallest key (rows without one come last), then by hashes of text and row.
+
+    Only rows alike in all columns are interchangeable. Rows of other components stay, whatever keys they share or
+    lack; with unique_keys, of those that share a key only the first by the same hashes does.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn("_row_mark", F.xxhash64(*(x for c in own for x in (c.isNull(), c))))
+    place = F.struct(F.col(f"`{key}`").isNull().alias("unnamed"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("text"), F.col("_row_mark").alias("mark"))
+    rows = cut(marked.select(fingerprints(F.col(f"`{text}`")).alias("fp"), place.alias("place")))
+    prints = cut(rows.groupBy("fp").agg(F.min("place").alias("least")))
+    chosen = rooted(prints).groupBy("root").agg(F.min("least").alias("least"))
+    if unique_keys:
+        chosen = chosen.groupBy("least.key", F.when(F.col("least.unnamed"), F.col("root"))).agg(F.min("least").alias("least"))
+    chosen = chosen.select(F.col("least.key").alias("_kept"), F.col("least.mark").alias("_kept_mark"))
+    kept = marked.join(chosen, (F.col("_row_mark") == F.col("_kept_mark")) & F.col(f"`{key}`").eqNullSafe(F.col("_kept")), "left_semi")
+    return kept.dropDuplicates([key, "_row_mark"]).drop("_row_mark")
 
 
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
