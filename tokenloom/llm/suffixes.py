@@ -6,41 +6,52 @@ Sparse suffixes. Of the GRAM-byte strings inside every WIDTH-byte window one is
 leftmost of equals). Equal windows have equal minimizers at equal places, so suffixes need to be kept at
 minimizers only, about one in thirty positions. The windows with the same minimizer are neighbours; together
 they span a segment. An index entry is (hash of the minimizer, hash of the segment, key, place of the
-segment, number of its windows). A run holds a batch's entries in the order of minimizer and segment, that is,
-a suffix array cut at the depth that decides about matches of WIDTH bytes, in the order of fingerprints.
-
-Index family. Documents come in batches of ascending ids. A new batch's run is merged in order with each
-existing level and scanned: entries that follow an equal segment are matches of all their windows; unequal
-segments with the same minimizer are partial matches, to be resolved. What is new goes to a level of its own;
-two levels of equal rank merge into one of the next rank, so an entry is rewritten a logarithmic number of times.
-
-Partial matches. Only for these the bytes are fetched. Groups by minimizer compare windows byte by byte in id
-order; a group with more members than GROUP is spread by the digests of its windows instead, so that no task
-gets an unbounded group.
-
-Null and empty texts have no bytes. Rows with the same id are ordered by a hash of their text; rows equal in both
-are one document and each gets its row. A null id comes first. Empty tables give empty results.
+segment, number of its windows, place of the minimizer in it). A run holds a batch's entries in the order of
+minimizer and segment, that is, a suffix array cut at the depth that decides about matches of WIDTH bytes, in the
+order of fingerprints.
+
+Index family. Documents come in batches of ascending ids. A level is a table bucketed and sorted by minimizer and
+segment, so a scan shuffles the new batch only and merges it with the levels where they lie: entries that follow
+an equal segment are matches of all their windows; unequal segments with the same minimizer are partial matches,
+to be resolved. What is new becomes a level; two levels of equal rank merge into one of the next rank, without
+a shuffle, so an entry is rewritten a logarithmic number of times.
+
+Copies and hot minimizers. A task that makes entries marks those whose segment it has seen at an earlier place in
+the same CHUNK bytes of text: they are matches already and are dealt over all tasks. Minimizers that a sample of
+documents shows to be frequent are dealt over SPREAD tasks by segment and count as shared. Neither changes a result.
+
+Partial matches. Every window has an offset to its minimizer; the windows of a segment whose offsets lie in the same
+block of BLOCK share a core of WIDTH - BLOCK + 1 bytes. Equal windows have equal cores, so only windows whose core
+occurs twice are digested one by one, and a digest's first place stays. Both steps are counts and minima, so
+no group is ever held by a task, whatever its size.
+
+Null and empty texts have no bytes. Rows with the same id are ordered by hashes of their text (32, then 128 bits);
+rows equal in all are one document and each gets its row. A null id comes first; ids may have any type that has
+an order. Very long texts are read whole, in pieces. Empty tables give empty results. Other columns, whatever
+their names, pass through; one called like the result column is replaced.
 """
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import read, use_checkpoints
+from tokenloom.llm.common import boxed, delete, discard, filled, mark_of, may_hold, new_folder, read, salted, slices, store, unboxed
 
 WIDTH, GRAM = 100, 24
-#: Batches a whole table is inserted in, and members of a minimizer that one task compares.
-BATCHES, GROUP = 2, 8192
-#: Bits of the filter that holds the ids of documents with findings: a fixed size, whatever the table's.
-FILTER_BITS = 1 << 22
+#: Batches a whole table is inserted in; window offsets of one core.
+BATCHES, BLOCK = 4, 16
+#: Text in which a task looks for copies by itself; tasks that a frequent minimizer is dealt over.
+CHUNK, SPREAD = 16 << 20, 32
+#: Documents in the sample that shows frequent minimizers, and in how many of them one is frequent.
+SAMPLE_ROWS, FREQUENT = 4000, 12
 _PIECE = 1 << 20
 _MIX, _BASE = np.uint64(0xBF58476D1CE4E5B9), 0x9E3779B97F4A7C15
 
@@ -96,204 +107,208 @@ def segments(raw: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarr
     return first, np.diff(np.append(first, n)), at[first], value[first]
 
 
-def _entry_rows(width: int, gram: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _entry_rows(width: int, gram: int, hot: np.ndarray) -> Callable:
+    """Entries of the documents of a partition, in chunks; the first place of a segment in a chunk is not `again`."""
+
+    def rows(docs: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        docs = [d for i, d in enumerate(docs) if i == 0 or d[1:3] != docs[i - 1][1:3]]  # rows that are one document
+        found = [segments(raw, width, gram) for *_, raw in docs]
+        size = [len(f[0]) for f in found]
+        first, n, at, value = (np.concatenate([f[i] for f in found]) for i in range(4))
+        seg = np.empty(len(first), dtype=np.uint64)
+        owner = np.repeat(np.arange(len(docs)), size)
+        for i, (d, f, k) in enumerate(zip(owner.tolist(), first.tolist(), n.tolist(), strict=True)):
+            seg[i] = xxhash.xxh3_64_intdigest(docs[d][3][f : f + k + width - 1])
+        again = pd.DataFrame({"v": value, "s": seg}).duplicated().to_numpy()
+        salt = np.where(np.isin(value, hot), 1 + seg % np.uint64(SPREAD), 0).astype(np.int32)
+        salt[again] = 1 + SPREAD + np.arange(int(again.sum())) % 1024
+        of = pa.array(owner)
+        keys, marks = (pa.array([d[i] for d in docs], kinds[i - 1]).take(of) for i in (1, 2))
+        plain = [value.astype(np.uint32).view(np.int32), salt, seg.view(np.int64), first.astype(np.int32), n.astype(np.int16), (at - first).astype(np.int16)]
+        gram_, salt_, seg_, lo, n_, off = map(pa.array, plain)
+        return pa.RecordBatch.from_arrays([gram_, salt_, seg_, keys, marks, lo, n_, off], names=["gram", "salt", "seg", "_key", "_mark", "lo", "n", "off"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, kinds = [], 0, None
         for batch in batches:
-            out, size = [], 0
-            for key, mark, text in zip(batch["_key"], batch["_mark"], batch["_text"], strict=True):
+            kinds = [batch.column(i).type for i in range(2)]
+            for key, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = (text or "").encode()
-                first, n, _, value = segments(raw, width, gram)
-                seg = [xxhash.xxh3_64_intdigest(raw[f : f + k + width - 1]) for f, k in zip(first.tolist(), n.tolist(), strict=True)]
-                seg = np.array(seg, dtype=np.uint64).view(np.int64)
-                out.append(pd.DataFrame({"gram": value.astype(np.uint32).view(np.int32), "seg": seg, "_key": pd.Series(key, index=range(len(seg)), dtype=batch["_key"].dtype if len(seg) else None), "_mark": np.int32(mark), "lo": first.astype(np.int32), "n": n.astype(np.int32)}))
-                size += len(raw)
-                if size > 4_000_000:
-                    yield pd.concat(out, ignore_index=True)
-                    out, size = [], 0
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                if len(raw) >= width:
+                    held.append((key is not None, key, mark, raw))
+                    size += len(raw)
+                if size >= CHUNK:
+                    yield rows(sorted(held, key=lambda d: (d[0], d[1] if d[0] else 0, d[2])), kinds)
+                    held, size = [], 0
+        if held:
+            yield rows(sorted(held, key=lambda d: (d[0], d[1] if d[0] else 0, d[2])), kinds)
 
     return run
 
 
-def mark_of(docs: DataFrame, key: str, text: str) -> Column:
-    """Tells rows with the same id apart: a hash of their text, or a constant where no id occurs twice."""
-    repeated = docs.groupBy(f"`{key}`").count().filter("count > 1").limit(1).count()
-    return F.hash(f"`{text}`") if repeated else F.lit(0)
-
-
-def filled(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of keys (columns _key, _mark), built by the tasks; the driver gets its words."""
-    spots = F.explode(F.array(*(F.pmod(F.xxhash64("_key", "_mark", F.lit(i)), F.lit(bits)) for i in range(2))))
-    words = keys.select("_key", "_mark").distinct().select(spots.alias("s")).groupBy(F.floor(F.col("s") / 32).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(32)).cast("int"))).alias("b"))
-    out = np.zeros(bits // 32, dtype=np.uint32)
-    for w, b in words.collect():  # at most bits / 32 rows
-        out[w] = b
-    return out
-
-
-def may_hold(words: np.ndarray) -> Column:
-    """Whether the filter may hold the row's _key and _mark: never wrong when it says no."""
-    bits = 32 * len(words)
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for spots in batches:
-            inside = np.ones(len(spots[0]), dtype=bool)
-            for s in spots:
-                at = s.to_numpy()
-                inside &= words[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1
-            yield pd.Series(inside)
-
-    return F.pandas_udf(run, "boolean")(*(F.pmod(F.xxhash64("_key", "_mark", F.lit(i)), F.lit(bits)) for i in range(2)))
-
-
-def entries(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """A batch's index entries, from _key, _mark and _text."""
+def entries(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: np.ndarray | None = None) -> DataFrame:
+    """A batch's index entries, from _key, _mark and _text; `salt` deals frequent minimizers and marks repeats in a chunk."""
     kind = dict(rows.dtypes)["_key"]
-    return rows.mapInPandas(_entry_rows(width, gram), f"gram int, seg long, _key {kind}, _mark int, lo int, n int")
-
+    schema = f"gram int, salt int, seg long, _key {kind}, _mark string, lo int, n short, off short"
+    return rows.select("_key", "_mark", "_text").mapInArrow(_entry_rows(width, gram, np.zeros(0, np.int64) if hot is None else hot), schema)
 
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files that nothing refers to: Spark deletes them once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
-
-def store(df: DataFrame) -> DataFrame:
-    """The rows as a written table in the checkpoint folder, which all executors share."""
-    use_checkpoints(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/run-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.parquet(path)
+def frequent_minimizers(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, sample_rows: int = SAMPLE_ROWS, frequent: int = FREQUENT) -> np.ndarray:
+    """Minimizers with many segments in a sample: a hint for dealing the work, bounded by the sample's entries."""
+    share = min(1.0, sample_rows / max(1, rows.count()))
+    seen = entries(rows.sample(fraction=share, seed=17), width, gram).filter("salt = 0").groupBy("gram").count().filter(F.col("count") >= frequent)
+    return np.sort(np.array([r["gram"] & 0xFFFFFFFF for r in seen.select("gram").collect()], dtype=np.int64))
 
 
 _OLD, _NEW = 0, 1
 _PLACE = ("_key", "_mark", "lo")
+_ENTRY = ("gram", "salt", "seg", *_PLACE, "n", "off")
+
 
+def _again() -> Column:
+    return F.col("salt") > SPREAD
 
-def merge_scan(new: DataFrame, level: DataFrame | None) -> DataFrame:
-    """New entries and a level in one order, each with age (_NEW or _OLD), nth (from 1) among equal segments.
 
-    Rows that are one document share their places in that order.
+def merge_scan(new: DataFrame, levels: list[DataFrame], parts: int) -> DataFrame:
+    """New entries and the levels in one order, each with age (_NEW or _OLD), nth (from 1) among equal segments,
+    and whether its minimizer has several segments, one of them new (`shared`).
+
+    Only the new entries are shuffled: levels lie as they are needed. Rows that are one document share their places.
     """
-    both = new.withColumn("age", F.lit(_NEW))
-    if level is not None:
-        both = level.withColumn("age", F.lit(_OLD)).unionByName(both)
-    return both.repartition("gram").withColumn("nth", F.rank().over(Window.partitionBy("gram", "seg").orderBy("age", *(F.col(c).asc_nulls_first() for c in _PLACE))))
+    both = new.repartition(parts, "gram", "salt").withColumn("age", F.lit(_NEW))
+    for level in levels:
+        both = both.unionByName(level.withColumn("age", F.lit(_OLD)))
+    over = Window.partitionBy("gram", "salt")
+    nth = F.rank().over(Window.partitionBy("gram", "salt", "seg").orderBy("age", *(F.col(c).asc_nulls_first() for c in _PLACE)))
+    ranked = both.withColumn("nth", nth)
+    several = (F.count(F.when(F.col("nth") == 1, 1)).over(over) > 1) & (F.max(F.when(F.col("nth") == 1, F.col("age"))).over(over) == _NEW)
+    return ranked.withColumn("shared", ~_again() & ((F.col("salt") > 0) | several))
 
 
 class Family:
     """Levels of the index by rank, and what scans against them have found."""
 
-    def __init__(self):
+    def __init__(self, spark: SparkSession, parts: int):
+        self.spark, self.parts = spark, parts
         self.levels: dict[int, DataFrame] = {}
+        self.tables: list[tuple[str, str]] = []
         self.whole: list[DataFrame] = []
         self.partial: list[DataFrame] = []
 
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        """A written table, bucketed and sorted by minimizer and segment, in the shared folder."""
+        name, path = f"level_{uuid.uuid4().hex}", new_folder(self.spark, "level")
+        self.tables.append((name, path))
+        df.write.bucketBy(self.parts, "gram", "salt").sortBy("gram", "salt", "seg").option("compression", "zstd").option("path", path).saveAsTable(name)
+        return self.spark.table(name)
+
     def insert(self, new: DataFrame, last: bool = False) -> None:
         """Scan a batch against every level, then make it a level; the last batch needn't become one."""
-        open_, levels = new, list(self.levels.values()) or [None]
-        for level in levels:
-            over = Window.partitionBy("gram")
-            scanned = merge_scan(open_, level).withColumns({"shared": F.count(F.when(F.col("nth") == 1, 1)).over(over) > 1, "fresh": F.max(F.when(F.col("nth") == 1, F.col("age"))).over(over) == _NEW})
-            matched = (F.col("age") == _NEW) & (F.col("nth") > 1) | F.col("shared") & F.col("fresh")
-            final = last and level is levels[-1]
-            scanned = store(scanned.filter(matched if final else matched | (F.col("age") == _NEW)))
-            self.whole.append(scanned.filter((F.col("age") == _NEW) & (F.col("nth") > 1)).select(*_PLACE, "n"))
-            self.partial.append(scanned.filter((F.col("nth") == 1) & F.col("shared")).select("gram", *_PLACE, "n"))
-            open_ = scanned.filter((F.col("age") == _NEW) & (F.col("nth") == 1)).select(new.columns)
+        scanned = merge_scan(new, list(self.levels.values()), self.parts)
+        fresh, first = F.col("age") == _NEW, (F.col("nth") == 1) & ~_again()
+        found = fresh & ~first | first & F.col("shared")
+        scanned = self._bucketed(scanned.filter(found if last else found | fresh))
+        self.whole.append(scanned.filter(fresh & ~first).select(*_PLACE, "n"))
+        self.partial.append(scanned.filter(first & F.col("shared")).select(*_PLACE, "n", "off"))
         if last:
             return
-        rank, run = 0, open_
+        rank, run = 0, scanned.filter(fresh & first).select(*_ENTRY)
         while rank in self.levels:
-            run = run.unionByName(self.levels.pop(rank))
+            run = self._bucketed(run.unionByName(self.levels.pop(rank)))
             rank += 1
-        self.levels[rank] = store(run) if rank else run
+        self.levels[rank] = run
 
+    def discard(self) -> None:
+        """Deletes every table of the family; what they found must be stored elsewhere by then."""
+        for name, path in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, path)
 
-def _fetch(width: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, size = [], 0
-            for key, mark, text, places in zip(batch["_key"], batch["_mark"], batch["_text"], batch["places"], strict=True):
-                raw = (text or "").encode()
-                for p in places:
-                    rows.append((p["gram"], key, mark, p["lo"], raw[p["lo"] : p["lo"] + p["n"] + width - 1]))
-                    size += p["n"] + width
-                if size > 8_000_000:
-                    yield pd.DataFrame(rows, columns=["gram", "_key", "_mark", "lo", "bytes"])
-                    rows, size = [], 0
-            yield pd.DataFrame(rows, columns=["gram", "_key", "_mark", "lo", "bytes"])
 
-    return run
+def _texts_at(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """_key, _mark, _text and places of the documents that places name; others aren't shuffled, as a filter tells."""
+    few = rows.filter(may_hold(filled(places)))
+    named = places.withColumnsRenamed({"_key": "_k", "_mark": "_m"})
+    return few.join(named, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m"))).select("_key", "_mark", "_text", "places")
 
 
-def _spans(found: list[int], width: int) -> Iterator[tuple[int, int]]:
-    """Runs of window starts as byte spans."""
-    for i, p in enumerate(found):
-        if i == 0 or p > found[i - 1] + width:
-            start = p
-        if i + 1 == len(found) or found[i + 1] > p + width:
-            yield start, p + width
+def _by_text(make: Callable, columns: list[str], most: int = 200_000) -> Callable:
+    """Rows made from each document's bytes and places, handed on in bounded batches."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [batch.column(i).type for i in range(2)]
+            out: list[list] = [[] for _ in columns]
 
-def _compare(width: int) -> Callable:
-    """Groups of segments with one minimizer: the windows of each that an earlier one has, byte by byte."""
+            def made(out: list[list], kinds: list[pa.DataType] = kinds) -> pa.RecordBatch:
+                types = {"_key": kinds[0], "_mark": kinds[1], "core": pa.int64(), "digest": pa.binary(), "lo": pa.int32(), "n": pa.int16()}
+                return pa.RecordBatch.from_arrays([pa.array(x, types[c]) for c, x in zip(columns, out, strict=True)], names=columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for members in batch["members"]:
-                seen = set()
-                for m in members:
-                    raw = bytes(m["bytes"])
-                    windows = [raw[i : i + width] for i in range(len(raw) - width + 1)]
-                    rows += [(m["_key"], m["_mark"], s, e) for s, e in _spans([m["lo"] + i for i, w in enumerate(windows) if w in seen], width)]
-                    seen.update(windows)
-            yield pd.DataFrame(rows, columns=["_key", "_mark", "start", "end"])
+            for key, mark, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                raw = (text or "").encode()
+                for row in make(raw, places):
+                    for x, v in zip(out, (key, mark, *row), strict=True):
+                        x.append(v)
+                    if len(out[0]) >= most:
+                        yield made(out)
+                        out = [[] for _ in columns]
+            if out[0]:
+                yield made(out)
 
     return run
 
 
-def _window_rows(width: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 5000):
-                rows = []
-                for key, mark, lo, raw in batch[["_key", "_mark", "lo", "bytes"]].iloc[at : at + 5000].itertuples(index=False):
-                    rows += [(key, mark, lo + i, xxhash.xxh3_128_digest(raw[i : i + width])) for i in range(len(raw) - width + 1)]
-                yield pd.DataFrame(rows, columns=["_key", "_mark", "lo", "digest"])
+def _cores(width: int, block: int) -> Callable:
+    """(core, first window, windows) of each block of a segment."""
+    core = width - block + 1
 
-    return run
+    def make(raw: bytes, places: list[dict]) -> Iterator[tuple]:
+        for p in places:
+            lo, n, at = p["lo"], p["n"], p["lo"] + p["off"]
+            for b in range((at - lo - n + 1) // block, (at - lo) // block + 1):
+                last = at - block * b
+                start, end = max(lo, last - block + 1), min(lo + n - 1, last)
+                yield xxhash.xxh3_64_intdigest(raw[last : last + core], b) - (1 << 63), start, end - start + 1
+
+    return make
+
+
+def _digests(width: int) -> Callable:
+    def make(raw: bytes, places: list[dict]) -> Iterator[tuple]:
+        for p in places:
+            for i in range(p["lo"], p["lo"] + p["n"]):
+                yield xxhash.xxh3_128_digest(raw[i : i + width]), i
 
+    return make
 
-def resolve(rows: DataFrame, partial: DataFrame, width: int = WIDTH, most: int = GROUP) -> DataFrame:
+
+def resolve(rows: DataFrame, partial: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """Byte spans (_key, _mark, start, end) of the windows in partial matches that also start earlier."""
     kind = dict(rows.dtypes)["_key"]
-    places = partial.distinct().groupBy("_key", "_mark").agg(F.collect_list(F.struct("gram", "lo", "n")).alias("places"))
-    places = store(places)
-    few = rows.filter(may_hold(filled(places)))
-    joined = few.join(places.withColumnsRenamed({"_key": "_k", "_mark": "_m"}), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m")))
-    fetched = store(joined.select("_key", "_mark", "_text", "places").mapInPandas(_fetch(width), f"gram int, _key {kind}, _mark int, lo int, bytes binary"))
-    large = fetched.groupBy("gram").count().filter(F.col("count") > most).select("gram")
-    members = F.sort_array(F.collect_set(F.struct("_key", "_mark", "lo", "bytes"))).alias("members")
-    small = fetched.join(large, "gram", "left_anti").groupBy("gram").agg(members).select("members")
-    spans = f"_key {kind}, _mark int, start int, end int"
-    compared = small.mapInPandas(_compare(width), spans)
-    windows = fetched.join(large, "gram", "left_semi").mapInPandas(_window_rows(width), f"_key {kind}, _mark int, lo int, digest binary")
+    spread = F.xxhash64("_key", "_mark", "lo")
+
+    def by_document(df: DataFrame, *columns: str) -> DataFrame:
+        return store(df.groupBy("_key", "_mark").agg(F.collect_set(F.struct(*columns)).alias("places")))
+
+    places = by_document(partial, "lo", "n", "off")
+    blocks = store(_texts_at(rows, places).mapInArrow(_by_text(_cores(width, block), ["_key", "_mark", "core", "lo", "n"]), f"_key {kind}, _mark string, core long, lo int, n short"))
+    again = blocks.groupBy("core").count().filter("count > 1").select("core")
+    held = by_document(salted(blocks, again, "core", spread), "lo", "n")
+    windows = store(_texts_at(rows, held).mapInArrow(_by_text(_digests(width), ["_key", "_mark", "digest", "lo"]), f"_key {kind}, _mark string, digest binary, lo int"))
     first = windows.groupBy("digest").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    later = windows.join(first, "digest").filter(~F.struct(*_PLACE).eqNullSafe(F.col("first")))
-    return compared.unionByName(later.select("_key", "_mark", F.col("lo").alias("start"), (F.col("lo") + width).alias("end")))
+    later = salted(windows, first, "digest", spread).filter(~F.struct(*_PLACE).eqNullSafe(F.col("first")))
+    found = store(later.select("_key", "_mark", F.col("lo").alias("start"), (F.col("lo") + width).alias("end")))
+    discard(places, blocks, held, windows)
+    return found
 
 
 def _batches(rows: DataFrame, n: int) -> list[DataFrame]:
     """The rows in n parts of ascending keys, of about as many rows each; nulls come first."""
     if n == 1:
         return [rows]
-    at = rows.select(F.expr(f"percentile_approx(_key, array({', '.join(str((i + 1) / n) for i in range(n - 1))}), 1000)")).first()[0] or []
-    at = sorted(set(at))
     key = F.col("_key")
+    dealt = rows.select("_key").filter(key.isNotNull()).repartitionByRange(n, "_key").groupBy(F.spark_partition_id().alias("p")).agg(F.max("_key").alias("top"))
+    at = sorted({r["top"] for r in dealt.collect()})[:-1]  # at most n rows
     edges = [None, *at, None]
     out = []
     for low, high in zip(edges, edges[1:], strict=False):
@@ -303,15 +318,20 @@ def _batches(rows: DataFrame, n: int) -> list[DataFrame]:
     return out
 
 
-def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
+def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, block: int = BLOCK, parts: int | None = None) -> DataFrame:
     """Byte spans (_key, _mark, start, end) to remove from rows of _key, _mark and _text; they may overlap."""
-    family = Family()
-    parts = _batches(rows, batches)
-    for i, part in enumerate(parts):
-        family.insert(entries(part, width, gram), last=i + 1 == len(parts))
+    family = Family(rows.sparkSession, slices(rows, parts))
+    hot = frequent_minimizers(rows, width, gram)
+    pieces = _batches(rows, batches)
+    for i, part in enumerate(pieces):
+        family.insert(entries(part, width, gram, hot), last=i + 1 == len(pieces))
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
     whole = union(family.whole).select("_key", "_mark", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + width).alias("end"))
-    return whole.unionByName(resolve(rows, union(family.partial), width, group))
+    windows = resolve(rows, union(family.partial), width, block)
+    spans = store(whole.unionByName(windows).groupBy("_key", "_mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    family.discard()
+    discard(windows)
+    return spans
 
 
 def _cut_out(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -331,20 +351,19 @@ def _cut_out(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
         yield pd.DataFrame(out, columns=["kept", "runs"])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
-    """The documents with a column _cut: kept (the bytes left) and runs (maximal removed spans of bytes).
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, block: int = BLOCK, to: str = "_cut") -> DataFrame:
+    """The documents with a column `to`: kept (the bytes left) and runs (maximal removed spans of bytes).
 
     Documents without a finding, as the filter tells, are not shuffled.
     """
-    marked = docs.withColumns({"_key": F.col(f"`{key}`"), "_mark": mark_of(docs, key, text)})
-    spans = repeated_spans(marked.select("_key", "_mark", F.col(f"`{text}`").alias("_text")), width, gram, batches, group)
-    spans = store(spans.groupBy("_key", "_mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans")))
-    tested = marked.withColumn("_maybe", may_hold(filled(spans)))
-    spans = spans.withColumnsRenamed({"_key": "_k", "_mark": "_m"})
-    found = tested.filter("_maybe").join(spans, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m")), "left").drop("_k", "_m")
-    rest = tested.filter(~F.col("_maybe")).withColumn("_spans", F.lit(None).cast("array<struct<start:int,end:int>>"))
-    cut_out: Column = F.pandas_udf(_cut_out, "kept binary, runs array<struct<start:int,end:int>>")(F.col(f"`{text}`"), F.col("_spans"))
-    return found.unionByName(rest).withColumn("_cut", cut_out).drop("_key", "_mark", "_maybe", "_spans")
+    rows = boxed(docs, _key=F.col(f"`{key}`"), _mark=mark_of(docs, key, text), _text=F.col(f"`{text}`"))
+    spans = repeated_spans(rows.select("_key", "_mark", "_text"), width, gram, batches, block)
+    tested = rows.withColumn("_maybe", may_hold(filled(spans)))
+    named = spans.withColumnsRenamed({"_key": "_k", "_mark": "_m"})
+    found = tested.filter("_maybe").join(named, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m")), "left").drop("_k", "_m")
+    rest = tested.filter(~F.col("_maybe")).withColumn("spans", F.lit(None).cast("array<struct<start:int,end:int>>"))
+    cut_out: Column = F.pandas_udf(_cut_out, "kept binary, runs array<struct<start:int,end:int>>")(F.col("_text"), F.col("spans"))
+    return unboxed(found.unionByName(rest), docs, **{to: cut_out})
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
