@@ -1,38 +1,45 @@
-"""Benchmark decontamination with a positional inverted index that is spread over the documents.
-
-The index is partitioned by document: a task takes its documents in shards of bounded size and stores, for
-every term of the benchmark, the sorted list of positions at which the shard has it. A phrase query (a window
-of item words) starts from the term that is rarest in the shard, shifts that term's list by its offset and
-intersects with the lists of the next rarer terms, each shifted by its own offset. What survives all terms is
-an exact phrase match; with a slop, a list may be off by some positions and the result is a proximity match.
-
-The benchmark is a stated query set: the driver reads it in blocks of bounded size and each block goes to the
-tasks as one small variable, so neither documents nor postings are ever shuffled, whatever a source or a
-passage repeats. Null texts and texts without a word have no hits. An item without a word has no window.
-Repeated items and windows count once for each item_id; windows of items
-without an id hit like any other, but name no item. Rows keep all their own columns.
+"""Benchmark decontamination with a stored positional inverted index over the training documents.
+
+Index. Every task cuts its documents into segments of SEGMENT_BYTES and writes, for each segment, the postings of all
+its terms: the sorted list of the positions at which a term stands, over one position axis for the segment, and where
+each document starts on it. A segment is one row of a written table in the shared folder; the index knows nothing of
+a benchmark and is built once for any number of them. It is spread by documents, so neither a frequent term nor
+a passage that many documents share has a list that one task must hold.
+
+Search. A phrase query is a window of item words. Within a segment its terms are ordered by the length of their lists;
+the list of the rarest term, less that term's offset, gives the candidates, and the list of each next rarer term,
+less its own offset, is intersected with them. What is left after all terms is an exact phrase match. With a slop,
+a term may stand that many positions from its place, and what is left is a proximity match.
+
+The benchmark is a stated query set: the driver reads it in blocks of bounded size, and for each block one job
+scans the index and writes its hits, so no more than one block is on the driver or in a task. Null texts and texts
+without a word have no hits; neither has anything against an item without a word. Repeated items and windows count once
+for each item_id; windows of items without an id hit like any other, but name no item. Very long texts make segments of their
+own size. Repeated rows each get their row; empty tables give empty results. Documents keep their own columns, whatever
+their names; one called like the result column is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import read
+from tokenloom.llm.common import boxed, discard, filled, mark_of, may_hold, read, store, unboxed
 
 WINDOW = 10
-#: Characters of benchmark text that go to the tasks at once, and of documents that one index shard holds.
-BLOCK_CHARS, SHARD_BYTES = 16_000_000, 2_000_000
+#: Characters of benchmark text that go to the tasks at once, and bytes of documents that one index segment holds.
+BLOCK_CHARS, SEGMENT_BYTES = 16_000_000, 2_000_000
 
 #: Bytes under 0x80 that aren't letters or digits part words; A-Z become a-z.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-HITS = "n_words long, starts array<int>, ends array<int>, items array<string>"
+POSTINGS = "terms array<binary>, at array<int>, positions array<int>, first array<int>"
+HITS = "n_words long, starts array<int>, ends array<int>, items array<string>, near array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -74,94 +81,149 @@ def blocks(benchmark: DataFrame, width: int = WINDOW, item: str = "item_id", tex
     yield block
 
 
-class Shard:
-    """Postings of some documents' words over one position axis; a position without a term parts documents."""
+def postings(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of some documents, where each one's list ends, all lists, and where each document starts.
 
-    def __init__(self, texts: list[str | None], terms: dict[bytes, int]):
-        parts, self.n_words = [], []
-        for t in texts:
-            own = words(t)
-            self.n_words.append(len(own))
-            parts += [terms.get(w, -1) for w in own]
-            parts.append(-2)
-        self.term_at = np.array(parts, dtype=np.int32)
-        self.first = np.concatenate([[0], np.cumsum(np.array(self.n_words, dtype=np.int64) + 1)])
-        known = np.flatnonzero(self.term_at >= 0)
-        by_term = known[np.argsort(self.term_at[known], kind="stable")]
-        self.counts = np.bincount(self.term_at[known], minlength=len(terms)) if terms else np.zeros(0, dtype=np.int64)
-        self.postings, self.at = by_term, np.concatenate([[0], np.cumsum(self.counts)])
+    Document i takes the positions first[i] to first[i + 1] - 2; the one after them parts it from the next.
+    """
+    ids: dict[bytes, int] = {}
+    parts, first = [], [0]
+    for t in texts:
+        own = words(t)
+        parts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in own), dtype=np.int32, count=len(own)))
+        first.append(first[-1] + len(own) + 1)
+    term = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    place = np.arange(len(term)) + np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    order = np.argsort(term, kind="stable")
+    ends = np.cumsum(np.bincount(term, minlength=len(ids)))
+    return list(ids), ends.astype(np.int32), place[order].astype(np.int32), np.array(first, dtype=np.int32)
+
+
+def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size, kinds = [], 0, None
+
+    def made() -> pa.RecordBatch:
+        terms, at, positions, first = postings([h[2] for h in held])
+        columns = [([h[0] for h in held], pa.list_(kinds[0])), ([h[1] for h in held], pa.list_(kinds[1])), (terms, pa.list_(pa.binary())), (at, pa.list_(pa.int32())), (positions, pa.list_(pa.int32())), (first, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in columns], names=["keys", "marks", "terms", "at", "positions", "first"])
+
+    for batch in batches:
+        kinds = [batch.column(i).type for i in range(2)]
+        for key, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            held.append((key, mark, text))
+            size += len(text or "")
+            if size >= SEGMENT_BYTES:
+                yield made()
+                held, size = [], 0
+    if held:
+        yield made()
+
+
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: Column | None = None) -> DataFrame:
+    """The written index: one row for each segment, with its documents (keys, marks) and the postings of its terms."""
+    kind = dict(docs.dtypes)[key]
+    rows = docs.select(F.col(f"`{key}`"), F.lit("") if mark is None else mark, F.col(f"`{text}`"))
+    return store(rows.mapInArrow(_segment_rows, f"keys array<{kind}>, marks array<string>, {POSTINGS}"), "index")
+
+
+class Segment:
+    """Posting lists of one segment for the terms of a block, all lists in one array of (term, position)."""
+
+    def __init__(self, terms: list[bytes], at: np.ndarray, positions: np.ndarray, first: np.ndarray, wanted: dict[bytes, int]):
+        self.first = first.astype(np.int64)
+        self.span = int(self.first[-1]) + 1
+        number = np.array([wanted.get(t, -1) for t in terms], dtype=np.int64)
+        counts = np.diff(at, prepend=0)
+        owner = np.repeat(number, counts)
+        known = owner >= 0
+        #: a term's list lies between its number times the span and the next one's
+        self.lists = np.sort(owner[known] * self.span + positions[known])
+        self.counts = np.zeros(len(wanted), dtype=np.int64)
+        self.counts[number[number >= 0]] = counts[number >= 0]
+        self.begin = np.cumsum(self.counts) - self.counts
 
     def search(self, windows: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(window, start) of each match, in no set order."""
+        """(window, start) of each match; the windows are rows of term numbers, -1 beyond a short one's end."""
         none = np.zeros(0, dtype=np.int64)
-        if not len(windows) or not len(self.postings):
+        if not len(windows) or not len(self.lists):
             return none, none
-        width = windows.shape[1]
         frequency = np.where(windows >= 0, self.counts[np.maximum(windows, 0)], np.iinfo(np.int64).max)
-        rarest = np.argsort(frequency, axis=1, kind="stable")
-        pivot = rarest[:, 0]
-        n = frequency[np.arange(len(windows)), pivot]
-        window = np.repeat(np.arange(len(windows)), n)
-        nth = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
-        start = self.postings[self.at[windows[window, pivot[window]]] + nth] - pivot[window]
-        document = np.searchsorted(self.first, start + pivot[window], side="right") - 1
-        low, high = self.first[document], self.first[document + 1] - 1
-        for k in range(1, width):
-            offset = rarest[window, k]
-            term = windows[window, offset]
-            found = term < 0
-            for shift in range(-slop, slop + 1):
-                at = start + offset + shift
-                inside = (at >= low) & (at < high)
-                found |= inside & (self.term_at[np.where(inside, at, 0)] == term)
-            window, start, low, high = window[found], start[found], low[found], high[found]
-        return window, start
-
-
-def _hits(block: Block, width: int, slop: int) -> Column:
-    matrix, owners, terms = block.matrix(width), list(block.windows.values()), block.terms
+        alive = np.flatnonzero(frequency.min(axis=1) > 0)
+        rarest = np.argsort(frequency[alive], axis=1, kind="stable")
+        terms = np.take_along_axis(windows[alive], rarest, axis=1).astype(np.int64)
+        n = self.counts[terms[:, 0]]
+        row = np.repeat(np.arange(len(alive)), n)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        start = self.lists[self.begin[terms[row, 0]] + nth] - terms[row, 0] * self.span - rarest[row, 0]
+        document = np.searchsorted(self.first, start + rarest[row, 0], side="right") - 1
+        low, high = self.first[document], self.first[document + 1] - 2
+        for k in range(1, windows.shape[1]):
+            term, offset = terms[row, k], rarest[row, k]
+            base, at = term * self.span, start + offset
+            # the least position of the term's list that isn't below the slop; within the document and the slop, or no match
+            least = base + np.maximum(at - slop, low)
+            found = np.minimum(np.searchsorted(self.lists, least), len(self.lists) - 1)
+            hit = (self.lists[found] >= least) & (self.lists[found] <= base + np.minimum(at + slop, high))
+            keep = hit | (term < 0)
+            row, start, low, high = row[keep], start[keep], low[keep], high[keep]
+        return alive[row], start
+
+
+def _searcher(block: Block, width: int, slop: int) -> Callable:
+    matrix, owners, wanted = block.matrix(width), list(block.windows.values()), block.terms
     lengths = (matrix >= 0).sum(axis=1)
 
-    def look(texts: list[str | None]) -> pd.DataFrame:
-        shard = Shard(texts, terms)
-        window, start = shard.search(matrix, slop)
-        document = np.searchsorted(shard.first, np.maximum(start, 0), side="right") - 1
-        out = {i: ([], [], set()) for i in np.unique(document).tolist()}
-        for w, s, d in zip(window.tolist(), start.tolist(), document.tolist(), strict=True):
-            starts, ends, items = out[d]
-            starts.append(s - int(shard.first[d]))
-            ends.append(starts[-1] + int(lengths[w]))
-            items.update(owners[w])
-        rows = [out.get(i, ((), (), ())) for i in range(len(texts))]
-        return pd.DataFrame({"n_words": shard.n_words, "starts": [list(r[0]) for r in rows], "ends": [list(r[1]) for r in rows], "items": [sorted(r[2]) for r in rows]})
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done, held, size = [], [], 0
-            for t in batch:
-                held.append(t)
-                size += len(t or "")
-                if size >= SHARD_BYTES:
-                    done.append(look(held))
-                    held, size = [], 0
-            yield pd.concat([*done, look(held)] if held or not done else done, ignore_index=True)
-
-    return F.pandas_udf(run, HITS)
-
+            for i in range(batch.num_rows):
+                keys, marks = batch.column("keys")[i].values, batch.column("marks")[i].values
+                lists = [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("at", "positions", "first")]
+                segment = Segment(batch.column("terms")[i].as_py(), *lists, wanted)
+                rows: dict[int, tuple[list, list, set, set]] = {}
+                window, start = segment.search(matrix)
+                for w, s, d in zip(window.tolist(), start.tolist(), (np.searchsorted(segment.first, start, side="right") - 1).tolist(), strict=True):
+                    starts, ends, items, _ = rows.setdefault(d, ([], [], set(), set()))
+                    starts.append(s - int(segment.first[d]))
+                    ends.append(starts[-1] + int(lengths[w]))
+                    items.update(owners[w])
+                if slop:
+                    window, start = segment.search(matrix, slop)
+                    inside = np.clip(start, 0, None)
+                    for w, d in zip(window.tolist(), (np.searchsorted(segment.first, inside, side="right") - 1).tolist(), strict=True):
+                        rows.setdefault(d, ([], [], set(), set()))[3].update(owners[w])
+                n = len(keys)
+                out = [rows.get(d, ((), (), (), ())) for d in range(n)]
+                made = [pa.array(np.diff(segment.first) - 1, pa.int64())]
+                made += [pa.array([list(r[k]) for r in out], pa.list_(pa.int32())) for k in range(2)]
+                made += [pa.array([sorted(r[k]) for r in out], pa.list_(pa.string())) for k in (2, 3)]
+                place = pa.array([batch.column("segment")[i].as_py()] * n, pa.int64())
+                yield pa.RecordBatch.from_arrays([place, pa.array(range(n), pa.int32()), keys, marks, *made], names=["segment", "nth", "_key", "_mark", "n_words", "starts", "ends", "items", "near"])
+
+    return run
+
+
+def search_index(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Every indexed document: _key, _mark, n_words, spans (word positions, end exclusive, by start), items, near.
+
+    `near` holds the items with a window all of whose words stand within slop positions of their places.
+    """
+    kind = dict(index.dtypes)["keys"][len("array<") : -1]
+    placed = index.withColumn("segment", F.xxhash64(F.input_file_name(), F.monotonically_increasing_id()))
+    hits = [store(placed.mapInArrow(_searcher(b, width, slop), f"segment long, nth int, _key {kind}, _mark string, {HITS}"), "hits") for b in blocks(benchmark, width, block_chars=block_chars)]
+    found = hits[0]
+    if len(hits) > 1:
+        for more in hits[1:]:
+            found = found.unionByName(more)
+        joined = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items", "near")]
+        found = found.groupBy("segment", "nth").agg(F.first("_key").alias("_key"), F.first("_mark").alias("_mark"), F.first("n_words").alias("n_words"), *joined)
+    spans = F.array_sort(F.array_distinct(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e")))).cast("array<struct<start:int,end:int>>")
+    distinct = lambda c: F.array_sort(F.array_distinct(F.col(c))).alias(c)
+    return found.select("_key", "_mark", "n_words", spans.alias("spans"), distinct("items"), distinct("near"))
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, slop: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents with a column _found: n_words, spans (word positions, end exclusive, by start) and items.
 
-    slop 0 gives exact phrases; else every term may be up to slop positions away from its place.
-    """
-    out, names = docs, []
-    for i, block in enumerate(blocks(benchmark, width, block_chars=block_chars)):
-        names.append(f"_hits_{i}")
-        out = out.withColumn(names[-1], _hits(block, width, slop)(F.col(f"`{text}`")))
-    spans = F.array_sort(F.array_distinct(F.concat(*(F.arrays_zip(F.col(f"{n}.starts").alias("s"), F.col(f"{n}.ends").alias("e")) for n in names))))
-    items = F.array_sort(F.array_distinct(F.concat(*(F.col(f"{n}.items") for n in names))))
-    found = F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), spans.cast("array<struct<start:int,end:int>>").alias("spans"), items.alias("items"))
-    return out.withColumn("_found", found).drop(*names)
+def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", width: int = WINDOW, slop: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """_key, n_words, spans, items and near of every document, through an index of them."""
+    return search_index(build_index(docs, key, text), benchmark, width, slop, block_chars).drop("_mark")
 
 
 def covered(spans: Column) -> Column:
@@ -172,21 +234,25 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")), step, lambda a: a["n"])
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents without any benchmark window."""
-    return find(docs, benchmark, text).filter(F.size("_found.spans") == 0).drop("_found")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without any benchmark window. Only rows that a filter of the others' keys may hold are shuffled."""
+    mark = mark_of(docs, key, text)
+    index = build_index(docs, key, text, mark)
+    hit = store(search_index(index, benchmark).filter(F.size("spans") > 0).select("_key", "_mark").distinct())
+    discard(index)
+    rows = boxed(docs, _key=F.col(f"`{key}`"), _mark=mark).withColumn("_maybe", may_hold(filled(hit)))
+    named = hit.withColumnsRenamed({"_key": "_k", "_mark": "_m"})
+    clean = rows.filter("_maybe").join(named, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m")), "left_anti")
+    return unboxed(clean.unionByName(rows.filter(~F.col("_maybe"))), docs)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
-    return found.withColumn("n_hit", covered(F.col("_found.spans"))).select(
-        "doc_id",
-        F.col("_found.n_words").alias("n_words"),
-        "n_hit",
-        F.size("_found.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_found.items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-    )
+    n_hit = covered(F.col("spans"))
+    return found.select(
+        F.col("_key").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
 
 
 OP6_SQL = r"""
