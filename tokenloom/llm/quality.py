@@ -1,29 +1,34 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Every rule rejects a document on a cheap or a dear feature of its text. On a sample the operator estimates
-what a rule costs (in work units: characters scanned, words hashed) and which share of documents it rejects,
-and tries the rules in the order of rejections per cost. The order changes the work, never the verdict:
-a document is kept if no rule rejects it.
-
-Null and empty texts have no words; they fail the first base rule. Ties in the order of rules are broken by
-their names. Equal documents get equal verdicts. An empty table gives an empty result. Columns other than
-the text pass through untouched; feature columns carry a prefix no table has.
+Every rule rejects a document on a cheap or a dear feature of its text. The operator takes a sample of documents from
+the whole table, runs each rule on it by itself, and measures what the rule costs there (seconds beyond those of
+reading the sample) and which share of the documents it rejects. Rules are tried in the order of rejections per
+cost, and a rule's features are computed only for documents that no rule before it has rejected. The order changes
+the work, never the verdict: a document is kept if no rule rejects it.
+
+Null and empty texts have no words; they fail the first base rule. Very long texts are read whole, within a row. Ties in
+the order of rules are broken by their names. Equal documents, repeated rows among them, get equal verdicts and
+each row its own. An empty table gives an empty result. Columns other than the text pass through untouched; feature
+columns carry the prefix PREFIX, and columns of docs that carry it already are taken for features of this operator.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import SPACE, read, words_of
+from tokenloom.llm.common import SPACE, cut, read, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: Documents the sample for the cost and selectivity estimates may hold. It only orders the rules.
+#: Documents the sample for the cost and selectivity estimates holds, about. It only orders the rules.
 SAMPLE_ROWS = 2000
+#: The least cost a rule is taken to have, in seconds over the sample: below it a clock can't tell rules apart.
+LEAST_SECONDS = 0.005
 
 Features = Callable[[str], Column]
 
@@ -37,17 +42,8 @@ class Rule:
     rejects: Callable[[Features], Column]
 
 
-#: Work units a document costs for each feature, as a function of its characters (c) and words (w).
-COSTS = {
-    "n_words": lambda c, w: 12 * c,
-    "word_chars": lambda c, w: 3 * c,
-    "n_symbols": lambda c, w: 3 * c,
-    "n_lines": lambda c, w: 6 * c,
-    "n_dup_lines": lambda c, w: 7 * c,
-    "n_lettered": lambda c, w: 150 * w,
-    "longest_word": lambda c, w: 60 * w,
-    "n_repeat_words": lambda c, w: 700 * w,
-}
+#: All features, base ones first.
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_lettered", "longest_word")
 
 BASE = (
     Rule("too_few_words", ("n_words",), lambda f: f("n_words") < 20),
@@ -89,7 +85,7 @@ def features(docs: DataFrame, text: str = "text", names: tuple[str, ...] | None
     that every feature refers to is never negative; it keeps the optimizer from moving a filter on features below
     their computation, where each mention would compute them anew.
     """
-    wanted = {n for n in names or COSTS if PREFIX + n not in docs.columns}
+    wanted = {n for n in names or FEATURES if PREFIX + n not in docs.columns}
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     made = {"words": words_of(whole), "lines": _lines(whole)}
@@ -118,37 +114,62 @@ def features(docs: DataFrame, text: str = "text", names: tuple[str, ...] | None
         out = out.withColumn(PREFIX + "n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda total, x: total + x))
         spent += ["hashes", "windows", "sorted", "starts"]
     out = out.drop(*(PREFIX + h for h in spent)).withColumn(PREFIX + "row", F.monotonically_increasing_id())
-    return out.withColumns({PREFIX + n: F.when(_f("row") >= 0, _f(n)) for n in COSTS if n in wanted}).drop(PREFIX + "row")
+    return out.withColumns({PREFIX + n: F.when(_f("row") >= 0, _f(n)) for n in FEATURES if n in wanted}).drop(PREFIX + "row")
+
+
+def sampled(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About sample_rows texts from all over the table, stored."""
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    return cut(docs.select(F.col(f"`{text}`").alias("text")).sample(fraction=share, seed=11))
+
+
+def measured(sample: DataFrame, rules: tuple[Rule, ...]) -> dict[str, tuple[float, float]]:
+    """(share of the sample that a rule rejects, seconds it takes beyond reading the sample) of each rule."""
+
+    def run(column: Column, needs: tuple[str, ...]) -> tuple[int, int, float]:
+        began = time.perf_counter()
+        n, hits = features(sample, "text", needs).agg(F.count("*"), F.count_if(column)).first()
+        return n, hits, time.perf_counter() - began
+
+    run(F.length("text") > 0, ())  # starts what every run needs
+    reading = run(F.length("text") > 0, ())[2]
+    out = {}
+    for r in rules:
+        n, hits, took = run(r.rejects(_f), r.needs)
+        out[r.name] = (hits / max(1, n), max(LEAST_SECONDS, took - reading))
+    return out
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per cost, most first, as a sample of at most sample_rows documents shows them."""
+    """The rules by rejections per cost, most first, both as measured on a sample."""
     if not rules:
         return []
-    needed = tuple({n for r in rules for n in r.needs})
-    some = docs.select(F.col(f"`{text}`").alias("text")).sample(fraction=0.2, seed=11)
-    shown = [F.coalesce(r.rejects(_f), F.lit(False)).cast("int") for r in rules]
-    # takes as few partitions as hold that many rows, and a few numbers of each row
-    seen = features(some, "text", needed).select(F.coalesce(F.length("text"), F.lit(0)), *shown).limit(sample_rows).collect()
-    chars = sum(x[0] for x in seen) / max(1, len(seen)) or 1.0
-    share = [sum(x[i + 1] for x in seen) / max(1, len(seen)) for i in range(len(rules))]
-    cost = {r.name: sum(COSTS[n](chars, chars / 6) for n in r.needs) for r in rules}
-    return [r for _, r in sorted(enumerate(rules), key=lambda x: (-share[x[0]] / cost[x[1].name], cost[x[1].name], x[1].name))]
-
-
-def first_rejection(rules: list[Rule]) -> Column:
+    seen = measured(sampled(docs, text, sample_rows), rules)
+    return sorted(rules, key=lambda r: (-seen[r.name][0] / seen[r.name][1], seen[r.name][1], r.name))
+
+
+def first_rejection(rules: list[Rule], feature: Features = _f) -> Column:
     """The name of the first rule that rejects, null if none does; later rules are not evaluated."""
     out = F
     for r in rules:
-        out = out.when(r.rejects(_f), F.lit(r.name))
+        out = out.when(r.rejects(feature), F.lit(r.name))
     return out.otherwise(F.lit(None).cast("string")) if rules else F.lit(None).cast("string")
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = MORE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Every document with its features, base_failed, kept and the rule that rejected it first (rejected_by)."""
+    """Every document with its base features, base_failed, kept and the rule that rejected it first (rejected_by).
+
+    The base features are a result, so all documents have them. The other rules' features stand inside the branches of
+    a conditional, rule after rule: they are computed where the rules before leave the document open.
+    """
     ordered = order_rules(docs, rules, text, sample_rows)
-    judged = features(docs, text).withColumn(PREFIX + "base", first_rejection(list(BASE)))
-    judged = judged.withColumn(PREFIX + "by", F.coalesce(_f("base"), first_rejection(ordered)))
+    base = features(docs, text, FEATURES[:6], helpers=True).withColumn(PREFIX + "base", first_rejection(list(BASE)))
+    dear = {
+        "n_lettered": F.size(F.filter(_f("words"), lambda w: w.rlike(r"\p{L}"))).cast("long"),
+        "longest_word": F.coalesce(F.array_max(F.transform(_f("words"), F.length)), F.lit(0)).cast("long"),
+    }
+    open_ = F.when(_f("base").isNull(), first_rejection(ordered, lambda n: dear.get(n, _f(n))))
+    judged = base.withColumn(PREFIX + "by", F.coalesce(_f("base"), open_)).drop(PREFIX + "words", PREFIX + "lines")
     return judged.withColumns({PREFIX + "base_failed": _f("base").isNotNull(), PREFIX + "kept": _f("by").isNull()})
 
 
