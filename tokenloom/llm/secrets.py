@@ -1,13 +1,14 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer that adds what the patterns miss.
 
-The lexer reads source and configuration syntax (name = "literal", name: literal, "name": "literal",
-NAME=literal, name := literal, name = other_name) into name-value pairs. Literals bound to a name are
-propagated: where a sensitive name takes another name, the literal that name holds is judged under the
-sensitive one. A literal's score adds the weight of the most sensitive part of its target's name, its length
-and its mixture of character classes; from MIN_SCORE on it's a finding of kind `literal` at the literal's span.
-
-Spans are code points, end exclusive. Null and empty texts have no findings. Repeated findings of one span
-and kind count once. Documents are read row by row in Arrow batches and never shuffled; other columns pass through.
+The lexer (module lexer) reads source and configuration syntax into name-literal pairs and propagates constants
+through names and scopes, so a literal is judged under every name that comes to hold it, wherever it stands.
+A value's score adds the weight of the most sensitive part of its target's name, its length and its mixture of
+character classes; from MIN_SCORE on its literals, all of them where it is put together, are findings of kind `literal`.
+
+Spans are code points, end exclusive. Null and empty texts have no findings; very long ones are read whole. Repeated
+findings of one span and kind count once; repeated rows each get their row. Documents are read row by row in Arrow
+batches and never shuffled. Empty tables give empty results. Other columns, whatever their names, pass through; one
+called like the result column is replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import read
+from tokenloom.llm.lexer import named_literals
 
 KINDS = ("assign", "access", "hex", "literal")
 FOUND = "kinds array<string>, starts array<int>, ends array<int>"
@@ -32,10 +34,6 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _HEX_CLASS = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 _HEX_RUN = b"1" * 24
 
-_PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})(?P=q)[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*"""
-    r"""(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<bare>[A-Za-z0-9+/_.=~!@$%^&*-]+))"""
-)
 #: Weights of the parts of a target's name.
 SENSITIVE = {
     "password": 4, "passwd": 4, "passphrase": 4, "pwd": 3, "secret": 4, "token": 3, "apikey": 4, "credential": 3, "credentials": 3,
@@ -63,22 +61,11 @@ def literal_score(name: str, value: str) -> int:
 
 
 def lexed(text: str) -> list[tuple[str, int, int]]:
-    """Spans of literals that a sensitive name holds, itself or through another name."""
-    literals: dict[str, tuple[int, int]] = {}
+    """Spans of the literals that a sensitive name holds, itself or through other names."""
     out = set()
-    end = -1
-    for line in text.split("\n"):
-        start, end = end + 1, end + 1 + len(line)
-        for m in _PAIR.finditer(text, start, end) if "=" in line or ":" in line else ():
-            group = next(g for g in ("dq", "sq", "bare") if m[g] is not None)
-            name, value = m["name"], m[group]
-            if group == "bare" and value in literals:
-                literals[name] = literals[value]
-            else:
-                literals[name] = m.span(group)
-            at = literals[name]
-            if literal_score(name, text[at[0] : at[1]]) >= MIN_SCORE:
-                out.add(("literal", *at))
+    for name, spans in named_literals(text):
+        if sensitivity(name) >= 2 and literal_score(name, "".join(text[s:e] for s, e in spans)) >= MIN_SCORE:
+            out.update(("literal", s, e) for s, e in spans if e > s)
     return list(out)
 
 
@@ -95,7 +82,7 @@ def scan(text: str | None, lexer: bool = True) -> list[tuple[str, int, int]]:
         found.update(("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20)
     if _HEX_RUN in text.encode().translate(_HEX_CLASS):
         found.update(("hex", *m.span()) for m in _HEX.finditer(text))
-    if lexer and (":" in text or "=" in text) and any(part in lower for part in SENSITIVE):
+    if lexer and any(x in text for x in (":", "=", "</", "--")) and any(part in lower for part in SENSITIVE):
         found.update(lexed(text))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
