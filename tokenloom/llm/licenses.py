@@ -1,102 +1,130 @@
-"""Licence scans: TF-IDF cosine of header lines and licence files to templates, then directory inheritance.
+"""Licence scans: TF-IDF cosine of header lines, header blocks and whole texts to templates, then directory inheritance.
 
-Lines with a licence cue are the headers (and licence files are documents made of little else). Each such line
-is a sparse vector of its terms that some template has, weighted by term frequency and by the inverse document
-frequency over all documents; it declares the template to which its cosine is largest, from MIN_COSINE on
-(ties: the template first by name). A document declares the licence of its best line (ties: the earliest line).
+Templates are whole licence texts and notices, each of their paragraphs, and short statements. The units of a document
+are its lines, its blocks (runs of lines with a letter or digit; lines of copyright owners are left out) and its whole text.
+A unit is a sparse vector of all its terms: term frequency by inverse document frequency, which is counted over all
+documents for the templates' terms; other terms have the median of those. Units are exploded into terms, joined to the
+templates' terms and grouped again, so a cosine is a sum over the terms that both have.
 
-Documents without a declaration inherit from the nearest directory at or above their own that has a licence
-file, found by joining each document's ancestor paths to the table of such directories. If the licence files
+Which units can reach MIN_COSINE follows from the templates: without the heaviest terms of a template, no vector comes
+that near. Those terms, of all templates, are the cues; what has none of them is not scored, and nothing is lost.
+A document declares the licence with the largest cosine of its units, from MIN_COSINE on (ties: first by name); templates
+that several licences share, as notices of one family do, decide only where no other is near. It is a licence file if its whole text is that near, or if its name says so and it declares one.
+
+Documents without a declaration inherit from the nearest directory at or above their own that has a licence file, found
+by joining the directories' ancestor paths to the table of directories with such files. If the licence files
 of one directory differ, the most frequent licence holds (ties: first by name).
 
-DataFrame functions only. The templates and their vocabulary are fixed and small. Null texts and paths, empty
-texts and tables have no declarations; a null path has no ancestors. Repeated rows each get their row.
+DataFrame functions only; templates and vocabulary are fixed and small. Equal texts are scored once, and the rows of hot
+texts and directories are dealt over several tasks. Null texts and paths, empty texts and tables have no declarations; a
+null path has no ancestors. Very long texts are scored whole. Repeated rows each get their row. Other columns, whatever
+their names, pass through; those called like a result are replaced.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import cut, read
-
-#: Statements by which texts declare a licence.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License CC BY 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0 NonCommercial",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0 ShareAlike",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
-CUE = r"(?i)licen[sc]|redistribution|SPDX"
-MIN_COSINE = 0.6
-#: A document is a licence file if at least this share of its characters are in its declaring lines.
-FILE_SHARE = 0.3
-_TERM = r"[a-z0-9]+"
+from tokenloom.llm.common import cut, read, salted
+from tokenloom.llm.license_texts import TEXTS
 
+MIN_COSINE = 0.75
+#: Templates shorter than this many terms match only units that hardly hold another term; paragraphs need as many.
+LEAST_TERMS = 6
+_NAMED = r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$"
+_OWNER = r"(?im)^\W*copyright\b.*\d{4}.*$|^\W*all rights reserved\W*$"
 
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({_TERM})"), F.lit(1))
 
+def templates(texts: dict[str, list[str]] | None = None) -> list[tuple[str, Counter, bool]]:
+    """(licence, term frequencies, whether other licences have it too) of every text, its paragraphs and its identifier."""
+    out = []
+    for name, variants in (texts or TEXTS).items():
+        for text in [*variants, f"SPDX-License-Identifier: {name}"]:
+            paragraphs = [p for p in text.split("\n\n") if len(re.findall("[a-z0-9]+", p.lower())) >= LEAST_TERMS]
+            for part in [text, *(paragraphs if len(paragraphs) > 1 else [])]:
+                out.append((name, Counter(re.findall("[a-z0-9]+", part.lower()))))
+    owners: dict[frozenset, set[str]] = {}
+    for name, tf in out:
+        owners.setdefault(frozenset(tf.items()), set()).add(name)
+    return [(name, tf, len(owners[frozenset(tf.items())]) > 1) for name, tf in out]
 
-def template_terms(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(template, term, tf) of the fixed templates."""
-    rows = " UNION ALL ".join(f"SELECT '{k}' AS template, '{v}' AS statement" for k, v in templates.items())
-    return spark.sql(rows).select("template", F.explode(terms(F.col("statement"))).alias("term")).groupBy("template", "term").agg(F.count("*").cast("double").alias("tf"))
+
+def terms(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def inverse_frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> tuple[dict[str, int], int]:
-    """In how many documents each of the templates' terms occurs, and the number of documents."""
-    own = F.array_intersect(F.array_distinct(terms(F.coalesce(F.col(f"`{text}`"), F.lit("")))), F.array(*map(F.lit, vocabulary)))
+def inverse_frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> tuple[dict[str, float], float]:
+    """The inverse document frequency of the vocabulary's terms, over all documents, and the median of them."""
+    own = F.array_intersect(terms(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.array(*map(F.lit, vocabulary)))
     counted = docs.select(F.explode(F.concat(own, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    n = {r["term"]: r["n"] for r in counted.collect()}  # no more rows than the templates have terms, and one
+    n = {r["term"]: r["n"] for r in counted.collect()}  # no more rows than the vocabulary has terms, and one
     total = n.get("", 0)
-    return {t: n.get(t, 0) for t in vocabulary}, total
-
-
-def _dot(vector: Column, weights: Column) -> Column:
-    return F.aggregate(vector, F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(weights, x["t"]), F.lit(0.0)))
-
-
-def declarations(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, least: float = MIN_COSINE) -> DataFrame:
-    """The documents with _license, _cosine and _share (of the characters, in declaring lines), null without one."""
-    spark = docs.sparkSession
-    fixed = template_terms(spark, templates or TEMPLATES)
-    listed = fixed.collect()  # a few rows for each fixed template
-    vocabulary = sorted({r["term"] for r in listed})
-    n, total = inverse_frequencies(docs, vocabulary, text)
-    idf = {t: math.log((1 + total) / (1 + n[t])) + 1 for t in vocabulary}
-    weights: dict[str, dict[str, float]] = {}
-    for r in listed:
-        weights.setdefault(r["template"], {})[r["term"]] = r["tf"] * idf[r["term"]]
-    norms = {k: math.sqrt(sum(x * x for x in w.values())) for k, w in weights.items()}
-    idf_map = F.create_map(*(F.lit(x) for t in vocabulary for x in (t, idf[t])))
-    lines = F.filter(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"), lambda x: x.rlike(CUE))
-
-    def judged(line: Column, at: Column) -> Column:
-        """The best template of a line; only terms that templates have are in its vector."""
-        own = F.filter(terms(line), lambda t: F.array_contains(F.array(*map(F.lit, vocabulary)), t))
-        distinct = F.array_distinct(own)
-        vector = F.transform(distinct, lambda t: F.struct(t.alias("t"), (F.size(F.filter(own, lambda o: o == t)) * F.element_at(idf_map, t)).alias("w")))
-        norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-        offers = []
-        for name in sorted(weights):
-            w = F.create_map(*(F.lit(x) for t, v in sorted(weights[name].items()) for x in (t, v)))
-            dot = _dot(vector, w)
-            offers.append(F.struct(F.round(dot / norm / F.lit(norms[name]), 9).alias("c"), F.lit(name).alias("license")))
-        best = F.array_max(F.transform(F.array(*offers), lambda o, i: F.struct(o["c"].alias("c"), (-i).alias("order"), o["license"].alias("license"))))
-        return F.struct(best["c"].alias("c"), (-at).alias("order"), best["license"].alias("license"), F.length(line).alias("chars"))
-
-    scored = docs.withColumn("_lines", lines).withColumn("_scored", F.filter(F.transform("_lines", judged), lambda x: x["c"] >= least))
-    best = F.array_max("_scored")
-    share = F.aggregate("_scored", F.lit(0).cast("long"), lambda a, x: a + x["chars"]) / F.length(F.col(f"`{text}`"))
-    return scored.withColumns({"_license": best["license"], "_cosine": best["c"], "_share": F.when(F.size("_scored") > 0, share)}).drop("_lines", "_scored")
+    idf = {t: math.log((1 + total) / (1 + n.get(t, 0))) + 1 for t in vocabulary}
+    return idf, sorted(idf.values())[len(idf) // 2]
+
+
+def cues(listed: list[tuple[str, Counter, bool]], idf: dict[str, float], least: float) -> list[str]:
+    """For each template its heaviest terms, until what is left of it is too short for a cosine of `least`."""
+    out = set()
+    for _, tf, _ in listed:
+        weights = sorted(((k * idf[t]) ** 2, t) for t, k in tf.items())
+        left = total = sum(w for w, _ in weights)
+        while weights and left >= least * least * total:
+            w, t = weights.pop()
+            left -= w
+            out.add(t)
+    return sorted(out)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _weights(spark: SparkSession, listed: list[tuple[str, Counter, bool]], idf: dict[str, float]) -> DataFrame:
+    """(term, template, license, shared, weight of the normalised template): bounded by the templates."""
+    rows = []
+    for i, (name, tf, shared) in enumerate(listed):
+        norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in tf.items()))
+        rows += [f"('{t}', {i}, '{name}', {shared}, {k * idf[t] / norm}D)" for t, k in tf.items()]
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(term, template, license, shared, weight)")
+
+
+def declarations(docs: DataFrame, text: str = "text", texts: dict[str, list[str]] | None = None, least: float = MIN_COSINE) -> DataFrame:
+    """The documents with _license, _cosine (null without one) and _whole (whether the whole text declares it)."""
+    spark, listed = docs.sparkSession, templates(texts)
+    idf, other = inverse_frequencies(docs, sorted({t for _, tf, _ in listed for t in tf}), text)
+    cue = F.array(*map(F.lit, cues(listed, idf, least)))
+    mark, body = _free(docs, "text_mark"), F.col(f"`{text}`")
+    marked = docs.drop("_license", "_cosine", "_whole")
+    # texts without a cue have no mark and never leave their task
+    marked = marked.withColumn(mark, F.when(F.arrays_overlap(terms(body), cue), F.md5(body.cast("binary"))))
+    distinct = marked.filter(F.col(mark).isNotNull()).groupBy(F.col(mark).alias("mark")).agg(F.first(body).alias("text"))
+    own = F.regexp_replace("text", _OWNER, "")
+    blocks = F.concat(F.split(own, "\n"), F.split(own, r"\n[^\p{L}\p{N}\n]*\n"), F.array(own))
+    units = distinct.select("mark", F.posexplode(F.transform(blocks, lambda u, i: F.struct(terms(u).alias("terms"), (i == F.size(blocks) - 1).alias("whole")))).alias("unit", "u"))
+    scored = units.filter(F.arrays_overlap("u.terms", cue)).select("mark", "unit", "u.whole", F.explode("u.terms").alias("term"))
+    counted = scored.groupBy("mark", "unit", "whole", "term").agg(F.count("*").cast("double").alias("tf"))
+    known = spark.sql(f"SELECT * FROM VALUES {', '.join(f'''('{t}', {v}D)''' for t, v in idf.items())} AS t(term, idf)")
+    weighted = counted.join(F.broadcast(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    norms = weighted.groupBy("mark", "unit", "whole").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("known"))
+    dots = norms.select("mark", "unit", "whole", "norm", F.inline("known")).join(F.broadcast(_weights(spark, listed, idf)), "term")
+    dots = dots.groupBy("mark", "unit", "whole", "norm", "template", "license", "shared").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    found = dots.select("mark", "license", "shared", "whole", F.round(F.col("dot") / F.col("norm"), 9).alias("c")).filter(F.col("c") >= least)
+    by_name = found.groupBy("mark", "license").agg(F.min(F.struct("shared", (-F.col("c")).alias("c"))).alias("best"), F.max("whole").alias("whole"))
+    best = by_name.groupBy("mark").agg(F.min(F.struct("best", "license", "whole")).alias("b"))
+    best = cut(best.select(F.col("mark").alias(mark), F.col("b.license").alias("_license"), (-F.col("b.best.c")).alias("_cosine"), F.col("b.whole").alias("_whole")))
+    plain = marked.filter(F.col(mark).isNull()).withColumns({"_license": F.lit(None).cast("string"), "_cosine": F.lit(None).cast("double"), "_whole": F.lit(False)})
+    held = marked.filter(F.col(mark).isNotNull())
+    joined = salted(held, best, mark, F.monotonically_increasing_id(), "left").withColumn("_whole", F.coalesce("_whole", F.lit(False)))
+    return joined.select(*(f"`{c}`" for c in plain.columns)).unionByName(plain).drop(mark)
 
 
 def ancestors(path: Column) -> Column:
@@ -105,23 +133,27 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("directory")))
 
 
-def inherit(declared: DataFrame, path: str = "path", share: float = FILE_SHARE) -> DataFrame:
-    """Documents with _license, license and how it was found: header, file, inherited or none.
+def inherit(declared: DataFrame, path: str = "path") -> DataFrame:
+    """Documents with _license, license, how it was found (header, file, inherited, none) and from_directory.
 
     Directories, not documents, meet their ancestors in the join: all documents of a directory inherit alike.
     """
-    directory = F.regexp_extract(F.col(f"`{path}`"), "^(.*)/[^/]*$", 1)
-    files = declared.filter(F.col("_share") >= share).groupBy(directory.alias("directory"), "_license").agg(F.count("*").alias("n"))
+    declared = declared.drop("license", "found_by", "from_directory")
+    place, own_name = F.col(f"`{path}`"), _free(declared, "own_directory")
+    directory = F.regexp_extract(place, "^(.*)/[^/]*$", 1)
+    is_file = F.col("_license").isNotNull() & (F.col("_whole") | F.coalesce(place.rlike(_NAMED), F.lit(False)))
+    files = declared.filter(is_file & place.isNotNull()).groupBy(directory.alias("directory"), "_license").agg(F.count("*").alias("n"))
     top = files.groupBy("directory").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("_license").alias("license")))["license"].alias("held"))
-    places = declared.filter(F.col(f"`{path}`").isNotNull()).select(directory.alias("own")).distinct()
+    places = declared.filter(place.isNotNull()).select(directory.alias("own")).distinct()
     up = places.select("own", F.explode(ancestors(F.concat("own", F.lit("/x")))).alias("a")).select("own", "a.depth", "a.directory")
-    nearest = up.join(top, "directory").groupBy("own").agg(F.max(F.struct("depth", "directory", "held")).alias("near"))
-    nearest = nearest.select(F.col("own").alias("_at"), F.col("near.held").alias("_inherited"), F.col("near.directory").alias("_from"))
-    joined = declared.withColumn("_own", directory).join(nearest, F.col("_own") == F.col("_at"), "left")
+    nearest = salted(up, top, "directory", F.xxhash64("own")).groupBy("own").agg(F.max(F.struct("depth", "directory", "held")).alias("near"))
+    names = [_free(declared, n) for n in ("inherited_license", "inherited_from")]
+    nearest = nearest.select(F.col("own").alias(own_name), F.col("near.held").alias(names[0]), F.col("near.directory").alias(names[1]))
+    joined = salted(declared.withColumn(own_name, directory), nearest, own_name, F.monotonically_increasing_id(), "left")
     own = F.col("_license").isNotNull()
-    how = F.when(own & (F.col("_share") >= share), "file").when(own, "header").when(F.col("_inherited").isNotNull(), "inherited").otherwise("none")
-    found = {"license": F.coalesce("_license", "_inherited"), "found_by": how, "from_directory": F.when(~own, F.col("_from"))}
-    return joined.withColumns(found).drop("_own", "_at", "_inherited", "_from")
+    how = F.when(is_file, "file").when(own, "header").when(F.col(names[0]).isNotNull(), "inherited").otherwise("none")
+    found = {"license": F.coalesce("_license", names[0]), "found_by": how, "from_directory": F.when(~own, F.col(names[1]))}
+    return joined.withColumns(found).drop(own_name, *names)
 
 
 def virtual_path(source: Column, lang: Column, doc_id: Column) -> Column:
