@@ -11,8 +11,9 @@ a chunk stays, later ones go. All chunks take part: those of a cut text have REA
 ends, and a text of up to 2 * REACH bytes is one chunk, so an exact copy loses all its bytes. First occurrences are found by partial aggregation before the shuffle; digests that
 occur once never reach the join.
 
-Null and empty texts have no chunks. Where rows share an id, they are told apart by a hash of their text;
-rows that share both are one document, and each of them gets its row. Empty tables give empty results.
+Null and empty texts have no chunks; very long ones are chunked whole. Where rows share an id, they are told apart by
+128 bits of their text; rows that share both are one document, and each of them gets its row. A null id comes first.
+Empty tables give empty results. Other columns, whatever their names, pass through; those called like a result are replaced.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import read
+from tokenloom.llm.common import boxed, discard, filled, mark_of, may_hold, read, salted, store, unboxed
 
-REACH, MIN_BYTES, GEAR_WINDOW = 24, 1, 16
+REACH, MIN_BYTES, GEAR_WINDOW = 48, 1, 16
 #: The gear table: 256 fixed pseudo-random numbers.
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -70,16 +72,23 @@ def chunk(text: str | None) -> list[tuple[int, int, bytes]]:
 
 
 def _chunk_rows(least: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["_key", "_mark", "start", "length", "digest"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kinds = [batch.column(0).type, batch.column(1).type, pa.int32(), pa.int32(), pa.binary()]
             rows, size = [], 0
-            for key, mark, text in zip(batch["_key"], batch["_mark"], batch["_text"], strict=True):
+
+            def made(rows: list[tuple], kinds: list[pa.DataType] = kinds) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=columns)
+
+            for key, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 rows += [(key, mark, s, n, d) for s, n, d in chunk(text) if n >= least]
                 size += len(text or "")
                 if size > 4_000_000:
-                    yield pd.DataFrame(rows, columns=["_key", "_mark", "start", "length", "digest"])
+                    yield made(rows)
                     rows, size = [], 0
-            yield pd.DataFrame(rows, columns=["_key", "_mark", "start", "length", "digest"])
+            yield made(rows)
 
     return run
 
@@ -87,16 +96,22 @@ def _chunk_rows(least: int):
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_BYTES) -> DataFrame:
     """One row for each chunk of at least `least` bytes: _key, _mark (tells rows with the same id apart), start, length, digest."""
     kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.hash(f"`{text}`").alias("_mark"), F.col(f"`{text}`").alias("_text"))
-    return rows.mapInPandas(_chunk_rows(least), f"_key {kind}, _mark int, start int, length int, digest binary")
+    rows = docs.select(F.col(f"`{key}`").alias("_key"), mark_of(docs, key, text).alias("_mark"), F.col(f"`{text}`").alias("_text"))
+    return rows.mapInArrow(_chunk_rows(least), f"_key {kind}, _mark string, start int, length int, digest binary")
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_BYTES) -> DataFrame:
-    """(_key, _mark, spans) of every document with chunks that occur earlier; spans are sorted (start, length)."""
-    all_chunks = chunks(docs, key, text, least)
-    first = all_chunks.groupBy("digest").agg(F.min(F.struct("_key", "_mark", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = all_chunks.join(first.select("digest", "first"), "digest").filter(~F.struct("_key", "_mark", "start").eqNullSafe(F.col("first")))
-    return later.groupBy("_key", "_mark").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
+    """(_key, _mark, spans) of every document with chunks that occur earlier; spans are sorted (start, length).
+
+    The texts are chunked once; digests that occur once never reach the join, and the rows of a digest are dealt over several tasks.
+    """
+    all_chunks = store(chunks(docs, key, text, least), "chunks")
+    place = F.struct("_key", "_mark", "start")
+    first = all_chunks.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = salted(all_chunks, first, "digest", F.xxhash64("_key", "_mark", "start")).filter(~place.eqNullSafe(F.col("first")))
+    spans = store(later.groupBy("_key", "_mark").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans")), "spans")
+    discard(all_chunks)
+    return spans
 
 
 def _cut_out(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -116,12 +131,17 @@ def _cut_out(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_BYTES) -> DataFrame:
-    """The documents with columns _spans (what was removed), _kept (the bytes left) and _runs."""
+    """The documents with columns _spans (what was removed), _kept (the bytes left) and _runs.
+
+    Documents without a repeated chunk, as a filter tells, are not shuffled.
+    """
     spans = repeated(docs, key, text, least)
-    marked = docs.withColumn("_hash", F.hash(f"`{text}`"))
-    joined = marked.join(spans.withColumnRenamed("spans", "_spans"), marked[key].eqNullSafe(spans["_key"]) & (F.col("_hash") == F.col("_mark")), "left").drop("_key", "_mark", "_hash")
-    cut_out = F.pandas_udf(_cut_out, "kept binary, runs int")(F.col(f"`{text}`"), F.col("_spans"))
-    return joined.withColumn("_cut", cut_out).withColumns({"_kept": F.col("_cut.kept"), "_runs": F.col("_cut.runs")}).drop("_cut")
+    rows = boxed(docs, _key=F.col(f"`{key}`"), _mark=mark_of(docs, key, text), _text=F.col(f"`{text}`")).withColumn("_maybe", may_hold(filled(spans)))
+    named = spans.withColumnsRenamed({"_key": "_k", "_mark": "_m"})
+    found = rows.filter("_maybe").join(named, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m")), "left").drop("_k", "_m")
+    rest = rows.filter(~F.col("_maybe")).withColumn("spans", F.lit(None).cast("array<struct<start:int,length:int>>"))
+    cut = found.unionByName(rest).withColumn("_cut", F.pandas_udf(_cut_out, "kept binary, runs int")(F.col("_text"), F.col("spans")))
+    return unboxed(cut, docs, _spans=F.col("spans"), _kept=F.col("_cut.kept"), _runs=F.col("_cut.runs"))
 
 
 def kept_digest(text: str | None, spans: list[tuple[int, int]]) -> str:
