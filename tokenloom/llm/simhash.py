@@ -17,8 +17,10 @@ that emit only a spanning forest of the links they find (at most one edge a memb
 than BLOCK are cut into blocks, and each pair of blocks is one task's group. Edges become components by
 repeated minima with pointer jumping, stored in the checkpoint folder after every round.
 
-Null and empty texts have the fingerprint 0 and link like any other. Rows with a null id form components too;
-a component's id is its smallest id that is not null. Repeated rows and ids are kept as they are.
+Null and empty texts have the fingerprint 0 and link like any other; very long ones are hashed whole, in steps. Rows with
+a null id form components too; a component's id is its smallest id that is not null. `group` gives every row, repeated ones
+among them, its row, with the three columns of its result only; `drop_near_copies` keeps all columns, whatever their names.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import cut, read
+from tokenloom.llm.common import boxed, cut, read, salted, unboxed
 
 SHINGLE, MAX_BITS = 4, 4
 #: Members of one key that a task compares at once.
@@ -214,31 +216,30 @@ def rooted(prints: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Every row's key, fingerprint (16 hex digits) and component_id."""
-    rows = cut(docs.select(F.col(f"`{key}`").alias("_key"), fingerprints(F.col(f"`{text}`")).alias("fp")))
+    """Every row's key, fingerprint (16 hex digits) and component_id. The rows of a hot fingerprint or component are dealt over several tasks."""
+    rows = cut(docs.select(F.col(f"`{key}`").alias("_key"), fingerprints(F.col(f"`{text}`")).alias("fp"), F.monotonically_increasing_id().alias("nth")))
     prints = cut(rows.groupBy("fp").agg(F.min("_key").alias("least")))
     found = rooted(prints, block)
-    named = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = salted(found, found.groupBy("root").agg(F.min("least").alias("component_id")), "root", F.xxhash64("fp")).select("fp", "component_id")
+    return salted(rows, named, "fp", F.col("nth")).select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", unique_keys: bool = True) -> DataFrame:
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: that with the smallest key (rows without one come last), then by hashes of text and row.
 
-    Only rows alike in all columns are interchangeable. Rows of other components stay, whatever keys they share or
-    lack; with unique_keys, of those that share a key only the first by the same hashes does.
+    Only rows alike in all columns are interchangeable. Rows of other components stay, whatever keys they share or lack.
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.withColumn("_row_mark", F.xxhash64(*(x for c in own for x in (c.isNull(), c))))
-    place = F.struct(F.col(f"`{key}`").isNull().alias("unnamed"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("text"), F.col("_row_mark").alias("mark"))
-    rows = cut(marked.select(fingerprints(F.col(f"`{text}`")).alias("fp"), place.alias("place")))
+    marks = [F.xxhash64(F.lit(i), *(x for c in own for x in (c.isNull(), c))) for i in range(2)]
+    marked = boxed(docs, _key=F.col(f"`{key}`"), _one=marks[0], _two=marks[1])
+    place = F.struct(F.col("_key").isNull().alias("unnamed"), F.col("_key").alias("key"), F.xxhash64(F.col("_row").getField(text)).alias("text"), F.col("_one").alias("one"), F.col("_two").alias("two"))
+    rows = cut(marked.select(fingerprints(F.col("_row").getField(text)).alias("fp"), place.alias("place")))
     prints = cut(rows.groupBy("fp").agg(F.min("place").alias("least")))
     chosen = rooted(prints).groupBy("root").agg(F.min("least").alias("least"))
-    if unique_keys:
-        chosen = chosen.groupBy("least.key", F.when(F.col("least.unnamed"), F.col("root"))).agg(F.min("least").alias("least"))
-    chosen = chosen.select(F.col("least.key").alias("_kept"), F.col("least.mark").alias("_kept_mark"))
-    kept = marked.join(chosen, (F.col("_row_mark") == F.col("_kept_mark")) & F.col(f"`{key}`").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates([key, "_row_mark"]).drop("_row_mark")
+    chosen = cut(chosen.select(F.col("least.one").alias("_one"), F.col("least.two").alias("_kept_two")).distinct())
+    kept = salted(marked, chosen, "_one", F.col("_two")).filter(F.col("_two") == F.col("_kept_two"))
+    # rows alike in all columns have equal marks: one of them stays
+    return unboxed(kept.dropDuplicates(["_one", "_two"]), docs)
 
 
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
