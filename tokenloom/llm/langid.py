@@ -7,8 +7,10 @@ labelled rows, at most SAMPLE_ROWS of them, those with the smallest hash of thei
 the driver is bounded by SAMPLE_ROWS * BUCKETS counts. A fifth of the sample is held back to fit the temperature
 that calibrates the probabilities. Prediction reads nothing but the text.
 
-Null texts and texts without a letter get `und` with score 0. A table without a training row predicts `und`
-everywhere. Ties between languages go to the first by name. Other columns pass through untouched.
+Null texts and texts without a letter get `und` with score 0. A table without a training row, an empty one among
+them, predicts `und` everywhere. Ties between languages go to the first by name. Repeated rows each get their row; repeated
+labelled rows count as often as they occur. Very long texts are counted in steps. Other columns, whatever their names,
+pass through untouched; one called like the result column is replaced.
 """
 
 from __future__ import annotations
@@ -34,14 +36,17 @@ def code_points(text: str) -> np.ndarray:
     """Lower-cased letters as code points, everything else as blanks, runs of which become one."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     letter = _LETTERS[np.minimum(points, len(_LETTERS) - 1)]
+    beyond = np.flatnonzero(points >= len(_LETTERS))
+    if len(beyond):
+        letter[beyond] = [chr(p).isalpha() for p in points[beyond].tolist()]
     points = np.where(letter, points, 32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     return points[keep]
 
 
-#: Which code points are letters; those beyond the table count as its last entry.
-_LETTERS = np.array([*(chr(i).isalpha() for i in range(0x30000)), True])
+#: Which code points are letters; those beyond the table are asked for one by one.
+_LETTERS = np.array([chr(i).isalpha() for i in range(0x30000)])
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
