@@ -11,11 +11,13 @@ equality to the piece table; the matches are the unit's edges. A fold over a uni
 * Merge (BPE) models (`encoder`): Viterbi over such a model's scores isn't what the model does, so its results
   would be wrong; there the fold repeats the best merge that the pieces so far allow, the leftmost of equals.
   The join and the fold run on columns within a task, for the distinct units of some megabytes of text at a
-  time, so that no text and no word is shuffled.
+  time, so that no text and no word is shuffled. `merge_words` does the same with Spark's joins and folds.
 
 Characters without a piece become one piece for each UTF-8 byte. Decoding joins the pieces' bytes, turns marks
 to spaces and takes off the first; it gives back any text that has no mark of its own. Null texts stay
-null, empty ones have no pieces. The piece table is that of the model file, whose size is fixed.
+null, empty ones have no pieces, very long ones are encoded whole, repeated rows each get their row and empty tables
+give empty results. Other columns, whatever their names, pass through `encode` and `decode`; one called like their result
+is replaced. The piece table is that of the model file, whose size is fixed.
 """
 
 from __future__ import annotations
@@ -256,16 +258,26 @@ def decoder(vocabulary: Vocabulary) -> Column:
     return F.pandas_udf(run, "string")
 
 
-def viterbi_words(words: DataFrame, pieces: DataFrame, word: str = "word", longest: int = 16) -> DataFrame:
+def lattice(words: DataFrame, pieces: DataFrame, word: str = "word") -> DataFrame:
+    """(_word, edges) of distinct words: substrings as long as the longest piece, joined to the pieces, grouped by word.
+
+    pieces has piece, id and score; an edge has end, s (its first character, from 1), id and score.
+    """
+    longest = pieces.agg(F.max(F.length("piece"))).first()[0] or 0
+    distinct = words.select(F.col(f"`{word}`").alias("_word")).filter("_word <> ''").distinct()
+    length = F.length("_word")
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), length), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), length - s + 1)), lambda n: F.struct(s.alias("s"), n.alias("n")))))
+    exploded = distinct.select("_word", F.explode(spans).alias("x")).select("_word", F.col("x.s").alias("s"), F.col("x.n").alias("n"), F.substring("_word", F.col("x.s"), F.col("x.n")).alias("piece"))
+    return exploded.join(pieces, "piece").groupBy("_word").agg(F.sort_array(F.collect_list(F.struct((F.col("s") + F.col("n") - 1).alias("end"), "s", "id", F.col("score").cast("double").alias("score")))).alias("edges"))
+
+
+def viterbi_words(words: DataFrame, pieces: DataFrame, word: str = "word") -> DataFrame:
     """Best paths of distinct words under a unigram model; pieces has piece, id and score.
 
     Words that no path covers get null. Of equally good paths the one with the longest last pieces wins.
     """
     w = F.col("_word")
-    distinct = words.select(F.col(f"`{word}`").alias("_word")).filter("_word <> ''").distinct()
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(w) - s + 1)), lambda n: F.struct(s.alias("s"), n.alias("n")))))
-    exploded = distinct.select("_word", F.explode(spans).alias("x")).select("_word", F.col("x.s").alias("s"), F.col("x.n").alias("n"), F.substring("_word", F.col("x.s"), F.col("x.n")).alias("piece"))
-    edges = exploded.join(pieces, "piece").groupBy("_word").agg(F.sort_array(F.collect_list(F.struct((F.col("s") + F.col("n") - 1).alias("end"), "s", "id", F.col("score").cast("double").alias("score")))).alias("edges"))
+    edges = lattice(words, pieces, word)
     state = "array<struct<score:double,ids:array<int>>>"
     start = F.concat(F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids"))), F.array_repeat(F.lit(None).cast("struct<score:double,ids:array<int>>"), F.length(w)))
 
@@ -278,6 +290,27 @@ def viterbi_words(words: DataFrame, pieces: DataFrame, word: str = "word", longe
     return edges.select(F.col("_word").alias(word), F.get(F.aggregate("edges", start.cast(state), step), F.length(w))["ids"].alias("ids"))
 
 
+def merge_words(words: DataFrame, pieces: DataFrame, word: str = "word") -> DataFrame:
+    """Pieces of distinct words under a merge model, by the same lattice and a fold that repeats the best possible merge.
+
+    The state is the set of places where a piece starts or ends, as bits; for words of up to 60 characters, all of
+    which are pieces. It gives what `encoder` does, and is what that is measured against.
+    """
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    ends = lambda e: bit(e["s"] - 1).bitwiseOR(bit(e["end"]))
+    inner = lambda e: (bit(e["end"]) - 1).bitwiseAND(F.bitwise_not(bit(e["s"]) - 1))
+    edges = lattice(words, pieces, word).withColumn("edges", F.sort_array(F.transform("edges", lambda e: F.struct((-e["score"]).alias("rank"), e["s"].alias("s"), e["end"].alias("end"), e["id"].alias("id")))))
+
+    def step(cuts: Column, _: Column) -> Column:
+        ready = F.filter("edges", lambda e: (cuts.bitwiseAND(ends(e)) == ends(e)) & (F.bit_count(cuts.bitwiseAND(inner(e))) == 1))
+        return F.when(F.size(ready) > 0, cuts.bitwiseAND(F.bitwise_not(inner(ready[0])))).otherwise(cuts)
+
+    cuts = F.aggregate(F.sequence(F.lit(1), F.length("_word")), bit(F.length("_word") + 1) - 1, step)
+    kept = F.filter("edges", lambda e: (F.col("cuts").bitwiseAND(ends(e)) == ends(e)) & (F.bit_count(F.col("cuts").bitwiseAND(inner(e))) == 0))
+    ids = F.transform(F.sort_array(F.transform(kept, lambda e: F.struct(e["s"].alias("s"), e["id"].alias("id")))), lambda x: x["id"])
+    return edges.withColumn("cuts", cuts).select(F.col("_word").alias(word), ids.alias("ids"))
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", to: str = "pieces") -> DataFrame:
     return docs.withColumn(to, encoder(vocabulary)(F.col(f"`{text}`")))
 
