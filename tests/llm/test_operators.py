@@ -3,15 +3,17 @@
 import hashlib
 import random
 import re
+import zlib
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from tests.llm import tables as T
-from tokenloom.llm import chunks, decontaminate, langid, licenses, pieces, quality, secrets, sharding, simhash, suffixes
+from tokenloom.llm import chunks, decontaminate, langid, license_texts, licenses, pieces, quality, registry, secrets, sharding, simhash, suffixes
 
 
 def test_quality(spark):
@@ -79,8 +81,8 @@ def test_decontamination(spark):
     items = [(1, "Two three FOUR five six seven eight, nine ten eleven twelve"), (2, "hunter2hunter2"), (3, None), (4, "!!"), (10, "two three four five six seven eight nine ten eleven"), (5, "never seen words")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     for block in (16_000_000, 10):  # one block, and a block for each item
-        found = decontaminate.find(T.awkward(spark), benchmark, block_chars=block).withColumn("h", decontaminate.covered(F.col("_found.spans")))
-        got = [(r["_found"]["n_words"], r["h"], list(r["_found"]["items"])) for r in found.collect()]
+        found = decontaminate.find(T.awkward(spark), benchmark, block_chars=block).withColumn("h", decontaminate.covered(F.col("spans")))
+        got = [(r["n_words"], r["h"], list(r["items"])) for r in found.collect()]
         assert sorted(map(str, got)) == sorted(map(str, _brute_phrases([r[1] for r in T.ROWS], items)))
     kept = decontaminate.drop_contaminated(T.awkward(spark), benchmark)
     assert {r["doc_id"] for r in kept.collect()} == {None, 1, 2, 3, 5, 9} and kept.columns == T.awkward(spark).columns
@@ -92,8 +94,8 @@ def test_decontamination(spark):
 def test_items_without_an_id_contaminate(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon")], "doc_id long, text string")
     items = spark.createDataFrame([(None, "beta gamma"), (7, "alpha beta")], "item_id long, text string")
-    found = decontaminate.find(docs, items).withColumn("h", decontaminate.covered(F.col("_found.spans"))).collect()
-    assert {r["doc_id"]: (r["h"], r["_found"]["items"]) for r in found} == {1: (3, ["7"]), 2: (0, [])}
+    found = decontaminate.find(docs, items).withColumn("h", decontaminate.covered(F.col("spans"))).collect()
+    assert {r["_key"]: (r["h"], r["items"]) for r in found} == {1: (3, ["7"]), 2: (0, [])}
     only = items.filter("item_id IS NULL")
     assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, only).collect()] == [2]
 
@@ -101,8 +103,18 @@ def test_items_without_an_id_contaminate(spark):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta x gamma delta"), (2, "alpha beta gamma delta"), (3, "alpha q q q q beta gamma delta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
-    hits = lambda slop: {r["doc_id"] for r in decontaminate.find(docs, items, slop=slop).collect() if r["_found"]["items"]}
-    assert hits(0) == {2} and hits(1) == {1, 2}
+    hits = lambda slop, column: {r["_key"] for r in decontaminate.find(docs, items, slop=slop).collect() if r[column]}
+    assert hits(0, "items") == hits(1, "items") == {2} and hits(1, "near") == {1, 2}
+
+
+def test_one_index_serves_several_benchmarks(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "delta beta alpha"), (2, None)], "doc_id long, text string")
+    index = decontaminate.build_index(docs)
+    lists = {bytes(t): r["positions"][(r["at"][i - 1] if i else 0) : r["at"][i]] for r in index.collect() if r["terms"] for i, t in enumerate(r["terms"])}
+    assert set(lists) == {b"alpha", b"beta", b"gamma", b"delta"}
+    for text, want in (("beta gamma", {1}), ("beta alpha", {2}), ("alpha gamma", set())):
+        items = spark.createDataFrame([(1, text)], "item_id long, text string")
+        assert {r["_key"] for r in decontaminate.search_index(index, items).collect() if r["items"]} == want
 
 
 def test_secrets_against_patterns(spark):
@@ -130,6 +142,24 @@ def test_secrets_against_patterns(spark):
         ('password = "changeme"', None),
         ('title = "Nine8Seven7Six6"', None),
         ("the secret: of good bread is patience", None),
+        ('def connect():\n    secret_key = TOKEN\n\nTOKEN = "Qw3rTy-88-zzPq"\n', "Qw3rTy-88-zzPq"),
+        ('def a():\n    x = "Qw3rTy-88-zzPq"\ndef b():\n    x = "harmless words"\n    secret_key = x\n', None),
+        ('def a():\n    x = "Qw3rTy-88-zzPq"\n    api_secret = x\ndef b():\n    x = "y"\n', "Qw3rTy-88-zzPq"),
+        ('password: str = "Qw3rTy-88-zzPq"', "Qw3rTy-88-zzPq"),
+        ('private_key = """Qw3rTy-88-zzPq"""', "Qw3rTy-88-zzPq"),
+        ('<add key="DbPassword" value="Qw3rTy-88-zzPq"/>', "Qw3rTy-88-zzPq"),
+        ("<password>Qw3rTy-88-zzPq</password>", "Qw3rTy-88-zzPq"),
+        ("x" * 80 + '_password = "Qw3rTy-88-zzPq"', "Qw3rTy-88-zzPq"),
+        ('config["db_password"] = "Qw3rTy-88-zzPq"', "Qw3rTy-88-zzPq"),
+        ("mysql --password Qw3rTy-88-zzPq", "Qw3rTy-88-zzPq"),
+        ('# api_secret = "Qw3rTy-88-zzPq"', "Qw3rTy-88-zzPq"),
+        ('/* note */ const dbPassword = process.env.PW || "Qw3rTy-88-zzPq";', "Qw3rTy-88-zzPq"),
+        ('password = os.getenv("PW", "Qw3rTy-88-zzPq")', "Qw3rTy-88-zzPq"),
+        ('class K {\n static v = "Qw3rTy-88-zzPq";\n}\nlet authToken = K.v;', "Qw3rTy-88-zzPq"),
+        ("db_secret:\n  value: Qw3rTy-88-zzPq\n", "Qw3rTy-88-zzPq"),
+        ('{"db_secret": {"value": "Qw3rTy-88-zzPq"}}', "Qw3rTy-88-zzPq"),
+        ("a = b\nb = a\npassword = a", None),
+        ("\n".join(f"a{i} = a{i + 1}" for i in range(3000)) + '\na3000 = "Qw3rTy-88-zzPq"\npassword = a0', "Qw3rTy-88-zzPq"),
     ],
 )
 def test_literals(text, literal):
@@ -137,6 +167,11 @@ def test_literals(text, literal):
     assert found == ([literal] if literal else [])
 
 
+def test_parts_of_a_literal_are_all_found():
+    for text in ('secret = "Qw3rTy-88" + "-zzPq"', 'secret = ("Qw3rTy-88"\n    "-zzPq")', 'a = "Qw3rTy-88"\nsecret = a + "-zzPq"'):
+        assert [text[s:e] for k, s, e in secrets.scan(text) if k == "literal"] == ["Qw3rTy-88", "-zzPq"]
+
+
 def test_golay_keys():
     patterns = simhash.coset_patterns()
     assert sorted({len(set(p)) for p in patterns.tolist()}) == [1, 6]
@@ -172,7 +207,8 @@ def test_simhash_of_awkward_rows(spark):
     kept = simhash.drop_near_copies(T.awkward(spark))
     assert kept.columns == T.awkward(spark).columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and {1, 4}.issubset(ids) and not {2, 3, 6} & set(ids)
+    roots = T.brute_components([T.brute_fingerprint(t) for _, t, *_ in T.ROWS])
+    assert len(ids) == len(set(roots)) and {1, 4}.issubset(ids) and not {2, 3, 6, None} & set(ids)
     assert simhash.group(T.empty(spark)).count() == simhash.drop_near_copies(T.empty(spark)).count() == 0
 
 
@@ -210,27 +246,43 @@ def test_suffix_dedup_awkward(spark):
     assert suffixes.remove_repeats(T.empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize(("batches", "group"), [(1, 500), (5, 2)])
-def test_suffix_dedup_by_batches_and_spread_groups(spark, batches, group):
+@pytest.mark.parametrize(("batches", "block", "chunk", "frequent"), [(1, 16, 1, 3), (5, 4, 1 << 24, 100_000), (3, 77, 5000, 12)])
+def test_suffix_dedup_by_batches_blocks_and_chunks(spark, monkeypatch, batches, block, chunk, frequent):
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    monkeypatch.setattr(suffixes.frequent_minimizers, "__defaults__", (*suffixes.frequent_minimizers.__defaults__[:-1], frequent))
     rows = [(k, t) for k, t in T.sample_rows("documents", "doc_id, substr(text, 1, 1500)")]
     rng = random.Random(1)
     shared = "".join(rng.choice("abcdefgh ") for _ in range(180))
     rows += [(1000 + i, f"{rng.random()}{shared}{rng.random()}" * 2) for i in range(12)]
     want = T.brute_suffix(sorted(rows))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for r in suffixes.remove_repeats(docs, batches=batches, group=group).collect():
+    for r in suffixes.remove_repeats(docs, batches=batches, block=block).collect():
         n, spans, _ = want[r["doc_id"], r["text"]]
         assert (len((r["text"] or "").encode()) - len(r["_cut"]["kept"]), len(r["_cut"]["runs"])) == (n, spans)
 
 
 def test_levels_merge_geometrically(spark):
-    rows = spark.read.parquet(f"{T.SF}/documents.parquet").select(F.col("doc_id").alias("_key"), F.lit(0).alias("_mark"), F.col("text").alias("_text"))
-    family = suffixes.Family()
+    rows = spark.read.parquet(f"{T.SF}/documents.parquet").select(F.col("doc_id").alias("_key"), F.lit("").alias("_mark"), F.col("text").alias("_text"))
+    family = suffixes.Family(spark, 4)
     ranks = []
     for part in suffixes._batches(rows, 4):
         family.insert(suffixes.entries(part))
         ranks.append(sorted(family.levels))
     assert ranks == [[0], [1], [0, 1], [2]]
+    level = family.levels[2]
+    assert level.count() == suffixes.entries(rows).select("gram", "seg").distinct().count()
+    # a scan shuffles the new batch only
+    plan = suffixes.merge_scan(suffixes.entries(rows), [level], 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    family.discard()
+
+
+def test_suffix_dedup_takes_ids_of_any_type(spark):
+    rows = [(f"k{i:04}", t) for i, (t,) in enumerate(T.sample_rows("documents", "substr(text, 1, 800)"))]
+    want = T.brute_suffix(rows)
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumns({c: F.lit(1) for c in ("_key", "_mark", "_text", "_row", "_maybe", "spans")})
+    for r in suffixes.remove_repeats(docs, batches=3).collect():
+        assert len(r["text"].encode()) - len(r["_cut"]["kept"]) == want[r["doc_id"], r["text"]][0] and r["_key"] == 1
 
 
 def test_chunks():
@@ -318,6 +370,131 @@ def test_viterbi_words(spark):
                 paths[end] = max(offers, key=lambda x: x[0])
         return paths.get(len(word), (0, None))[1]
 
-    words = ["abc", "aab", "▁abcabc", "bca", "axb", "x", ""]
+    long = "ab" * 9
+    table.append((long, 9, -1.0))
+    score[long] = (9, -1.0)
+    words = ["abc", "aab", "▁abcabc", "bca", "axb", "x", "", long + "c"]
     got = {r["word"]: r["ids"] for r in pieces.viterbi_words(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(table, "piece string, id int, score double")).collect()}
     assert got == {w: best(w) for w in words if best(w) or (w and any(c in score for c in w))}
+
+
+def test_merge_words_equal_the_encoder(spark):
+    vocabulary = pieces.Vocabulary.load()
+    encode = pieces.Encoder(vocabulary)
+    words = sorted({u for (t,) in T.sample_rows("documents", "text")[:40] for u in pieces.as_units(t, encode.pattern) if 1 < len(u) <= 40 and encode.letters.issuperset(u)})
+    table = [(p, i, vocabulary.scores[i]) for p, i in vocabulary.plain()]
+    got = pieces.merge_words(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(table, "piece string, id int, score double")).collect()
+    encode.learn(words)
+    assert len(got) == len(words) > 500 and all(r["ids"] == encode.known[r["word"]].tolist() for r in got)
+
+
+def test_language_of_symbols_beyond_the_letters(spark):
+    for text in ("\U000f0000\U000f0001", "\U000e0041 \U000e0042", "123 .,", ""):
+        assert len(langid.counts(text)[0]) == 0
+    assert len(langid.counts("\U00020001")[0]) > 0
+
+
+def test_costs_of_rules_are_measured(spark):
+    docs = spark.read.parquet(f"{T.SF}/documents.parquet")
+    seen = quality.measured(quality.sampled(docs), quality.MORE)
+    assert set(seen) == {r.name for r in quality.MORE} and all(0 <= s <= 1 and c >= quality.LEAST_SECONDS for s, c in seen.values())
+    assert quality.sampled(docs, sample_rows=50).count() < docs.count()
+
+
+def test_license_texts_and_blocks(spark):
+    mit = license_texts.TEXTS["MIT"][0]
+    gpl = license_texts.TEXTS["GPL-3.0"][0].replace(". ", ".\n# ").replace("\n\n", "\n#\n# ")
+    rows = [
+        (1, "SPDX-License-Identifier: GPL-2.0-only", "a/x.c", ("GPL-2.0", "file")),
+        (2, "GNU AFFERO GENERAL PUBLIC LICENSE Version 3", "b/COPYING", ("AGPL-3.0", "file")),
+        (3, "MIT License\n\nCopyright (c) 2020 A. N. Other\n\n" + mit, "c/some.txt", ("MIT", "file")),
+        (4, f"# {gpl}\nimport os\n" + "\n".join(f"call_{i}(value_{i}, other_{i})" for i in range(80)), "d/y.py", ("GPL-3.0", "header")),
+        (5, "nothing", "c/deep/er/z.py", ("MIT", "inherited")),
+        (6, "the permission of the software notice", "e/z.py", (None, "none")),
+        (7, "\n".join(f"call_{i}()" for i in range(300)) + "\n" + mit.split("\n\n")[0], "f/z.py", ("MIT", "header")),
+    ]
+    clash = ("text_mark", "_license", "_cosine", "_whole", "license", "found_by", "from_directory", "mark", "unit", "own_directory", "inherited_license")
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, path string").withColumns({c: F.lit("x") for c in clash})
+    got = {r["doc_id"]: (r["license"], r["found_by"], r["text_mark"]) for r in licenses.inherit(licenses.declarations(docs)).collect()}
+    assert got == {r[0]: (*r[3], "x") for r in rows}
+
+
+def _scores_by_hand(text, listed, idf, other):
+    """The cosines of a text's units with all templates, plainly."""
+    own = re.sub(licenses._OWNER.replace("(?im)", ""), "", text, flags=re.I | re.M)
+    units = [*own.split("\n"), *re.split(r"\n[^\w\n]*\n", own), own]
+    best = (False, 0.0, None)
+    for u in units:
+        tf = {}
+        for w in re.findall("[a-z0-9]+", u.lower()):
+            tf[w] = tf.get(w, 0) + 1
+        norm = sum((n * idf.get(w, other)) ** 2 for w, n in tf.items()) ** 0.5
+        for name, t, shared in listed:
+            size = sum((n * idf[w]) ** 2 for w, n in t.items()) ** 0.5
+            c = round(sum(n * idf[w] * t[w] * idf[w] for w, n in tf.items() if w in t) / (norm * size), 9) if norm else 0.0
+            best = max(best, (c >= licenses.MIN_COSINE and not shared, c, name), key=lambda x: x[:2])
+    return best[1:]
+
+
+def test_license_cosines_against_brute_force(spark):
+    docs = spark.read.parquet(f"{T.SF}/documents.parquet")
+    listed = licenses.templates()
+    idf, other = licenses.inverse_frequencies(docs, sorted({t for _, tf, _ in listed for t in tf}))
+    for r in licenses.declarations(docs).collect():
+        c, name = _scores_by_hand(r["text"], listed, idf, other)
+        assert (r["_license"] is not None) == (c >= licenses.MIN_COSINE)
+        if c >= licenses.MIN_COSINE:
+            assert abs(r["_cosine"] - c) < 1e-6
+
+
+def test_chunk_dedup_against_brute_force(spark):
+    rows = sorted(T.sample_rows("documents", "doc_id, text"))
+    seen, want = set(), {}
+    for key, text in rows:
+        removed = 0
+        for _, n, digest in chunks.chunk(text):
+            removed += n if digest in seen else 0
+            seen.add(digest)
+        want[key] = removed
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in chunks.op3_chunk_dedup(spark, T.SF).collect()}
+    assert got == {k: (len((t or "").encode()), want[k]) for k, t in rows}
+    clash = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_key", "_mark", "_hash", "_row", "_maybe", "spans")})
+    assert chunks.remove_repeated(clash).filter("_hash = 1 AND _row = 1").count() == len(rows)
+
+
+def test_registered_queries_without_sql_against_brute_force(spark):
+    rows = sorted(T.sample_rows("documents", "doc_id, text"))
+    want = T.brute_suffix(rows)
+    for r in suffixes.op4_suffix_dedup(spark, T.SF).collect():
+        text = dict(rows)[r["doc_id"]]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(text.encode()), *want[r["doc_id"], text])
+    prints = [T.brute_fingerprint(t) for _, t in rows]
+    roots = T.brute_components(prints)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op7_simhash_golay(spark, T.SF).collect()}
+    assert got == {k: (f"{p:016x}", rows[i][0]) for (k, _), p, i in zip(rows, prints, roots, strict=True)}
+    for r in secrets.op8_secret_scan(spark, T.SF).collect():
+        found = secrets.scan(dict(rows)[r["doc_id"]])
+        base = ",".join(f"{k}:{s}:{e}" for k, s, e in found if k != "literal")
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and r["spans"] == ",".join(f"{k}:{s}:{e}" for k, s, e in found)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x[0] == k for x in found) for k in secrets.KINDS[:3])
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    for r in pieces.op1_sentencepiece(spark, T.SF).collect():
+        ids = library.encode(dict(rows)[r["doc_id"]])
+        assert (r["n_pieces"], r["pieces_sha256"], r["round_trip"]) == (len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), True)
+    langs = dict(T.sample_rows("documents", "doc_id, lang"))
+    found = langid.op10_language_id(spark, T.SF).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found)
+    held = [r["lang_pred"] == langs[r["doc_id"]] for r in found if r["held_out"] and langs[r["doc_id"]]]
+    assert len(held) > 20 and np.mean(held) > 0.95
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_registered_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{T.SF}/{table}.parquet'")
+    want = con.execute(registry.oracle_sql()[name])
+    columns = sorted(c[0] for c in want.description)
+    got = registry.queries()[name](spark, T.SF)
+    assert sorted(got.columns) == columns
+    assert sorted(map(str, T.rows_of(got.select(*columns)))) == sorted(str(r) for r in con.execute(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()[name]})").fetchall())
