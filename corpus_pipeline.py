@@ -1,19 +1,22 @@
 """The corpus pipeline: quality rules, near copies, benchmark passages, secrets, pieces.
 
+Null, empty and very long texts, null and repeated ids, repeated rows, empty tables and further columns of any name go
+through all stages as their operators' docstrings say: rows with a null or empty text fail the quality rules, equal rows
+are one group of near copies, of which one stays, and no stage tells rows apart by their id alone.
+
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each but the last returns the columns of
 documents. `run` writes every stage's rows as Parquet in the checkpoint folder and rereads them for the next.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm import decontaminate, pieces, quality, secrets, simhash
-from tokenloom.llm.common import read, use_checkpoints
+from tokenloom.llm.common import delete, new_folder, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies, that with the smallest id; ids may be missing or repeat."""
-    return simhash.drop_near_copies(docs, unique_keys=False)
+    return simhash.drop_near_copies(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    use_checkpoints(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+    """The rows of the last stage. What a stage has written is deleted once the next one has read it."""
+    docs, before = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        folder = new_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if before:
+            delete(spark, before)
+        before = folder
     return docs
