@@ -107,7 +107,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     """
     all_chunks = store(chunks(docs, key, text, least), "chunks")
     place = F.struct("_key", "_mark", "start")
-    first = all_chunks.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = all_chunks.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("k")).filter("k > 1")
     later = salted(all_chunks, first, "digest", F.xxhash64("_key", "_mark", "start")).filter(~place.eqNullSafe(F.col("first")))
     spans = store(later.groupBy("_key", "_mark").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans")), "spans")
     discard(all_chunks)

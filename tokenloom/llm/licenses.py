@@ -106,21 +106,21 @@ def declarations(docs: DataFrame, text: str = "text", texts: dict[str, list[str]
     marked = docs.drop("_license", "_cosine", "_whole")
     # texts without a cue have no mark and never leave their task
     marked = marked.withColumn(mark, F.when(F.arrays_overlap(terms(body), cue), F.md5(body.cast("binary"))))
-    distinct = marked.filter(F.col(mark).isNotNull()).groupBy(F.col(mark).alias("mark")).agg(F.first(body).alias("text"))
+    distinct = marked.filter(F.col(mark).isNotNull()).groupBy(F.col(mark).alias("mark")).agg(F.first(body).alias("text"), F.count("*").alias("k"))
     own = F.regexp_replace("text", _OWNER, "")
     blocks = F.concat(F.split(own, "\n"), F.split(own, r"\n[^\p{L}\p{N}\n]*\n"), F.array(own))
-    units = distinct.select("mark", F.posexplode(F.transform(blocks, lambda u, i: F.struct(terms(u).alias("terms"), (i == F.size(blocks) - 1).alias("whole")))).alias("unit", "u"))
-    scored = units.filter(F.arrays_overlap("u.terms", cue)).select("mark", "unit", "u.whole", F.explode("u.terms").alias("term"))
-    counted = scored.groupBy("mark", "unit", "whole", "term").agg(F.count("*").cast("double").alias("tf"))
+    units = distinct.select("mark", "k", F.posexplode(F.transform(blocks, lambda u, i: F.struct(terms(u).alias("terms"), (i == F.size(blocks) - 1).alias("whole")))).alias("unit", "u"))
+    scored = units.filter(F.arrays_overlap("u.terms", cue)).select("mark", "k", "unit", "u.whole", F.explode("u.terms").alias("term"))
+    counted = scored.groupBy("mark", "k", "unit", "whole", "term").agg(F.count("*").cast("double").alias("tf"))
     known = spark.sql(f"SELECT * FROM VALUES {', '.join(f'''('{t}', {v}D)''' for t, v in idf.items())} AS t(term, idf)")
     weighted = counted.join(F.broadcast(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norms = weighted.groupBy("mark", "unit", "whole").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("known"))
-    dots = norms.select("mark", "unit", "whole", "norm", F.inline("known")).join(F.broadcast(_weights(spark, listed, idf)), "term")
-    dots = dots.groupBy("mark", "unit", "whole", "norm", "template", "license", "shared").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    found = dots.select("mark", "license", "shared", "whole", F.round(F.col("dot") / F.col("norm"), 9).alias("c")).filter(F.col("c") >= least)
-    by_name = found.groupBy("mark", "license").agg(F.min(F.struct("shared", (-F.col("c")).alias("c"))).alias("best"), F.max("whole").alias("whole"))
-    best = by_name.groupBy("mark").agg(F.min(F.struct("best", "license", "whole")).alias("b"))
-    best = cut(best.select(F.col("mark").alias(mark), F.col("b.license").alias("_license"), (-F.col("b.best.c")).alias("_cosine"), F.col("b.whole").alias("_whole")))
+    norms = weighted.groupBy("mark", "k", "unit", "whole").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("known"))
+    dots = norms.select("mark", "k", "unit", "whole", "norm", F.inline("known")).join(F.broadcast(_weights(spark, listed, idf)), "term")
+    dots = dots.groupBy("mark", "k", "unit", "whole", "norm", "template", "license", "shared").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    found = dots.select("mark", "k", "license", "shared", "whole", F.round(F.col("dot") / F.col("norm"), 9).alias("c")).filter(F.col("c") >= least)
+    by_name = found.groupBy("mark", "k", "license").agg(F.min(F.struct("shared", (-F.col("c")).alias("c"))).alias("best"), F.max("whole").alias("whole"))
+    best = by_name.groupBy("mark", "k").agg(F.min(F.struct("best", "license", "whole")).alias("b"))
+    best = cut(best.select(F.col("mark").alias(mark), "k", F.col("b.license").alias("_license"), (-F.col("b.best.c")).alias("_cosine"), F.col("b.whole").alias("_whole")))
     plain = marked.filter(F.col(mark).isNull()).withColumns({"_license": F.lit(None).cast("string"), "_cosine": F.lit(None).cast("double"), "_whole": F.lit(False)})
     held = marked.filter(F.col(mark).isNotNull())
     joined = salted(held, best, mark, F.monotonically_increasing_id(), "left").withColumn("_whole", F.coalesce("_whole", F.lit(False)))
@@ -144,12 +144,13 @@ def inherit(declared: DataFrame, path: str = "path") -> DataFrame:
     is_file = F.col("_license").isNotNull() & (F.col("_whole") | F.coalesce(place.rlike(_NAMED), F.lit(False)))
     files = declared.filter(is_file & place.isNotNull()).groupBy(directory.alias("directory"), "_license").agg(F.count("*").alias("n"))
     top = files.groupBy("directory").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("_license").alias("license")))["license"].alias("held"))
-    places = declared.filter(place.isNotNull()).select(directory.alias("own")).distinct()
-    up = places.select("own", F.explode(ancestors(F.concat("own", F.lit("/x")))).alias("a")).select("own", "a.depth", "a.directory")
-    nearest = salted(up, top, "directory", F.xxhash64("own")).groupBy("own").agg(F.max(F.struct("depth", "directory", "held")).alias("near"))
+    places = declared.filter(place.isNotNull()).groupBy(directory.alias("own")).agg(F.count("*").alias("rows"))
+    up = cut(places.select("own", "rows", F.explode(ancestors(F.concat("own", F.lit("/x")))).alias("a")).select("own", "rows", "a.depth", "a.directory"))
+    below = up.groupBy("directory").agg(F.count("*").alias("k"))
+    nearest = salted(up, cut(top.join(below, "directory")), "directory", F.xxhash64("own")).groupBy("own", "rows").agg(F.max(F.struct("depth", "directory", "held")).alias("near"))
     names = [_free(declared, n) for n in ("inherited_license", "inherited_from")]
-    nearest = nearest.select(F.col("own").alias(own_name), F.col("near.held").alias(names[0]), F.col("near.directory").alias(names[1]))
-    joined = salted(declared.withColumn(own_name, directory), nearest, own_name, F.monotonically_increasing_id(), "left")
+    nearest = nearest.select(F.col("own").alias(own_name), F.col("rows").alias("k"), F.col("near.held").alias(names[0]), F.col("near.directory").alias(names[1]))
+    joined = salted(declared.withColumn(own_name, directory), cut(nearest), own_name, F.monotonically_increasing_id(), "left")
     own = F.col("_license").isNotNull()
     how = F.when(is_file, "file").when(own, "header").when(F.col(names[0]).isNotNull(), "inherited").otherwise("none")
     found = {"license": F.coalesce("_license", names[0]), "found_by": how, "from_directory": F.when(~own, F.col(names[1]))}

@@ -210,17 +210,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def rooted(prints: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(fp, least, root) of distinct fingerprints; root is the smallest fingerprint of the component."""
+    """Distinct fingerprints with their columns and root, which is the smallest fingerprint of the component."""
     root = components(links(prints.select("fp"), block))
-    return prints.join(root, prints["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    own = [c for c in prints.columns if c != "fp"]
+    return prints.join(root, prints["fp"] == root["node"], "left").select("fp", *own, F.coalesce("root", "fp").alias("root"))
 
 
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Every row's key, fingerprint (16 hex digits) and component_id. The rows of a hot fingerprint or component are dealt over several tasks."""
     rows = cut(docs.select(F.col(f"`{key}`").alias("_key"), fingerprints(F.col(f"`{text}`")).alias("fp"), F.monotonically_increasing_id().alias("nth")))
-    prints = cut(rows.groupBy("fp").agg(F.min("_key").alias("least")))
-    found = rooted(prints, block)
-    named = salted(found, found.groupBy("root").agg(F.min("least").alias("component_id")), "root", F.xxhash64("fp")).select("fp", "component_id")
+    prints = cut(rows.groupBy("fp").agg(F.min("_key").alias("least"), F.count("*").alias("n")))
+    found = cut(rooted(prints, block))
+    named = salted(found, found.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("k")), "root", F.xxhash64("fp"))
+    named = named.select("fp", "component_id", F.col("n").alias("k"))
     return salted(rows, named, "fp", F.col("nth")).select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -237,6 +239,7 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     prints = cut(rows.groupBy("fp").agg(F.min("place").alias("least")))
     chosen = rooted(prints).groupBy("root").agg(F.min("least").alias("least"))
     chosen = cut(chosen.select(F.col("least.one").alias("_one"), F.col("least.two").alias("_kept_two")).distinct())
+    chosen = chosen.join(rows.groupBy(F.col("place.one").alias("_one")).agg(F.count("*").alias("k")), "_one")
     kept = salted(marked, chosen, "_one", F.col("_two")).filter(F.col("_two") == F.col("_kept_two"))
     # rows alike in all columns have equal marks: one of them stays
     return unboxed(kept.dropDuplicates(["_one", "_two"]), docs)

@@ -6,24 +6,25 @@ Sparse suffixes. Of the GRAM-byte strings inside every WIDTH-byte window one is
 leftmost of equals). Equal windows have equal minimizers at equal places, so suffixes need to be kept at
 minimizers only, about one in thirty positions. The windows with the same minimizer are neighbours; together
 they span a segment. An index entry is (hash of the minimizer, hash of the segment, key, place of the
-segment, number of its windows, place of the minimizer in it). A run holds a batch's entries in the order of
+segment, number of its windows, place of the minimizer in it, short hashes of the bytes on its two sides). A run holds a batch's entries in the order of
 minimizer and segment, that is, a suffix array cut at the depth that decides about matches of WIDTH bytes, in the
 order of fingerprints.
 
-Index family. Documents come in batches of ascending ids. A level is a table bucketed and sorted by minimizer and
-segment, so a scan shuffles the new batch only and merges it with the levels where they lie: entries that follow
+Index family. Documents come in batches of ascending ids. A level is a table bucketed by minimizer, so a scan
+shuffles the new batch only and merges it with the levels where they lie: entries that follow
 an equal segment are matches of all their windows; unequal segments with the same minimizer are partial matches,
 to be resolved. What is new becomes a level; two levels of equal rank merge into one of the next rank, without
 a shuffle, so an entry is rewritten a logarithmic number of times.
 
 Copies and hot minimizers. A task that makes entries marks those whose segment it has seen at an earlier place in
-the same CHUNK bytes of text: they are matches already and are dealt over all tasks. Minimizers that a sample of
+the same CHUNK bytes of text: they are matches already, become one row for each run of them, and are dealt over all tasks. Minimizers that a sample of
 documents shows to be frequent are dealt over SPREAD tasks by segment and count as shared. Neither changes a result.
 
-Partial matches. Every window has an offset to its minimizer; the windows of a segment whose offsets lie in the same
-block of BLOCK share a core of WIDTH - BLOCK + 1 bytes. Equal windows have equal cores, so only windows whose core
-occurs twice are digested one by one, and a digest's first place stays. Both steps are counts and minima, so
-no group is ever held by a task, whatever its size.
+Partial matches. A window reaches half its length beyond the minimizer on one side at least, so only segments that
+share the bytes of a side with another are looked at. Every window has an offset to its minimizer; the windows
+of a segment whose offsets lie in the same block of BLOCK share a core of WIDTH - BLOCK + 1 bytes. Blocks whose bytes occur
+earlier are matches; of the others, windows whose core occurs in unlike blocks are digested one by one, and a
+digest's first place stays. All steps are counts and minima, so no group is ever held by a task, whatever its size.
 
 Null and empty texts have no bytes. Rows with the same id are ordered by hashes of their text (32, then 128 bits);
 rows equal in all are one document and each gets its row. A null id comes first; ids may have any type that has
@@ -47,12 +48,14 @@ from tokenloom.llm.common import boxed, delete, discard, filled, mark_of, may_ho
 
 WIDTH, GRAM = 100, 24
 #: Batches a whole table is inserted in; window offsets of one core.
-BATCHES, BLOCK = 4, 16
+BATCHES, BLOCK = 2, 16
 #: Text in which a task looks for copies by itself; tasks that a frequent minimizer is dealt over.
 CHUNK, SPREAD = 16 << 20, 32
 #: Documents in the sample that shows frequent minimizers, and in how many of them one is frequent.
 SAMPLE_ROWS, FREQUENT = 4000, 12
 _PIECE = 1 << 20
+#: The hash of a side on which the text ends too soon.
+_ENDS = 0xFFFF
 _MIX, _BASE = np.uint64(0xBF58476D1CE4E5B9), 0x9E3779B97F4A7C15
 
 
@@ -120,13 +123,30 @@ def _entry_rows(width: int, gram: int, hot: np.ndarray) -> Callable:
         for i, (d, f, k) in enumerate(zip(owner.tolist(), first.tolist(), n.tolist(), strict=True)):
             seg[i] = xxhash.xxh3_64_intdigest(docs[d][3][f : f + k + width - 1])
         again = pd.DataFrame({"v": value, "s": seg}).duplicated().to_numpy()
+        half = (width - gram) // 2
+        sides = []
+        for before in (True, False):
+            side = np.full(len(first), _ENDS, dtype=np.int32)
+            for i in np.flatnonzero(~again).tolist():
+                raw, p = docs[owner[i]][3], int(at[i])
+                lo, hi = (p - half, p) if before else (p + gram, p + gram + half)
+                if lo >= 0 and hi <= len(raw):
+                    side[i] = xxhash.xxh3_64_intdigest(raw[lo:hi]) % _ENDS
+            sides.append(side)
+        # neighbours that are copies become one row
+        tied = again[1:] & again[:-1] & (owner[1:] == owner[:-1]) & (first[1:] == first[:-1] + n[:-1])
+        head = np.flatnonzero(np.concatenate([[True], ~tied])) if len(first) else np.zeros(0, np.int64)
+        n = np.add.reduceat(n, head) if len(head) else n
+        first, at, value, seg, owner, again = (x[head] for x in (first, at, value, seg, owner, again))
         salt = np.where(np.isin(value, hot), 1 + seg % np.uint64(SPREAD), 0).astype(np.int32)
         salt[again] = 1 + SPREAD + np.arange(int(again.sum())) % 1024
         of = pa.array(owner)
         keys, marks = (pa.array([d[i] for d in docs], kinds[i - 1]).take(of) for i in (1, 2))
-        plain = [value.astype(np.uint32).view(np.int32), salt, seg.view(np.int64), first.astype(np.int32), n.astype(np.int16), (at - first).astype(np.int16)]
-        gram_, salt_, seg_, lo, n_, off = map(pa.array, plain)
-        return pa.RecordBatch.from_arrays([gram_, salt_, seg_, keys, marks, lo, n_, off], names=["gram", "salt", "seg", "_key", "_mark", "lo", "n", "off"])
+        # few wide columns: rows of many narrow ones take more room in a shuffle
+        info = (at - first).astype(np.int64) << 32 | sides[0][head].astype(np.int64) << 16 | sides[1][head]
+        plain = [salt.astype(np.int64) << 32 | value, seg.view(np.int64), first.astype(np.int64) << 32 | n, info]
+        gram_, seg_, span, info_ = map(pa.array, plain)
+        return pa.RecordBatch.from_arrays([gram_, seg_, keys, marks, span, info_], names=list(_ENTRY))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, kinds = [], 0, None
@@ -147,26 +167,42 @@ def _entry_rows(width: int, gram: int, hot: np.ndarray) -> Callable:
 
 
 def entries(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: np.ndarray | None = None) -> DataFrame:
-    """A batch's index entries, from _key, _mark and _text; `salt` deals frequent minimizers and marks repeats in a chunk."""
+    """A batch's index entries, from _key, _mark and _text, in few wide columns.
+
+    gram: salt and minimizer, the salt dealing frequent minimizers and marking repeats in a chunk; seg: the segment's hash;
+    span: its first window and their number; info: the minimizer's offset in it and the hashes of its two sides.
+    """
     kind = dict(rows.dtypes)["_key"]
-    schema = f"gram int, salt int, seg long, _key {kind}, _mark string, lo int, n short, off short"
+    schema = f"gram long, seg long, _key {kind}, _mark string, span long, info long"
     return rows.select("_key", "_mark", "_text").mapInArrow(_entry_rows(width, gram, np.zeros(0, np.int64) if hot is None else hot), schema)
 
 
+def _salt() -> Column:
+    return F.shiftright("gram", 32)
+
+
 def frequent_minimizers(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, sample_rows: int = SAMPLE_ROWS, frequent: int = FREQUENT) -> np.ndarray:
     """Minimizers with many segments in a sample: a hint for dealing the work, bounded by the sample's entries."""
     share = min(1.0, sample_rows / max(1, rows.count()))
-    seen = entries(rows.sample(fraction=share, seed=17), width, gram).filter("salt = 0").groupBy("gram").count().filter(F.col("count") >= frequent)
-    return np.sort(np.array([r["gram"] & 0xFFFFFFFF for r in seen.select("gram").collect()], dtype=np.int64))
+    seen = entries(rows.sample(fraction=share, seed=17), width, gram).filter(_salt() == 0).groupBy("gram").count().filter(F.col("count") >= frequent)
+    return np.sort(np.array([r["gram"] for r in seen.select("gram").collect()], dtype=np.int64))
 
 
 _OLD, _NEW = 0, 1
 _PLACE = ("_key", "_mark", "lo")
-_ENTRY = ("gram", "salt", "seg", *_PLACE, "n", "off")
+_ENTRY = ("gram", "seg", "_key", "_mark", "span", "info")
 
 
 def _again() -> Column:
-    return F.col("salt") > SPREAD
+    return _salt() > SPREAD
+
+
+def _lo() -> Column:
+    return F.shiftright("span", 32).cast("int").alias("lo")
+
+
+def _n() -> Column:
+    return F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n")
 
 
 def merge_scan(new: DataFrame, levels: list[DataFrame], parts: int) -> DataFrame:
@@ -175,14 +211,14 @@ def merge_scan(new: DataFrame, levels: list[DataFrame], parts: int) -> DataFrame
 
     Only the new entries are shuffled: levels lie as they are needed. Rows that are one document share their places.
     """
-    both = new.repartition(parts, "gram", "salt").withColumn("age", F.lit(_NEW))
+    both = new.repartition(parts, "gram").withColumn("age", F.lit(_NEW))
     for level in levels:
         both = both.unionByName(level.withColumn("age", F.lit(_OLD)))
-    over = Window.partitionBy("gram", "salt")
-    nth = F.rank().over(Window.partitionBy("gram", "salt", "seg").orderBy("age", *(F.col(c).asc_nulls_first() for c in _PLACE)))
+    over = Window.partitionBy("gram")
+    nth = F.rank().over(Window.partitionBy("gram", "seg").orderBy("age", *(F.col(c).asc_nulls_first() for c in ("_key", "_mark", "span"))))
     ranked = both.withColumn("nth", nth)
     several = (F.count(F.when(F.col("nth") == 1, 1)).over(over) > 1) & (F.max(F.when(F.col("nth") == 1, F.col("age"))).over(over) == _NEW)
-    return ranked.withColumn("shared", ~_again() & ((F.col("salt") > 0) | several))
+    return ranked.withColumn("shared", ~_again() & ((_salt() > 0) | several))
 
 
 class Family:
@@ -196,10 +232,10 @@ class Family:
         self.partial: list[DataFrame] = []
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
-        """A written table, bucketed and sorted by minimizer and segment, in the shared folder."""
+        """A written table, bucketed by minimizer, in the shared folder."""
         name, path = f"level_{uuid.uuid4().hex}", new_folder(self.spark, "level")
         self.tables.append((name, path))
-        df.write.bucketBy(self.parts, "gram", "salt").sortBy("gram", "salt", "seg").option("compression", "zstd").option("path", path).saveAsTable(name)
+        df.write.bucketBy(self.parts, "gram").option("compression", "zstd").option("path", path).saveAsTable(name)
         return self.spark.table(name)
 
     def insert(self, new: DataFrame, last: bool = False) -> None:
@@ -208,8 +244,8 @@ class Family:
         fresh, first = F.col("age") == _NEW, (F.col("nth") == 1) & ~_again()
         found = fresh & ~first | first & F.col("shared")
         scanned = self._bucketed(scanned.filter(found if last else found | fresh))
-        self.whole.append(scanned.filter(fresh & ~first).select(*_PLACE, "n"))
-        self.partial.append(scanned.filter(first & F.col("shared")).select(*_PLACE, "n", "off"))
+        self.whole.append(scanned.filter(fresh & ~first).select("_key", "_mark", _lo(), _n()))
+        self.partial.append(scanned.filter(first & F.col("shared")).select(*_ENTRY))
         if last:
             return
         rank, run = 0, scanned.filter(fresh & first).select(*_ENTRY)
@@ -232,52 +268,49 @@ def _texts_at(rows: DataFrame, places: DataFrame) -> DataFrame:
     return few.join(named, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m"))).select("_key", "_mark", "_text", "places")
 
 
-def _by_text(make: Callable, columns: list[str], most: int = 200_000) -> Callable:
-    """Rows made from each document's bytes and places, handed on in bounded batches."""
+def _by_text(make: Callable, columns: list[str], fields: tuple[str, ...], most: int = 100_000) -> Callable:
+    """Rows made from each document's bytes and places (arrays of numbers), handed on in bounded batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = [batch.column(i).type for i in range(2)]
+            types = {"_key": batch.column(0).type, "_mark": batch.column(1).type, "core": pa.int64(), "own": pa.int64(), "high": pa.int64(), "low": pa.int64(), "lo": pa.int32(), "n": pa.int32()}
             out: list[list] = [[] for _ in columns]
-
-            def made(out: list[list], kinds: list[pa.DataType] = kinds) -> pa.RecordBatch:
-                types = {"_key": kinds[0], "_mark": kinds[1], "core": pa.int64(), "digest": pa.binary(), "lo": pa.int32(), "n": pa.int16()}
-                return pa.RecordBatch.from_arrays([pa.array(x, types[c]) for c, x in zip(columns, out, strict=True)], names=columns)
-
-            for key, mark, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = (text or "").encode()
-                for row in make(raw, places):
+            for i in range(batch.num_rows):
+                key, mark, raw = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), (batch.column(2)[i].as_py() or "").encode()
+                places = batch.column(3)[i].values
+                for row in make(raw, *(places.field(f).to_numpy(zero_copy_only=False).tolist() for f in fields)):
                     for x, v in zip(out, (key, mark, *row), strict=True):
                         x.append(v)
                     if len(out[0]) >= most:
-                        yield made(out)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, types[c]) for c, x in zip(columns, out, strict=True)], names=columns)
                         out = [[] for _ in columns]
             if out[0]:
-                yield made(out)
+                yield pa.RecordBatch.from_arrays([pa.array(x, types[c]) for c, x in zip(columns, out, strict=True)], names=columns)
 
     return run
 
 
 def _cores(width: int, block: int) -> Callable:
-    """(core, first window, windows) of each block of a segment."""
+    """(hash of the core, hash of all bytes, first window, windows) of each block of a segment."""
     core = width - block + 1
 
-    def make(raw: bytes, places: list[dict]) -> Iterator[tuple]:
-        for p in places:
-            lo, n, at = p["lo"], p["n"], p["lo"] + p["off"]
-            for b in range((at - lo - n + 1) // block, (at - lo) // block + 1):
-                last = at - block * b
+    def make(raw: bytes, los: list[int], ns: list[int], offs: list[int]) -> Iterator[tuple]:
+        for lo, n, off in zip(los, ns, offs, strict=True):
+            for b in range((off - n + 1) // block, off // block + 1):
+                last = lo + off - block * b
                 start, end = max(lo, last - block + 1), min(lo + n - 1, last)
-                yield xxhash.xxh3_64_intdigest(raw[last : last + core], b) - (1 << 63), start, end - start + 1
+                own = xxhash.xxh3_64_intdigest(raw[start : end + width]) - (1 << 63)
+                yield xxhash.xxh3_64_intdigest(raw[last : last + core], b) - (1 << 63), own, start, end - start + 1
 
     return make
 
 
 def _digests(width: int) -> Callable:
-    def make(raw: bytes, places: list[dict]) -> Iterator[tuple]:
-        for p in places:
-            for i in range(p["lo"], p["lo"] + p["n"]):
-                yield xxhash.xxh3_128_digest(raw[i : i + width]), i
+    def make(raw: bytes, los: list[int], ns: list[int]) -> Iterator[tuple]:
+        for lo, n in zip(los, ns, strict=True):
+            for i in range(lo, lo + n):
+                digest = xxhash.xxh3_128_intdigest(raw[i : i + width])
+                yield (digest >> 64) - (1 << 63), (digest & 0xFFFFFFFFFFFFFFFF) - (1 << 63), i
 
     return make
 
@@ -290,15 +323,26 @@ def resolve(rows: DataFrame, partial: DataFrame, width: int = WIDTH, block: int
     def by_document(df: DataFrame, *columns: str) -> DataFrame:
         return store(df.groupBy("_key", "_mark").agg(F.collect_set(F.struct(*columns)).alias("places")))
 
-    places = by_document(partial, "lo", "n", "off")
-    blocks = store(_texts_at(rows, places).mapInArrow(_by_text(_cores(width, block), ["_key", "_mark", "core", "lo", "n"]), f"_key {kind}, _mark string, core long, lo int, n short"))
-    again = blocks.groupBy("core").count().filter("count > 1").select("core")
-    held = by_document(salted(blocks, again, "core", spread), "lo", "n")
-    windows = store(_texts_at(rows, held).mapInArrow(_by_text(_digests(width), ["_key", "_mark", "digest", "lo"]), f"_key {kind}, _mark string, digest binary, lo int"))
-    first = windows.groupBy("digest").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    later = salted(windows, first, "digest", spread).filter(~F.struct(*_PLACE).eqNullSafe(F.col("first")))
-    found = store(later.select("_key", "_mark", F.col("lo").alias("start"), (F.col("lo") + width).alias("end")))
-    discard(places, blocks, held, windows)
+    side = lambda bits: F.shiftright("info", bits).bitwiseAND(F.lit(_ENDS))
+    minimizer = F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF))
+    context = F.explode(F.array(*(F.when(side(bits) != _ENDS, F.xxhash64(minimizer, F.lit(bits), side(bits))) for bits in (16, 0))))
+    sided = partial.select("seg", "_key", "_mark", _lo(), _n(), F.shiftright("info", 32).cast("int").alias("off"), context.alias("context")).filter("context IS NOT NULL")
+    several = sided.groupBy("context").agg(F.min("seg").alias("a"), F.max("seg").alias("b"), F.count("*").alias("k")).filter("a <> b").select("context", "k")
+    places = by_document(salted(sided, several, "context", spread), "lo", "n", "off")
+    blocks = store(_texts_at(rows, places).mapInArrow(_by_text(_cores(width, block), ["_key", "_mark", "core", "own", "lo", "n"], ("lo", "n", "off")), f"_key {kind}, _mark string, core long, own long, lo int, n int"))
+    place = F.struct(*_PLACE)
+    # blocks of the same bytes: all but the first are matches
+    unlike = store(blocks.groupBy("core", "own").agg(F.min(F.struct(*_PLACE, "n")).alias("first"), F.count("*").alias("k")))
+    copies = salted(blocks, unlike.filter("k > 1"), ["core", "own"], spread).filter(~place.eqNullSafe(F.struct(*(F.col(f"first.{c}") for c in _PLACE))))
+    # unlike blocks with the same core may share some windows
+    shared = unlike.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1")
+    held = by_document(salted(unlike.select("core", "first.*"), shared, "core", spread), "lo", "n")
+    windows = store(_texts_at(rows, held).mapInArrow(_by_text(_digests(width), ["_key", "_mark", "high", "low", "lo"], ("lo", "n")), f"_key {kind}, _mark string, high long, low long, lo int"))
+    first = windows.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("k")).filter("k > 1")
+    later = salted(windows, first, ["high", "low"], spread).filter(~place.eqNullSafe(F.col("first"))).withColumn("n", F.lit(1))
+    both = copies.select(*_PLACE, "n").unionByName(later.select(*_PLACE, "n"))
+    found = store(both.select("_key", "_mark", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + width).alias("end")))
+    discard(places, blocks, unlike, held, windows)
     return found
 
 
