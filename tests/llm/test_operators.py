@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tests.llm import tables as T
-from tokenloom.llm import chunks, decontaminate, langid, license_texts, licenses, pieces, quality, registry, secrets, sharding, simhash, suffixes
+from tokenloom.llm import chunks, common, decontaminate, langid, license_texts, licenses, pieces, quality, registry, secrets, sharding, simhash, suffixes
 
 
 def test_quality(spark):
@@ -498,3 +498,12 @@ def test_registered_queries_equal_their_sql(spark, name):
     got = registry.queries()[name](spark, T.SF)
     assert sorted(got.columns) == columns
     assert sorted(map(str, T.rows_of(got.select(*columns)))) == sorted(str(r) for r in con.execute(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()[name]})").fetchall())
+
+
+def test_hot_keys_of_a_join(spark, monkeypatch):
+    large = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("int").alias("key"), "id").withColumn("k", F.lit("own"))
+    small = large.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("k"))
+    plain = sorted(T.rows_of(common.salted(large, small, "key", F.col("id"))))
+    monkeypatch.setattr(common, "HOT", 100)
+    dealt = common.salted(large, small, "key", F.col("id"))
+    assert "_salt" in dealt._jdf.queryExecution().toString() and sorted(T.rows_of(dealt)) == plain and len(plain) == 3000

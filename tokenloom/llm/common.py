@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 #: Bits of a filter of keys: a fixed size, whatever the table's.
 FILTER_BITS = 1 << 22
-#: A key of a join with more rows than this is dealt over that many tasks.
-HOT, SALTS = 10_000, 64
-
-_KEY = ["_key", "_mark"]
+#: A key of a join with so many rows, and that share of all rows, is dealt over so many tasks.
+HOT, HOT_SHARE, SALTS = 10_000, 1e-4, 64
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -102,23 +100,24 @@ def mark_of(docs: DataFrame, key: str, text: str) -> Column:
 def salted(large: DataFrame, small: DataFrame, key: str | list[str], spread: Column, how: str = "inner", count: str = "k") -> DataFrame:
     """large joined to the distinct keys of small, whose column `count` says how many rows of large have the key.
 
-    The rows of keys with more than HOT rows are dealt over SALTS tasks, and only those keys are copied as often. Both sides
-    learn which keys these are from one filter of fixed size; what it takes for hot wrongly is copied too.
+    The rows of hot keys are dealt over SALTS tasks, and only those keys are copied as often. A key is hot from HOT rows
+    and a HOT_SHARE of all rows on, so no more than 1 / HOT_SHARE keys are, whatever the tables: they are broadcast.
     """
     keys = [key] if isinstance(key, str) else key
-    hot = small.filter(F.col(count) > HOT)
-    if hot.isEmpty():
+    rows, most = small.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
+    least = max(HOT, int(rows * HOT_SHARE))
+    if most < least:
         return large.join(small.drop(count), keys, how)
-    words = filled(hot, keys)
-    left = large.withColumn("_salt", F.when(may_hold(words, keys), F.pmod(spread, F.lit(SALTS))).otherwise(0).cast("int"))
-    right = small.drop(count).withColumn("_salts", F.when(may_hold(words, keys), SALTS).otherwise(1))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    hot = F.broadcast(small.filter(F.col(count) >= least).select(*keys, F.lit(SALTS).alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = large.join(hot, keys, "left").withColumn("_salt", F.pmod(spread, salts).cast("int")).drop("_salts")
+    right = small.drop(count).join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def filled(keys: DataFrame, columns: list[str] | None = None, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of keys (columns _key and _mark unless told), built by the tasks; the driver gets its words."""
-    spots = F.explode(F.array(*(F.pmod(F.xxhash64(*(columns or _KEY), F.lit(i)), F.lit(bits)) for i in range(2))))
+def filled(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter of keys (columns _key and _mark), built by the tasks; the driver gets its words."""
+    spots = F.explode(F.array(*(F.pmod(F.xxhash64("_key", "_mark", F.lit(i)), F.lit(bits)) for i in range(2))))
     words = keys.select(spots.alias("s")).groupBy(F.floor(F.col("s") / 32).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(32)).cast("int"))).alias("b"))
     out = np.zeros(bits // 32, dtype=np.uint32)
     for w, b in words.collect():  # at most bits / 32 rows
@@ -126,7 +125,7 @@ def filled(keys: DataFrame, columns: list[str] | None = None, bits: int = FILTER
     return out
 
 
-def may_hold(words: np.ndarray, columns: list[str] | None = None) -> Column:
+def may_hold(words: np.ndarray) -> Column:
     """Whether the filter may hold the row's key: never wrong when it says no."""
     bits = 32 * len(words)
 
@@ -138,4 +137,4 @@ def may_hold(words: np.ndarray, columns: list[str] | None = None) -> Column:
                 inside &= words[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1
             yield pd.Series(inside)
 
-    return F.pandas_udf(run, "boolean")(*(F.pmod(F.xxhash64(*(columns or _KEY), F.lit(i)), F.lit(bits)) for i in range(2)))
+    return F.pandas_udf(run, "boolean")(*(F.pmod(F.xxhash64("_key", "_mark", F.lit(i)), F.lit(bits)) for i in range(2)))

@@ -50,10 +50,10 @@ WIDTH, GRAM = 100, 24
 #: Batches a whole table is inserted in; window offsets of one core.
 BATCHES, BLOCK = 2, 16
 #: Text in which a task looks for copies by itself; tasks that a frequent minimizer is dealt over.
-CHUNK, SPREAD = 16 << 20, 32
+CHUNK, SPREAD = 4 << 20, 32
 #: Documents in the sample that shows frequent minimizers, and in how many of them one is frequent.
 SAMPLE_ROWS, FREQUENT = 4000, 12
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 #: The hash of a side on which the text ends too soon.
 _ENDS = 0xFFFF
 _MIX, _BASE = np.uint64(0xBF58476D1CE4E5B9), 0x9E3779B97F4A7C15
@@ -152,10 +152,11 @@ def _entry_rows(width: int, gram: int, hot: np.ndarray) -> Callable:
         held, size, kinds = [], 0, None
         for batch in batches:
             kinds = [batch.column(i).type for i in range(2)]
-            for key, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = (text or "").encode()
+            for i in range(batch.num_rows):
+                raw = (batch.column(2)[i].as_py() or "").encode()
                 if len(raw) >= width:
-                    held.append((key is not None, key, mark, raw))
+                    key = batch.column(0)[i].as_py()
+                    held.append((key is not None, key, batch.column(1)[i].as_py(), raw))
                     size += len(raw)
                 if size >= CHUNK:
                     yield rows(sorted(held, key=lambda d: (d[0], d[1] if d[0] else 0, d[2])), kinds)
@@ -268,7 +269,7 @@ def _texts_at(rows: DataFrame, places: DataFrame) -> DataFrame:
     return few.join(named, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m"))).select("_key", "_mark", "_text", "places")
 
 
-def _by_text(make: Callable, columns: list[str], fields: tuple[str, ...], most: int = 100_000) -> Callable:
+def _by_text(make: Callable, columns: list[str], fields: tuple[str, ...], most: int = 50_000) -> Callable:
     """Rows made from each document's bytes and places (arrays of numbers), handed on in bounded batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
