@@ -6,7 +6,7 @@ A unit is a sparse vector of all its terms: term frequency by inverse document f
 documents for the templates' terms; other terms have the median of those. Units are exploded into terms, joined to the
 templates' terms and grouped again, so a cosine is a sum over the terms that both have.
 
-Which units can reach MIN_COSINE follows from the templates: without the heaviest terms of a template, no vector comes
+Which units can reach MIN_COSINE follows from the templates: without the rarest terms of a template, no vector comes
 that near. Those terms, of all templates, are the cues; what has none of them is not scored, and nothing is lost.
 A document declares the licence with the largest cosine of its units, from MIN_COSINE on (ties: first by name); templates
 that several licences share, as notices of one family do, decide only where no other is near. It is a licence file if its whole text is that near, or if its name says so and it declares one.
@@ -69,13 +69,13 @@ def inverse_frequencies(docs: DataFrame, vocabulary: list[str], text: str = "tex
 
 
 def cues(listed: list[tuple[str, Counter, bool]], idf: dict[str, float], least: float) -> list[str]:
-    """For each template its heaviest terms, until what is left of it is too short for a cosine of `least`."""
+    """For each template its rarest terms, until what is left of it is too short for a cosine of `least`."""
     out = set()
     for _, tf, _ in listed:
-        weights = sorted(((k * idf[t]) ** 2, t) for t, k in tf.items())
-        left = total = sum(w for w, _ in weights)
+        weights = sorted((idf[t], t, (k * idf[t]) ** 2) for t, k in tf.items())
+        left = total = sum(w for *_, w in weights)
         while weights and left >= least * least * total:
-            w, t = weights.pop()
+            _, t, w = weights.pop()
             left -= w
             out.add(t)
     return sorted(out)
