@@ -10,7 +10,7 @@ from tokenloom.operators import graph, ordered, reconcile, rollups, selection
 from tokenloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events pages conversations".split()
 
 
 def _plain(rows, columns):
@@ -100,6 +100,51 @@ def test_linked_sets_of_all_events(spark, duck):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_linked_sets_of_all_customers(spark, duck):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    customers = [c for (c,) in duck.execute("SELECT c_custkey FROM customer").fetchall()]
+    for c in customers:
+        for key in (("a", c // 7), ("b", c % 97)) if c % 50 else ():
+            parent[find(key)] = find(("c", c))
+    want, got = {}, {}
+    for c in customers:
+        want.setdefault(find(("c", c)), set()).add(c)
+    for r in registry.queries()["linked_sets"](spark, SF).collect():
+        got.setdefault(r["set_id"], set()).add(r["observation"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) >= 3
+
+
+def test_latest_revision_goes_by_place_unless_all_have_a_sequence(spark):
+    rows = spark.createDataFrame([("a", 1, 5, 10), ("a", 2, None, 20), ("b", 1, 7, 30), ("b", 2, 6, 40)], "s string, off int, seq int, output int")
+    marked = reconcile.complete_sequences(rows, ["s"], "seq")
+    got = {r["s"]: r["output"] for r in reconcile.select_revision(marked, ["s"], reconcile.latest_revision("seq", ["off"]), ["output"], ["output"]).collect()}
+    assert got == {"a": 20, "b": 30}
+
+
+def test_repeated_candidates_and_unknown_values(spark):
+    rows = spark.createDataFrame([([1, 1],), ([1, 2],), ([3],), ([],)], "c array<int>")
+    assert [r[0] for r in rows.select(rollups.placement("c", F.array(F.lit(1)))).collect()] == ["inside", "possible", "outside", "outside"]
+
+
+def test_runs_keep_the_order_of_all_columns(spark):
+    rows = spark.createDataFrame([("s", 1, 9, "x"), ("s", 2, 3, "x"), ("s", 3, 1, "y")], "t string, a int, b int, v string")
+    got = sorted((r["v"], r["first"], r["last"]) for r in ordered.runs(rows, ["t"], ["a", "b"], "v").collect())
+    assert got == [("x", 9, 3), ("y", 1, 1)]
+
+
+def test_collisions_are_refused(spark):
+    rows = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2")], "id string, bits string")
+    assert reconcile.refuse_collisions(rows, "id", "bits").count() == 3
+    with pytest.raises(ValueError):
+        reconcile.refuse_collisions(rows.union(rows.select(F.lit("a"), F.lit("3"))), "id", "bits")
+
+
 def test_components_and_descendants_stand_cycles(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200)]
     edges = spark.createDataFrame(chain, "a int, b int")

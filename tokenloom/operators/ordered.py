@@ -18,7 +18,7 @@ def counter_deltas(rows: DataFrame, stream: list[str], order: list[str], counter
     reset = F.coalesce(F.col(counter) < before, F.lit(False))
     event = F.when(reset, "reset").when(F.col(counter) == before, "repeated").otherwise("advanced")
     out = rows.withColumns({"delta": F.when(reset | before.isNull(), F.col(counter)).otherwise(F.col(counter) - before), "event": event, "_reset": reset.cast("long")})
-    return out.withColumn("epoch", F.sum("_reset").over(w)).drop("_reset")
+    return out.withColumn("epoch", F.sum("_reset").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_reset")
 
 
 class Counters:
@@ -36,8 +36,8 @@ class Counters:
         event = "advanced"
         if any(v < self.last.get(m, 0) for m, v in now.items()):
             event, self.epoch, self.last = "reset", self.epoch + 1, {}
-        elif self.last and all(self.last.get(m) == v for m, v in now.items()):
-            event = "repeated"
+        elif all(self.last.get(m) == v for m, v in now.items()):
+            event = "repeated"  # also a row that reports nothing
         deltas = {m: v - self.last.get(m, 0) for m, v in now.items()} if event != "repeated" else {}
         self.last = self.last | now
         return [*(deltas.get(m) for m in self.measures), event, self.epoch]
@@ -76,6 +76,20 @@ def grouped_counter_deltas(rows: DataFrame, stream: str, order: list[str], measu
     return rows.repartition(F.col(stream)).sortWithinPartitions(*places).mapInArrow(run, schema)
 
 
+def in_force(uses: DataFrame, contexts: DataFrame, stream: list[str], order: str, values: list[str]) -> DataFrame:
+    """Uses with the values of the last context before them in their stream (an as-of join), null where there is none.
+
+    Both go through one shuffle and one sort; no pair of a use and a context is made.
+    """
+    held = F.struct(*(F.col(v) for v in values))
+    kind = contexts.select(held.alias("_held"))
+    both = uses.withColumns({"_held": F.lit(None).cast(kind.schema["_held"].dataType), "_use": F.lit(True)})
+    both = both.unionByName(contexts.select(*stream, order, held.alias("_held"), F.lit(False).alias("_use")), allowMissingColumns=True)
+    frame = Window.partitionBy(*stream).orderBy(order, "_use").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("_last", F.last("_held", ignorenulls=True).over(frame)).filter("_use")
+    return found.select(*(f"`{c}`" for c in uses.columns), *(F.col(f"_last.{v}").alias(v) for v in values))
+
+
 def carry_forward(rows: DataFrame, stream: list[str], order: list[str], value: Column, to: str, inclusive: bool = False) -> DataFrame:
     """The last value that isn't null in the rows before (or up to) each row of its stream."""
     frame = Window.partitionBy(*stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -86,9 +100,9 @@ def runs(rows: DataFrame, stream: list[str], order: list[str], value: str) -> Da
     """One row for each run of equal values: first and last place, length."""
     w = Window.partitionBy(*stream).orderBy(*order)
     start = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    marked = rows.withColumn("_start", start).withColumn("run", F.sum("_start").over(w))
+    marked = rows.withColumn("_start", start).withColumn("run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = F.struct(*order)
-    return marked.groupBy(*stream, "run").agg(F.min_by(value, at).alias(value), F.min(order[-1]).alias("first"), F.max(order[-1]).alias("last"), F.count("*").alias("length"))
+    return marked.groupBy(*stream, "run").agg(F.min_by(value, at).alias(value), F.min_by(order[-1], at).alias("first"), F.max_by(order[-1], at).alias("last"), F.count("*").alias("length"))
 
 
 def busy_time(rows: DataFrame, by: list[str], start: str, end: str) -> DataFrame:

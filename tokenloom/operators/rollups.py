@@ -34,21 +34,25 @@ def daily(requests: DataFrame, instant: str, zone: str = "UTC", to: str = "date"
 
 
 def sessions(threads: DataFrame, requests: DataFrame, thread: str, owner: str, instant: str, zone: str = "UTC") -> DataFrame:
-    """Every thread, also without requests: counts, sums, last date, and requests without an instant."""
-    usage = requests.groupBy(F.col(owner).alias(thread)).agg(
+    """Every thread, also without requests: counts, sums, last date, and requests without an instant.
+
+    Owners that are no known thread have a row too, and so have requests without an owner (a null thread).
+    """
+    usage = requests.groupBy(F.col(owner).alias("_owner")).agg(
         F.count("*").alias("requests"), *measure_sums(), F.max(local_date(F.col(instant), zone)).alias("last_date"), F.count_if(F.col(instant).isNull()).alias("undated_requests")
     )
-    out = threads.join(usage, thread, "left")
+    out = threads.join(usage, F.col(thread) == F.col("_owner"), "full").withColumn(thread, F.coalesce(thread, "_owner")).drop("_owner")
     return with_derived(out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("requests", "undated_requests")}))
 
 
 def breakdowns(requests: DataFrame, dimensions: list[str]) -> DataFrame:
     """Independent breakdowns in one pass: (dimension, value, counts, sums); a missing value is `unknown`."""
+    requests = requests.withColumns({d: F.coalesce(d, F.lit("unknown")) for d in dimensions})
     sets = ", ".join(f"({d})" for d in dimensions)
     sums = ", ".join(f"sum({m}) AS {m}" for m in MEASURES)
     kinds = ", ".join(f"count_if(status = '{s}') AS {s}" for s in STATUSES)
     name = " ".join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in dimensions)
-    value = " ".join(f"WHEN grouping({d}) = 0 THEN coalesce({d}, 'unknown')" for d in dimensions)
+    value = " ".join(f"WHEN grouping({d}) = 0 THEN {d}" for d in dimensions)
     return requests.sparkSession.sql(
         f"SELECT CASE {name} END AS dimension, CASE {value} END AS value, {kinds}, {sums} FROM {{requests}} GROUP BY GROUPING SETS ({sets})", requests=requests
     )
@@ -70,8 +74,8 @@ def totals(requests: DataFrame, counting: str = "counting", status: str = "statu
 
 def placement(candidates: str, selected: Column) -> Column:
     """Where a request is: inside if all its candidates are selected, possible if some are, else outside."""
-    inside = F.size(F.array_intersect(candidates, selected))
-    return F.when((F.size(candidates) == 0) | (inside == 0), "outside").when(inside == F.size(candidates), "inside").otherwise("possible")
+    inside, known = F.size(F.array_intersect(candidates, selected)), F.size(F.array_distinct(candidates))
+    return F.when((known == 0) | (inside == 0), "outside").when(inside == known, "inside").otherwise("possible")
 
 
 def sizes(requests: DataFrame, by: list[str], value: Column) -> DataFrame:
@@ -86,3 +90,29 @@ def joint(requests: DataFrame, row: Column, column: str, values: list[str], valu
     return requests.groupBy(row).pivot(column, values).agg(value)
 
 
+def by_agent(requests: DataFrame, agent: str) -> DataFrame:
+    """Totals of each agent and of all together (a null agent), in one pass."""
+    grouped = requests.groupingSets([[F.col(agent)], []], F.col(agent)).agg(F.grouping(agent).alias("_all"), F.count("*").alias("requests"), *measure_sums())
+    return grouped.withColumn(agent, F.when(F.col("_all") == 0, F.coalesce(agent, F.lit("unknown")))).drop("_all")
+
+
+def completeness(requests: DataFrame, gaps: DataFrame, thread: str) -> DataFrame:
+    """Threads with why their totals may be too small: requests without usage, unresolved or possible ones, gaps."""
+    why = requests.groupBy(thread).agg(
+        F.max((F.col("counting") == "counted") & F.coalesce(*MEASURES).isNull()).alias("without_usage"), F.max(F.col("counting") == "unresolved").alias("unresolved"), F.max(F.col("status") == "ambiguous").alias("possible")
+    )
+    out = why.join(gaps.select(F.col(thread).alias("_gap")).distinct(), F.col(thread) == F.col("_gap"), "left").withColumn("gap", F.col("_gap").isNotNull()).drop("_gap")
+    names = ("without_usage", "unresolved", "possible", "gap")
+    reasons = F.array_compact(F.array(*(F.when(F.col(n), F.lit(n)) for n in names)))
+    return out.select(thread, (F.size(reasons) == 0).alias("complete"), F.array_join(reasons, ",").alias("reasons"))
+
+
+def page(rows: DataFrame, order: list[tuple[str, bool]], after: list | None, limit: int) -> DataFrame:
+    """The rows that follow a cursor (the order's values of the last row seen), up to a limit; order pairs columns with `descending`."""
+    if after is not None:
+        past, same = F.lit(False), F.lit(True)
+        for (c, down), v in zip(order, after, strict=True):
+            past = past | same & (F.col(c) < F.lit(v) if down else F.col(c) > F.lit(v))
+            same = same & (F.col(c) == F.lit(v))
+        rows = rows.filter(past)
+    return rows.orderBy(*(F.desc(c) if down else F.asc(c) for c, down in order)).limit(limit)

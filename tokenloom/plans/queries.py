@@ -41,12 +41,14 @@ def daily_rollup_tz(spark, d):
 
 
 @query(
-    f"WITH {OBS}, u AS (SELECT thread AS t, count(*) AS requests, {SUMS}, max(CAST(seen_ts AS DATE)) AS last_date, count(*) FILTER (WHERE seen_ts IS NULL) AS undated_requests FROM obs WHERE status = 'owned' GROUP BY 1),"
-    f" j AS (SELECT c_custkey AS thread, coalesce(requests, 0) AS requests, {', '.join(MEASURES)}, last_date, coalesce(undated_requests, 0) AS undated_requests FROM customer LEFT JOIN u ON t = c_custkey) SELECT *, {DERIVED} FROM j"
+    f"WITH {OBS}, u AS (SELECT CASE WHEN status = 'owned' THEN thread END AS t, count(*) AS requests, {SUMS}, max(CAST(seen_ts AS DATE)) AS last_date, count(*) FILTER (WHERE seen_ts IS NULL) AS undated_requests FROM obs GROUP BY 1),"
+    f" j AS (SELECT coalesce(c_custkey, t) AS thread, coalesce(requests, 0) AS requests, {', '.join(MEASURES)}, last_date, coalesce(undated_requests, 0) AS undated_requests FROM (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') c FULL JOIN u ON t = c_custkey) SELECT *, {DERIVED} FROM j"
 )
 def sessions_rollup(spark, d):
-    threads = read(spark, d, "customer").select(F.col("c_custkey").alias("thread"))
-    return rollups.sessions(threads, observations(spark, d).filter("status = 'owned'").withColumnRenamed("thread", "owner"), "thread", "owner", "seen_ts")
+    """Known threads (customers outside one segment), owners that are none of them, and requests without an owner."""
+    threads = read(spark, d, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("thread"))
+    owned = observations(spark, d).withColumn("owner", F.when(F.col("status") == "owned", F.col("thread"))).drop("thread")
+    return rollups.sessions(threads, owned, "thread", "owner", "seen_ts")
 
 
 _COUNTED = "counting = 'counted'"
@@ -80,11 +82,12 @@ def selection_totals(spark, d):
 
 @query(
     f"WITH {OBS} SELECT CASE WHEN grouping(project) = 0 THEN 'project' WHEN grouping(model) = 0 THEN 'model' WHEN grouping(status) = 0 THEN 'status' END AS dimension,"
-    f" CASE WHEN grouping(project) = 0 THEN coalesce(project, 'unknown') WHEN grouping(model) = 0 THEN coalesce(model, 'unknown') WHEN grouping(status) = 0 THEN coalesce(status, 'unknown') END AS value,"
-    f" {COUNTS}, {SUMS} FROM obs GROUP BY GROUPING SETS ((project), (model), (status))"
+    f" CASE WHEN grouping(project) = 0 THEN project WHEN grouping(model) = 0 THEN model WHEN grouping(status) = 0 THEN status END AS value,"
+    f" {COUNTS}, {SUMS} FROM (SELECT * REPLACE (CASE WHEN off % 29 = 0 THEN 'unknown' ELSE coalesce(project, 'unknown') END AS project) FROM obs) GROUP BY GROUPING SETS ((project), (model), (status))"
 )
 def breakdowns(spark, d):
-    return rollups.breakdowns(observations(spark, d), ["project", "model", "status"])
+    obs = observations(spark, d).withColumn("project", F.when(F.col("off") % 29 == 0, "unknown").otherwise(F.col("project")))
+    return rollups.breakdowns(obs, ["project", "model", "status"])
 
 
 @query(
@@ -133,18 +136,17 @@ def revision_conflicts(spark, d):
     return rows.filter("versions > 1")
 
 
-@query(
-    "WITH RECURSIVE o AS (SELECT c_custkey AS o, c_nationkey % 3 AS g FROM customer WHERE c_custkey <= 400), e AS (SELECT o, 'a' || (o // 7) AS x, 'b' || (o % 97) AS y FROM o),"
-    " n AS (SELECT x AS p, y AS q FROM e UNION SELECT y, x FROM e UNION SELECT x, x FROM e UNION SELECT y, y FROM e), r AS (SELECT p, q FROM n UNION SELECT r.p, n.q FROM r JOIN n ON r.q = n.p),"
-    " m AS (SELECT p, min(q) AS root FROM r GROUP BY p) SELECT o AS observation, root AS set_id FROM e JOIN m ON m.p = e.x"
-)
 def linked_sets(spark, d):
-    rows = read(spark, d, "customer").filter("c_custkey <= 400").select(
-        F.col("c_custkey").alias("observation"), F.array(F.concat(F.lit("a"), F.expr("c_custkey div 7")), F.concat(F.lit("b"), F.col("c_custkey") % 97)).alias("keys")
+    """Sets over the whole customer table. Without SQL: a recursive query over all pairs takes too long; a test holds it against union-find."""
+    rows = read(spark, d, "customer").select(
+        F.col("c_custkey").alias("observation"), F.when(F.col("c_custkey") % 50 != 0, F.array(F.concat(F.lit("a"), F.expr("c_custkey div 7")), F.concat(F.lit("b"), F.col("c_custkey") % 97))).otherwise(F.array().cast("array<string>")).alias("keys")
     )
     return reconcile.linked_sets(rows, "observation", "keys")
 
 
+QUERIES["linked_sets"] = linked_sets
+
+
 def linked_sets_events(spark, d):
     """Sets over the whole events table, by the keys (user, hour) and (user, k); an event without a key is a set by itself.
 
@@ -172,12 +174,13 @@ def identity_ids(spark, d):
 
 
 @query(
-    "WITH s AS (SELECT p_partkey AS part, list(DISTINCT l_suppkey ORDER BY l_suppkey) FILTER (WHERE l_suppkey IS NOT NULL) AS c FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity >= 45) ON l_partkey = p_partkey GROUP BY 1)"
-    " SELECT part, CASE WHEN coalesce(len(c), 0) = 0 THEN 'unknown' WHEN len(c) = 1 THEN 'owned' ELSE 'ambiguous' END AS status, CASE WHEN len(c) = 1 THEN c[1] END AS owner, coalesce(array_to_string(c, ','), '') AS candidates FROM s"
+    "WITH s AS (SELECT l_orderkey AS request, list(DISTINCT l_suppkey ORDER BY l_suppkey) FILTER (WHERE l_returnflag = 'R') AS c FROM lineitem GROUP BY 1)"
+    " SELECT request, CASE WHEN coalesce(len(c), 0) = 0 THEN 'unknown' WHEN len(c) = 1 THEN 'owned' ELSE 'ambiguous' END AS status, CASE WHEN len(c) = 1 THEN c[1] END AS owner, coalesce(array_to_string(c, ','), '') AS candidates FROM s"
 )
 def ownership(spark, d):
-    rows = read(spark, d, "part").join(read(spark, d, "lineitem").filter("l_quantity >= 45"), F.col("p_partkey") == F.col("l_partkey"), "left").select(F.col("p_partkey").alias("part"), "l_suppkey")
-    return reconcile.ownership(rows, ["part"], "l_suppkey").withColumn("candidates", F.array_join("candidates", ","))
+    """Orders as requests whose lines are observations; returned lines prove an owner."""
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("request"), F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).alias("owner"))
+    return reconcile.ownership(rows, ["request"], "owner").withColumn("candidates", F.array_join("candidates", ","))
 
 
 _COUNTER = f"{OBS}, g AS (SELECT *, sum(CASE WHEN off % 13 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY thread ORDER BY ts, off) AS z FROM obs), t AS (SELECT off, thread, ts, CAST(sum(k) OVER (PARTITION BY thread, z ORDER BY ts, off ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM g)"
@@ -254,9 +257,11 @@ def selection_except(spark, d):
     return read(spark, d, "events").select("user_id").subtract(building)
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT event_id, user_id FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_mktsegment <> 'BUILDING')")
 def orphans(spark, d):
-    return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Events whose user isn't among the known threads (customers outside one segment)."""
+    known = read(spark, d, "customer").filter("c_mktsegment <> 'BUILDING'")
+    return read(spark, d, "events").join(known, F.col("user_id") == F.col("c_custkey"), "left_anti").select("event_id", "user_id")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
@@ -383,8 +388,9 @@ def delta_histogram(spark, d):
     " SELECT count(*) AS distinct_keys, CAST(sum(n - files) AS BIGINT) AS same_file, CAST(sum(files - 1) AS BIGINT) AS cross_file, count(*) FILTER (WHERE versions > 1) AS conflicting FROM k"
 )
 def dup_stats(spark, d):
-    per = read(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("files"), F.count_distinct("l_quantity").alias("versions"))
-    return per.agg(F.count("*").alias("distinct_keys"), F.sum(F.col("n") - F.col("files")).alias("same_file"), F.sum(F.col("files") - 1).alias("cross_file"), F.count_if(F.col("versions") > 1).alias("conflicting"))
+    each = read(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey", "l_orderkey").agg(F.count("*").alias("n"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+    per = each.groupBy("l_partkey", "l_suppkey").agg(F.sum("n").alias("n"), F.count("*").alias("files"), (F.min("low") != F.max("high")).alias("conflicts"))
+    return per.agg(F.count("*").alias("distinct_keys"), F.sum(F.col("n") - F.col("files")).alias("same_file"), F.sum(F.col("files") - 1).alias("cross_file"), F.count_if("conflicts").alias("conflicting"))
 
 
 @query("SELECT o_orderpriority, median(o_totalprice) AS median_price FROM orders GROUP BY 1")

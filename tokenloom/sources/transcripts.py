@@ -17,6 +17,12 @@ _USAGE = "STRUCT<input_tokens: DOUBLE, cache_read_input_tokens: DOUBLE, cache_cr
 _RECORD = f"type STRING, sessionId STRING, requestId STRING, timestamp STRING, cwd STRING, apiBlockIndex DOUBLE, message STRUCT<id: STRING, model: STRING, usage: {_USAGE}>"
 
 
+def utc(instant: Column) -> Column:
+    """The civil time of an instant in UTC, whatever the session's zone."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / 1000000).cast("decimal(18,6)")
+    return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+
+
 def project(cwd: Column) -> Column:
     """The last component of a working directory."""
     return F.nullif(F.regexp_extract(cwd, r"([^/]+)/*$", 1), F.lit(""))
@@ -31,7 +37,7 @@ def observations(lines: DataFrame) -> DataFrame:
     rows = parsed.withColumn("w", writes).filter(usage("output_tokens").isNotNull() & ~((F.col("r.message.model") == "<synthetic>") & F.col("r.requestId").isNull()))
     return rows.select(
         "locator", "offset", F.col("r.message.id").alias("message"), F.col("r.message.model").alias("model"), F.coalesce("r.sessionId", F.regexp_extract("locator", r"([^/]+)\.jsonl$", 1)).alias("thread"),
-        F.col("r.timestamp").try_cast("timestamp").try_cast("timestamp_ntz").alias("ts"), project(F.col("r.cwd")).alias("project"), whole_number(F.col("r.apiBlockIndex")).alias("block"),
+        utc(F.col("r.timestamp").try_cast("timestamp")).alias("ts"), project(F.col("r.cwd")).alias("project"), whole_number(F.col("r.apiBlockIndex")).alias("block"),
         usage("input_tokens").alias("uncached_input"), usage("cache_read_input_tokens").alias("cache_read"), "w.cache_write_5m", "w.cache_write_1h", "w.cache_write_unspecified",
         usage("output_tokens").alias("output"), usage("output_tokens_details.thinking_tokens").alias("reasoning"), F.lit(None).cast("long").alias("provider_only"), F.col("w.mismatch").alias("writes_mismatch"),
     )
@@ -41,7 +47,10 @@ def requests(rows: DataFrame) -> DataFrame:
     """One row for each message (or for each record without one), with whether its revisions disagree."""
     key = F.coalesce("message", F.concat_ws("#", "locator", F.col("offset").cast("string")))
     keyed = rows.withColumn("request", key)
-    picked = select_revision(keyed, ["request"], largest_output("output", "block", ["offset", "locator"]), ["model", "project", *MEASURES], list(INPUTS))
+    usage = F.coalesce(*MEASURES).isNotNull()
+    # of equal places the lowest source wins: the complement of its bytes, one by one, then the longer name
+    lowest = F.translate(F.hex("locator"), "0123456789ABCDEF", "FEDCBA9876543210").alias("source")
+    picked = select_revision(keyed, ["request"], largest_output("output", "block", [F.col("offset"), lowest]), ["model", "project", *MEASURES], [*INPUTS, "provider_only"], usage)
     seen = keyed.groupBy("request").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.array_sort(F.collect_set("thread")).alias("candidates"))
     status = F.when(F.size("candidates") == 0, "unknown").when(F.size("candidates") == 1, "owned").otherwise("ambiguous")
     return picked.join(seen, "request").withColumns({"status": status, "owner": F.when(F.size("candidates") == 1, F.col("candidates")[0])})
