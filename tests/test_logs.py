@@ -35,8 +35,8 @@ def test_lines_and_requests(spark, tmp_path, suffix):
     assert states == {"record": 6, "blank": 1, "malformed": 2, "pending": 1}
     for r in lines.collect():
         assert r["line"] is None or BODY[r["offset"] : r["offset"] + r["length"]].decode() == r["line"]
-    made = transcripts.requests(transcripts.observations(lines))
-    got = {r["request"]: r.asDict() for r in made.collect()}
+    made = transcripts.requests(transcripts.attributed(transcripts.observations(lines)))
+    got = {r["request"].removeprefix("m:"): r.asDict() for r in made.collect()}
     assert set(got) == {"a", "b"}
     assert (got["a"]["output"], got["a"]["revisions"], got["a"]["owner"], got["a"]["project"]) == (40, 2, "s1", "proj")
     assert (got["a"]["cache_write_unspecified"], got["b"]["cache_write_unspecified"], got["b"]["output"]) == (10, 8, 7)

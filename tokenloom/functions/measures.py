@@ -54,3 +54,8 @@ def whole_number(value: Column) -> Column:
     """A JSON number as a count: whole and not negative, up to 2^53 if written with a point; else null."""
     exact = value.try_cast("decimal(38,6)")
     return F.when((exact >= 0) & (exact == F.floor(exact)), exact.try_cast("long"))
+
+
+def counts_only(line: Column) -> Column:
+    """A JSON line in which text in place of a count is null: a parser of decimals would take it for a number."""
+    return F.regexp_replace(line, r'"([a-z0-9_]+_tokens|apiBlockIndex|ordinal)"\s*:\s*"[^"\\]*"', '"$1":null')

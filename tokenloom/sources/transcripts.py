@@ -1,20 +1,28 @@
-"""Message transcripts: usage-bearing lines to observations, and observations to requests.
+"""Message transcripts: lines to observations with owners, replays and child threads, and observations to requests.
 
-Built so far: main files without replays. Records of one message id are one request; of its records that with
-the largest output stands for it, whole.
+Files are `<session>.jsonl`, and `<session>/subagents/.../agent-<id>.jsonl` for subagents. Runs of sidechain lines in a main file
+are child threads of their own. A record is a copy if it is nested in a progress line, names another session than its
+file's, or if its uuid (for children also its message) was first recorded by another thread. Records of one message or
+request id, however indirectly, are one request; of its originals that with the largest output stands for it, whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.functions.measures import INPUTS, MEASURES, split_writes, whole_number
-from tokenloom.operators.reconcile import largest_output, select_revision
+from tokenloom.functions.measures import INPUTS, MEASURES, counts_only, split_writes, sum_known, whole_number
+from tokenloom.operators.ordered import carry_forward
+from tokenloom.operators.reconcile import build_requests, largest_output, linked_sets, merge_edges, ownership, replayed, scoped_ids, select_revision
 
-#: Only these fields are parsed. Counts are read as numbers, so that text in their place is absent.
-_USAGE = "STRUCT<input_tokens: DOUBLE, cache_read_input_tokens: DOUBLE, cache_creation_input_tokens: DOUBLE, cache_creation: STRUCT<ephemeral_5m_input_tokens: DOUBLE, ephemeral_1h_input_tokens: DOUBLE>, output_tokens: DOUBLE, output_tokens_details: STRUCT<thinking_tokens: DOUBLE>>"
-_RECORD = f"type STRING, sessionId STRING, requestId STRING, timestamp STRING, cwd STRING, apiBlockIndex DOUBLE, message STRUCT<id: STRING, model: STRING, usage: {_USAGE}>"
+#: Only these fields are parsed. Counts are decimals, so that whole numbers keep their digits and text in their place is absent.
+_N = "DECIMAL(38,6)"
+_PARTS = f"input_tokens: {_N}, cache_read_input_tokens: {_N}, cache_creation_input_tokens: {_N}, output_tokens: {_N}, output_tokens_details: STRUCT<thinking_tokens: {_N}>"
+_USAGE = f"STRUCT<{_PARTS}, cache_creation: STRUCT<ephemeral_5m_input_tokens: {_N}, ephemeral_1h_input_tokens: {_N}>, service_tier: STRING, speed: STRING, inference_geo: STRING, iterations: ARRAY<STRUCT<type: STRING, model: STRING, {_PARTS}>>>"
+_FIELDS = f"sessionId: STRING, requestId: STRING, uuid: STRING, timestamp: STRING, cwd: STRING, effort: STRING, isSidechain: BOOLEAN, version: STRING, apiBlockIndex: {_N}, quotaLimits: MAP<STRING,STRING>"
+_MESSAGE = f"message: STRUCT<id: STRING, model: STRING, usage: {_USAGE}, content: ARRAY<STRUCT<type: STRING, id: STRING>>>"
+_RECORD = f"type: STRING, {_FIELDS}, {_MESSAGE}, data: STRUCT<message: STRUCT<{_FIELDS}, {_MESSAGE}>>"
+_CHILD = r"/subagents/(?:.*/)?agent-([^/]+)\.jsonl$"
 
 
 def utc(instant: Column) -> Column:
@@ -28,29 +36,125 @@ def project(cwd: Column) -> Column:
     return F.nullif(F.regexp_extract(cwd, r"([^/]+)/*$", 1), F.lit(""))
 
 
+def located(lines: DataFrame) -> DataFrame:
+    """Record lines with their file's session and agent, and the thread that holds them: main, agent or inline run."""
+    agent = F.nullif(F.regexp_extract("locator", _CHILD, 1), F.lit(""))
+    folder = F.regexp_extract("locator", r"([^/]+)/subagents/(?!.*/subagents/)", 1)
+    stem = F.regexp_extract("locator", r"([^/]+)\.jsonl$", 1)
+    rows = lines.filter("state = 'record'").withColumn("agent", agent).withColumn("file_session", F.when(F.col("agent").isNull(), stem).otherwise(folder))
+    side = F.coalesce(F.get_json_object("line", "$.isSidechain") == "true", F.lit(False)) & F.col("agent").isNull()
+    w = Window.partitionBy("locator").orderBy("offset")
+    rows = rows.withColumn("side", side).withColumn("_start", F.col("side") & ~F.coalesce(F.lag("side").over(w), F.lit(False)))
+    rows = rows.withColumn("_run", F.sum(F.col("_start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    digest = F.when(F.col("_start"), F.substring(F.sha2("line", 256), 1, 16))
+    rows = rows.withColumn("_digest", F.first(digest, ignorenulls=True).over(Window.partitionBy("locator", "_run").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.when(F.col("agent").isNotNull(), F.concat_ws("/", "file_session", "agent")).when(F.col("side"), F.concat_ws("/", "file_session", F.concat(F.lit("inline-"), "_digest"))).otherwise(F.col("file_session"))
+    return rows.withColumn("thread", own).drop("_start", "_run", "_digest")
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """One row for each usage-bearing record, nested ones marked as forced copies; with the session that the record names."""
+    parsed = located(lines).withColumn("r", F.from_json(counts_only(F.col("line")), f"STRUCT<{_RECORD}>")).drop("line")
+    # the session that lines of a subagent name holds for the lines after them
+    parsed = carry_forward(parsed, ["locator"], ["offset"], F.col("r.sessionId"), "_named", inclusive=True)
+    nested = F.col("r.type") == "progress"
+    body = F.when(nested, F.col("r.data.message")).otherwise(F.struct(*(F.col(f"r.{c.split(':')[0].strip()}") for c in [*_FIELDS.split(", "), "message:"])))
+    rows = parsed.filter("r.type IN ('assistant', 'progress')").withColumn("nested", nested).withColumn("b", body)
+    rows = rows.filter(whole_number(F.col("b.message.usage.output_tokens")).isNotNull())
+    # an API error has neither a model of its own nor a request
+    rows = rows.filter(~F.coalesce((F.col("b.message.model") == "<synthetic>") & F.col("b.requestId").isNull(), F.lit(False)))
+    session = F.coalesce(F.col("b.sessionId"), F.when(F.col("agent").isNotNull(), F.col("_named")), F.col("file_session"))
+    return rows.withColumn("session", session).withColumn("foreign", F.col("session") != F.col("file_session"))
+
+
 def observations(lines: DataFrame) -> DataFrame:
-    """One row for each usage-bearing record; lines that can't bear usage aren't parsed."""
-    hinted = lines.filter((F.col("state") == "record") & F.col("line").contains('"output_tokens"'))
-    parsed = hinted.withColumn("r", F.from_json("line", _RECORD)).filter("r.type = 'assistant'")
-    usage = lambda name: whole_number(F.col(f"r.message.usage.{name}"))
+    """Usage-bearing records as observations: measures with those of advisors added, context of prices, place and thread."""
+    rows = records(lines)
+    usage = lambda name: whole_number(F.col(f"b.message.usage.{name}"))
+    advised = F.filter(F.coalesce("b.message.usage.iterations", F.array()), lambda x: x["type"] == "advisor_message")
+    rows = rows.withColumn("components", F.transform(advised, lambda x: F.struct(x["model"].alias("model"), *(whole_number(x[c]).alias(n) for n, c in _ADVISED), whole_number(x["output_tokens_details"]["thinking_tokens"]).alias("reasoning"))))
+    extra = lambda name: F.when(F.size("components") > 0, F.aggregate("components", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x[name], F.lit(0))))
     writes = split_writes(usage("cache_creation_input_tokens"), usage("cache_creation.ephemeral_5m_input_tokens"), usage("cache_creation.ephemeral_1h_input_tokens"))
-    rows = parsed.withColumn("w", writes).filter(usage("output_tokens").isNotNull() & ~((F.col("r.message.model") == "<synthetic>") & F.col("r.requestId").isNull()))
+    rows = rows.withColumn("w", writes)
+    pricing = F.struct(*(F.col(f"b.message.usage.{c}").alias(c) for c in ("service_tier", "speed", "inference_geo")))
     return rows.select(
-        "locator", "offset", F.col("r.message.id").alias("message"), F.col("r.message.model").alias("model"), F.coalesce("r.sessionId", F.regexp_extract("locator", r"([^/]+)\.jsonl$", 1)).alias("thread"),
-        utc(F.col("r.timestamp").try_cast("timestamp")).alias("ts"), project(F.col("r.cwd")).alias("project"), whole_number(F.col("r.apiBlockIndex")).alias("block"),
-        usage("input_tokens").alias("uncached_input"), usage("cache_read_input_tokens").alias("cache_read"), "w.cache_write_5m", "w.cache_write_1h", "w.cache_write_unspecified",
-        usage("output_tokens").alias("output"), usage("output_tokens_details.thinking_tokens").alias("reasoning"), F.lit(None).cast("long").alias("provider_only"), F.col("w.mismatch").alias("writes_mismatch"),
+        "locator", "offset", "thread", "session", "file_session", "agent", "side", "nested", "foreign", F.col("b.message.id").alias("message"), F.col("b.requestId").alias("request_id"), F.col("b.uuid").alias("uuid"),
+        F.col("b.message.model").alias("model"), F.col("b.effort").alias("effort"), pricing.alias("pricing"), "components", F.col("b.message.content").alias("content"), F.col("b.quotaLimits").alias("limits"),
+        utc(F.col("b.timestamp").try_cast("timestamp")).alias("ts"), project(F.col("b.cwd")).alias("project"), whole_number(F.col("b.apiBlockIndex")).alias("block"),
+        sum_known(usage("input_tokens"), extra("uncached_input")).alias("uncached_input"), sum_known(usage("cache_read_input_tokens"), extra("cache_read")).alias("cache_read"), "w.cache_write_5m", "w.cache_write_1h",
+        sum_known(F.col("w.cache_write_unspecified"), extra("cache_write_unspecified")).alias("cache_write_unspecified"), sum_known(usage("output_tokens"), extra("output")).alias("output"),
+        sum_known(usage("output_tokens_details.thinking_tokens"), extra("reasoning")).alias("reasoning"), F.lit(None).cast("long").alias("provider_only"), F.col("w.mismatch").alias("writes_mismatch"),
     )
 
 
+_ADVISED = (("uncached_input", "input_tokens"), ("cache_read", "cache_read_input_tokens"), ("cache_write_unspecified", "cache_creation_input_tokens"), ("output", "output_tokens"))
+
+
+def attributed(rows: DataFrame) -> DataFrame:
+    """Observations with whether they are copies, and the thread that owns them."""
+    eligible = ~F.col("nested") & ~F.col("foreign")
+    child = F.col("agent").isNotNull() | F.col("side")
+    order = F.struct(child.alias("child"), F.col("ts").isNull().alias("undated"), "ts", "locator", "offset")
+
+    def owners(key: str) -> DataFrame:
+        return rows.filter(eligible & F.col(key).isNotNull()).groupBy(key).agg(F.min_by("thread", order).alias("first_owner"))
+
+    of_uuid, of_message = owners("uuid"), owners("message")
+    rows = replayed(rows.withColumn("child", child), of_uuid, "uuid", "thread", "_uuid_replayed")
+    rows = replayed(rows, of_message, "message", "thread", "_message_replayed")
+    rows = rows.join(of_uuid.withColumnsRenamed({"uuid": "_u", "first_owner": "_by_uuid"}), F.col("uuid") == F.col("_u"), "left").join(of_message.withColumnsRenamed({"message": "_m", "first_owner": "_by_message"}), F.col("message") == F.col("_m"), "left")
+    by_message = F.col("child") & F.col("_message_replayed")
+    native = F.when(F.col("foreign"), F.col("session")).otherwise(F.col("thread"))
+    owner = F.when(F.col("_uuid_replayed"), F.col("_by_uuid")).when(by_message | F.col("nested"), F.coalesce("_by_message", native)).otherwise(native)
+    rows = rows.withColumn("copy", F.col("nested") | F.col("foreign") | F.col("_uuid_replayed") | by_message).withColumn("owner", owner)
+    return rows.drop("_uuid_replayed", "_message_replayed", "_u", "_m", "_by_uuid", "_by_message", "child")
+
+
 def requests(rows: DataFrame) -> DataFrame:
-    """One row for each message (or for each record without one), with whether its revisions disagree."""
-    key = F.coalesce("message", F.concat_ws("#", "locator", F.col("offset").cast("string")))
-    keyed = rows.withColumn("request", key)
+    """One row for each request of attributed observations: its selected revision, owner or candidates, counting and place.
+
+    A message id that stands for several models counts within its session only. Members of a set that name several models are
+    requests by themselves. A set of copies alone has no usage.
+    """
+    place = F.concat_ws("#", "locator", F.col("offset").cast("string"), F.col("nested").cast("string"))
+    keyed = scoped_ids(rows.withColumn("place", place), "message", "model", "session", "_message", ~F.col("copy"))
+    message = F.when(F.col("message").isNotNull(), F.concat(F.lit("m:"), "_message"))
+    keyed = keyed.withColumn("keys", F.array_compact(F.array(message, F.concat(F.lit("r:"), "request_id"))))
+    keyed = keyed.join(linked_sets(keyed, "place", "keys"), "place")
+    own_model = F.when(~F.col("copy"), F.col("model"))
+    w = Window.partitionBy("set_id")
+    split = F.coalesce(F.min(own_model).over(w) != F.max(own_model).over(w), F.lit(False))
+    keyed = keyed.withColumn("request", F.when(split, F.concat(F.lit("local:"), "place")).otherwise(F.col("set_id")))
+    original = ~F.col("copy")
     usage = F.coalesce(*MEASURES).isNotNull()
-    # of equal places the lowest source wins: the complement of its bytes, one by one, then the longer name
+    # of equal places the lowest source wins: the complement of its name's digits
     lowest = F.translate(F.hex("locator"), "0123456789ABCDEF", "FEDCBA9876543210").alias("source")
-    picked = select_revision(keyed, ["request"], largest_output("output", "block", [F.col("offset"), lowest]), ["model", "project", *MEASURES], [*INPUTS, "provider_only"], usage)
-    seen = keyed.groupBy("request").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.array_sort(F.collect_set("thread")).alias("candidates"))
-    status = F.when(F.size("candidates") == 0, "unknown").when(F.size("candidates") == 1, "owned").otherwise("ambiguous")
-    return picked.join(seen, "request").withColumns({"status": status, "owner": F.when(F.size("candidates") == 1, F.col("candidates")[0])})
+    picked = select_revision(keyed.filter(original), ["request"], largest_output("output", "block", [F.col("offset"), lowest]), ["model", "effort", "project", "pricing", "components", *MEASURES], [*INPUTS, "provider_only"], usage)
+    built = build_requests(keyed, ["request"], original, "ts", "offset").select("request", "originals", "copies", "first_seen", "last_seen", "copy_only")
+    owned = ownership(keyed, ["request"], "owner")
+    out = built.join(owned, "request").join(picked, "request", "left")
+    return out.withColumn("counting", F.when(F.col("copy_only"), "copy_only").otherwise("counted"))
+
+
+def limit_rows(rows: DataFrame) -> DataFrame:
+    """Quota observations: one row for each record with limits, as canonical JSON."""
+    entries = F.array_sort(F.map_entries("limits"))
+    named = F.transform(entries, lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"]))
+    return rows.filter("limits IS NOT NULL").select("locator", "offset", "owner", "ts", F.concat(F.lit("{"), F.array_join(named, ","), F.lit("}")).alias("window"))
+
+
+def edges(rows: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Relations of threads: forks, inline sidechains, and one spawn for each subagent.
+
+    sidecars has session, agent and tool_use. A subagent's parent is the thread that issued the call its sidecar names (the first
+    by order of ownership, never the subagent itself), else its session.
+    """
+    fork = rows.filter("foreign").select(F.lit("fork").alias("kind"), F.col("session").alias("source"), F.col("thread").alias("target"), F.lit(True).alias("proven"), "offset")
+    inline = rows.filter("side").select(F.lit("inline").alias("kind"), F.col("file_session").alias("source"), F.col("thread").alias("target"), F.lit(False).alias("proven"), "offset")
+    order = F.struct((F.col("agent").isNotNull() | F.col("side")).alias("child"), F.col("ts").isNull().alias("undated"), "ts", "locator", "offset")
+    issued = rows.select("thread", order.alias("at"), F.explode("content").alias("c")).filter("c.type = 'tool_use'").select("thread", "at", F.col("c.id").alias("tool_use"))
+    children = rows.filter("agent IS NOT NULL").groupBy("thread", "file_session", "agent").agg(F.min("offset").alias("offset"))
+    named = children.join(sidecars.select(F.col("session").alias("file_session"), "agent", "tool_use"), ["file_session", "agent"], "left")
+    found = named.withColumnRenamed("thread", "target").join(issued, "tool_use", "left").filter("thread IS NULL OR thread <> target").groupBy("target").agg(F.min_by("thread", "at").alias("issuer"))
+    spawn = children.join(found, F.col("thread") == F.col("target"), "left").select(F.lit("spawn").alias("kind"), F.coalesce("issuer", "file_session").alias("source"), F.col("thread").alias("target"), F.col("issuer").isNotNull().alias("proven"), "offset")
+    return merge_edges(fork.unionByName(inline).unionByName(spawn), F.col("proven"), "offset")
