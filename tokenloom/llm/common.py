@@ -104,6 +104,7 @@ def salted(large: DataFrame, small: DataFrame, key: str | list[str], spread: Col
     and a HOT_SHARE of all rows on, so no more than 1 / HOT_SHARE keys are, whatever the tables: they are broadcast.
     """
     keys = [key] if isinstance(key, str) else key
+    small = store(small, "keys")  # read three times at most, made once
     rows, most = small.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
     least = max(HOT, int(rows * HOT_SHARE))
     if most < least:
