@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.operators.graph import descendants
+
 
 class UnknownSelector(ValueError):
     """No thread matches a selector."""
@@ -28,15 +30,48 @@ def any_of(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts).distinct()
 
 
-def resolve(threads: DataFrame, text: str, columns: tuple[str, ...] = ("id", "native_id", "path")) -> str:
-    """The id of the one thread that a selector names by id, native id or path."""
-    matches = reduce(lambda a, b: a | b, (F.col(c) == text for c in columns))
-    found = threads.filter(matches).select("id").distinct().limit(2).collect()
-    if not found:
+def resolve(threads: DataFrame, text: str, columns: tuple[str, ...] = ("id", "native_id"), path: str = "path", located: str = "located") -> str:
+    """The id of the one thread that a selector names by id, native id or path.
+
+    A path may hold records of several threads; if only the path matches and threads has the column `located` (whether
+    the path is the thread's own place), the one thread located there is meant.
+    """
+    named = reduce(lambda a, b: a | b, (F.coalesce(F.col(c) == text, F.lit(False)) for c in columns))
+    own = F.coalesce(F.col(located), F.lit(False)) if located in threads.columns else F.lit(False)
+    matches = threads.withColumns({"_named": named, "_own": own}).filter(F.col("_named") | (F.col(path) == text))
+    each = matches.groupBy("id").agg(F.max("_named").alias("named"), F.max("_own").alias("own"))
+    count, named_any, least, own_count, own_id = each.agg(F.count("*"), F.max("named"), F.min("id"), F.count_if("own"), F.min(F.when(F.col("own"), F.col("id")))).first()
+    if count == 0:
         raise UnknownSelector(text)
+    if count == 1:
+        return least
+    if not named_any and own_count == 1:
+        return own_id
+    raise AmbiguousSelector(f"{text}: {count} threads")
+
+
+def current_session(environment: dict[str, str], variables: dict[str, str], allowed: tuple[str, ...] = ()) -> tuple[str, str]:
+    """(agent, selector) of the session the process runs in; variables names each agent's. None or several are errors."""
+    found = [(agent, environment[name]) for agent, name in variables.items() if environment.get(name) and (not allowed or agent in allowed)]
+    if not found:
+        raise UnknownSelector("no current session")
     if len(found) > 1:
-        raise AmbiguousSelector(text)
-    return found[0]["id"]
+        raise AmbiguousSelector("current session of " + ", ".join(agent for agent, _ in found))
+    return found[0]
+
+
+def covered(threads: DataFrame, edges: DataFrame, clauses: list[DataFrame], everything: bool = False, agents: tuple[str, ...] = (), scope: str | None = None) -> DataFrame:
+    """Ids of the threads (columns id, agent) that a query covers.
+
+    Clauses are tables of ids and intersect; `everything` is a clause of all. Without a scope, clauses take their
+    descendants along and `everything` alone doesn't. Agents, if any are given, apply to what the scope has added too.
+    """
+    parts = [*clauses, *([threads.select("id")] if everything else [])]
+    chosen = select(parts)
+    if (scope or ("descendants" if clauses else "self")) == "descendants":
+        chosen = descendants(edges, chosen.select(F.col("id").alias("node"))).select(F.col("node").alias("id"))
+    kept = threads.filter(F.col("agent").isin(*agents)) if agents else threads
+    return chosen.join(kept.select("id").distinct(), "id", "left_semi")
 
 
 def relevant(diagnostics: DataFrame, chosen: DataFrame, everything: bool) -> DataFrame:

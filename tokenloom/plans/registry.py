@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenloom.plans import ledger  # noqa: F401  (registers its queries)
+from tokenloom.plans import documents, ledger  # noqa: F401  (register their queries)
 from tokenloom.plans.queries import QUERIES, SQL
 
 
