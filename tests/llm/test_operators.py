@@ -261,6 +261,18 @@ def test_suffix_dedup_by_batches_blocks_and_chunks(spark, monkeypatch, batches,
         assert (len((r["text"] or "").encode()) - len(r["_cut"]["kept"]), len(r["_cut"]["runs"])) == (n, spans)
 
 
+def test_batches_stay_few_however_many_ranges_there_are(spark, monkeypatch):
+    rows = spark.createDataFrame([(i if i % 10 else None, "", "x") for i in range(200)], "_key int, _mark string, _text string")
+    by_range = type(rows).repartitionByRange
+    monkeypatch.setattr(type(rows), "repartitionByRange", lambda self, n, *c: by_range(self, max(n, 16), *c))
+    parts = [[r["_key"] for r in p.collect()] for p in suffixes._batches(rows, 3)]
+    assert len(parts) == 3
+    keys = [k for p in parts for k in p if k is not None]
+    assert sorted(keys) == [i for i in range(200) if i % 10] and sum(map(len, parts)) == 200
+    assert all(max(k for k in a if k is not None) < min(b) for a, b in zip(parts, parts[1:], strict=False))
+    assert max(map(len, parts)) < 2 * 200 / 3
+
+
 def test_levels_merge_geometrically(spark):
     rows = spark.read.parquet(f"{T.SF}/documents.parquet").select(F.col("doc_id").alias("_key"), F.lit("").alias("_mark"), F.col("text").alias("_text"))
     family = suffixes.Family(spark, 4)

@@ -352,8 +352,13 @@ def _batches(rows: DataFrame, n: int) -> list[DataFrame]:
     if n == 1:
         return [rows]
     key = F.col("_key")
-    dealt = rows.select("_key").filter(key.isNotNull()).repartitionByRange(n, "_key").groupBy(F.spark_partition_id().alias("p")).agg(F.max("_key").alias("top"))
-    at = sorted({r["top"] for r in dealt.collect()})[:-1]  # at most n rows
+    dealt = rows.select("_key").filter(key.isNotNull()).repartitionByRange(n, "_key").groupBy(F.spark_partition_id().alias("p")).agg(F.max("_key").alias("top"), F.count("*").alias("rows"))
+    ranges = sorted((r["top"], r["rows"]) for r in dealt.collect())  # a row for each range, of which a session may make more than n
+    whole, seen, at = sum(c for _, c in ranges), 0, []
+    for top, c in ranges[:-1]:
+        seen += c
+        if len(at) + 1 < n and seen * n >= whole * (len(at) + 1):
+            at.append(top)
     edges = [None, *at, None]
     out = []
     for low, high in zip(edges, edges[1:], strict=False):
