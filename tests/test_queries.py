@@ -189,3 +189,20 @@ def test_order_of_input_does_not_matter(spark):
     once = reconcile.select_revision(rows, ["thread"], order, ["off"], ["k"])
     again = reconcile.select_revision(rows.orderBy(F.rand(3)).repartition(7), ["thread"], order, ["off"], ["k"])
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_rates_beyond_a_broadcast_are_the_same(spark):
+    from tokenloom.operators import prices
+    from tokenloom.plans.tables import observations
+
+    rows = observations(spark, SF).withColumn("size", measures.inclusive_input()).select("off", "model", "ts", "size")
+    once, again = (prices.with_rate(rows, prices.rates(spark), "off", "ts", "size", most).select("off", "rate") for most in (prices.MOST, 0))
+    assert "Aggregate" not in once._jdf.queryExecution().optimizedPlan().toString().split("LocalRelation")[0].split("Join")[0]
+    assert sorted(map(str, once.collect())) == sorted(map(str, again.collect()))
+
+
+def test_percentiles_and_medians_of_few_values(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 4), ("a", 9), ("b", 7), (None, 3), (None, 5), ("c", None)], "g string, v long")
+    assert {r["g"]: r["m"] for r in rollups.medians(rows, ["g"], F.col("v"), "m").collect()} == {"a": 3.0, "b": 7.0, None: 4.0}
+    got = {r["g"]: (r["count"], r["p50"], r["p90"], r["max"]) for r in rollups.sizes(rows, ["g"], F.col("v")).collect()}
+    assert got == {"a": (4, 2, 9, 9), "b": (1, 7, 7, 7), None: (2, 3, 5, 5)}

@@ -11,8 +11,9 @@ from tokenloom.operators.graph import connected_components
 def dedupe_rereads(rows: DataFrame, place: list[str]) -> DataFrame:
     """One row of each place: of unequal rows the first by content; counts the re-reads and the conflicts."""
     content = F.struct(*sorted(c for c in rows.columns if c not in place))
-    per = rows.groupBy(*place).agg(F.min(content).alias("_first"), F.count("*").alias("n_reads"), F.size(F.collect_set(content)).alias("n_versions"))
-    return per.select(*place, "_first.*", (F.col("n_reads") - 1).alias("rereads"), (F.col("n_versions") - 1).cast("long").alias("conflicts"))
+    versions = rows.groupBy(*place, content.alias("_version")).agg(F.count("*").alias("_reads"))
+    per = versions.groupBy(*place).agg(F.min("_version").alias("_first"), F.sum("_reads").alias("_reads"), F.count("*").alias("_versions"))
+    return per.select(*place, "_first.*", (F.col("_reads") - 1).alias("rereads"), (F.col("_versions") - 1).alias("conflicts"))
 
 
 def linked_sets(observations: DataFrame, key: str, keys: str) -> DataFrame:

@@ -395,7 +395,7 @@ def dup_stats(spark, d):
 
 @query("SELECT o_orderpriority, median(o_totalprice) AS median_price FROM orders GROUP BY 1")
 def median_by_group(spark, d):
-    return read(spark, d, "orders").groupBy("o_orderpriority").agg(F.median("o_totalprice").alias("median_price"))
+    return rollups.medians(read(spark, d, "orders"), ["o_orderpriority"], F.col("o_totalprice"), "median_price")
 
 
 @query(
