@@ -53,5 +53,8 @@ def test_twins_and_damage(spark, tmp_path):
     assert [r["line"] for r in lines if r["locator"].endswith("x.jsonl")] == ['{"a": 1}']
     assert [r["state"] for r in lines if r["locator"].endswith("y.jsonl")][-1] == "failed"
     assert logs.manifest(logs.read_lines(spark, str(tmp_path))).count() == 2
+    (tmp_path / "w.jsonl").write_bytes(b"{\n{\n")
+    lost = logs.losses(logs.manifest(logs.read_lines(spark, str(tmp_path))))
+    assert sorted(map(tuple, lost.collect())) == [("failed", 1, 1), ("malformed", 1, 2)]
     (tmp_path / "none").mkdir()
     assert logs.read_lines(spark, str(tmp_path / "none")).count() == 0

@@ -206,3 +206,19 @@ def test_percentiles_and_medians_of_few_values(spark):
     assert {r["g"]: r["m"] for r in rollups.medians(rows, ["g"], F.col("v"), "m").collect()} == {"a": 3.0, "b": 7.0, None: 4.0}
     got = {r["g"]: (r["count"], r["p50"], r["p90"], r["max"]) for r in rollups.sizes(rows, ["g"], F.col("v")).collect()}
     assert got == {"a": (4, 2, 9, 9), "b": (1, 7, 7, 7), None: (2, 3, 5, 5)}
+
+
+def test_hooks(spark):
+    threads = spark.createDataFrame([("t1", "s1", "/p/s1.jsonl", "s1", None), ("t2", "s1/a1", "/p/s1/subagents/agent-a1.jsonl", "s1", "a1"), ("t3", "r1", "/r.jsonl", None, None)], "id string, native_id string, path string, session string, child string")
+    main = selection.hook_input('{"session_id": "s1", "transcript_path": "/p/s1.jsonl"}')
+    stop = selection.hook_input('{"session_id": "s1", "agent_id": "a1", "hook_event_name": "SubagentStop", "transcript_path": "/p/s1.jsonl", "agent_transcript_path": "/p/s1/subagents/agent-a1.jsonl"}')
+    assert (selection.resolve_hook(threads, main), selection.resolve_hook(threads, stop)) == ("t1", "t2")
+    assert selection.resolve_hook(threads, {"session": "r1", "child": None, "path": "/r.jsonl"}, one_id=True) == "t3"
+    for wrong in (main | {"session": "s9"}, main | {"child": "a1"}, stop | {"child": "a2"}):
+        with pytest.raises(selection.HookMismatch):
+            selection.resolve_hook(threads, wrong)
+    with pytest.raises(selection.UnsavedSession):
+        selection.resolve_hook(threads, selection.hook_input('{"session_id": "s1", "transcript_path": null}'))
+    for text in ("{", "[]", '{"session_id": 1, "transcript_path": "x"}', '{"session_id": "s1"}', '{"session_id": "s1", "transcript_path": 3}'):
+        with pytest.raises(ValueError):
+            selection.hook_input(text)

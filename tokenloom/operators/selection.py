@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -88,3 +89,45 @@ def candidate_property(rows: DataFrame, key: str, candidates: str, threads: Data
     n = F.count_distinct("_value")
     kind: Column = F.when(n == 0, "unknown").when(n == 1, F.min("_value")).otherwise("ambiguous")
     return each.groupBy(key).agg(kind.alias(to))
+
+
+class HookMismatch(ValueError):
+    """A hook's transcript is not that of the session it names."""
+
+
+class UnsavedSession(ValueError):
+    """A hook's session has no transcript yet."""
+
+
+def hook_input(text: str | bytes) -> dict[str, str | None]:
+    """session, child (a subagent's id, if any) and path of a hook's JSON; when a subagent stops, the path is its own."""
+    try:
+        value = json.loads(text)
+    except ValueError as e:
+        raise ValueError("hook input is not JSON") from e
+    value = value if isinstance(value, dict) else {}
+    child = value.get("agent_id")
+    field = "agent_transcript_path" if value.get("hook_event_name") == "SubagentStop" else "transcript_path"
+    if not isinstance(value.get("session_id"), str):
+        raise ValueError("hook input lacks session_id")
+    if field not in value or not isinstance(value[field], str | None):
+        raise ValueError(f"hook input lacks {field}")
+    return {"session": value["session_id"], "child": child if isinstance(child, str) else None, "path": value[field]}
+
+
+def resolve_hook(threads: DataFrame, hook: dict[str, str | None], one_id: bool = False) -> str:
+    """The id of the thread whose transcript a hook names, if the thread is the session's.
+
+    threads has the columns of `resolve` and session and child; where threads have `one_id` of their own, that native id
+    must be the hook's child, or its session where it names no child.
+    """
+    if hook["path"] is None:
+        raise UnsavedSession(hook["session"])
+    found = resolve(threads, hook["path"])
+    if one_id:
+        same = F.col("native_id") == (hook["child"] or hook["session"])
+    else:
+        same = (F.col("session") == hook["session"]) & (F.lit(hook["child"] is None) | (F.col("child") == F.lit(hook["child"])))
+    if threads.filter((F.col("id") == found) & same).isEmpty():
+        raise HookMismatch(found)
+    return found

@@ -117,3 +117,9 @@ def manifest(lines: DataFrame) -> DataFrame:
     """How many lines of each state every log has."""
     states = ("record", "blank", "oversized", "malformed", "pending", "failed")
     return lines.groupBy("locator").agg(F.count_if(F.col("state") != "pending").alias("lines"), *(F.count_if(F.col("state") == s).alias(s) for s in states))
+
+
+def losses(manifests: DataFrame, kinds: tuple[str, ...] = ("oversized", "malformed", "failed")) -> DataFrame:
+    """(loss, logs, lines): how many logs have lost lines in each way, and how many lines; a way no log has is left out."""
+    each = manifests.select(F.explode(F.array(*(F.struct(F.lit(k).alias("loss"), F.col(k).alias("n")) for k in kinds))).alias("l"))
+    return each.filter("l.n > 0").groupBy(F.col("l.loss").alias("loss")).agg(F.count("*").alias("logs"), F.sum("l.n").alias("lines"))
