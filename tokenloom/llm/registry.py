@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tokenloom.llm.chunks import op3_chunk_dedup
 from tokenloom.llm.decontaminate import OP6_SQL, op6_decontamination
+from tokenloom.llm.importance import OP12_SQL, op12_importance_resampling
 from tokenloom.llm.langid import op10_language_id
 from tokenloom.llm.licenses import op2_license_scan
 from tokenloom.llm.pieces import op1_sentencepiece
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_secret_scan": op8_secret_scan,
         "op9_sharding": op9_sharding,
         "op10_language_id": op10_language_id,
+        "op12_importance_resampling": op12_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_sharding": OP9_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_sharding": OP9_SQL, "op12_importance_resampling": OP12_SQL}
