@@ -13,6 +13,7 @@ from tokenloom.llm.secrets import op8_secret_scan
 from tokenloom.llm.sharding import OP9_SQL, op9_sharding
 from tokenloom.llm.simhash import op7_simhash_golay
 from tokenloom.llm.suffixes import op4_suffix_dedup
+from tokenloom.llm.tries import OP13_SQL, op13_conversation_trie
 
 
 def queries() -> dict:
@@ -28,8 +29,9 @@ def queries() -> dict:
         "op9_sharding": op9_sharding,
         "op10_language_id": op10_language_id,
         "op12_importance_resampling": op12_importance_resampling,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_sharding": OP9_SQL, "op12_importance_resampling": OP12_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_sharding": OP9_SQL, "op12_importance_resampling": OP12_SQL, "op13_conversation_trie": OP13_SQL}
