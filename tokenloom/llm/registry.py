@@ -5,6 +5,7 @@ from __future__ import annotations
 from tokenloom.llm.chunks import op3_chunk_dedup
 from tokenloom.llm.decontaminate import OP6_SQL, op6_decontamination
 from tokenloom.llm.importance import OP12_SQL, op12_importance_resampling
+from tokenloom.llm.katz import op11_lm_scoring
 from tokenloom.llm.langid import op10_language_id
 from tokenloom.llm.licenses import op2_license_scan
 from tokenloom.llm.pieces import op1_sentencepiece
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_secret_scan": op8_secret_scan,
         "op9_sharding": op9_sharding,
         "op10_language_id": op10_language_id,
+        "op11_lm_scoring": op11_lm_scoring,
         "op12_importance_resampling": op12_importance_resampling,
         "op13_conversation_trie": op13_conversation_trie,
     }
