@@ -45,6 +45,16 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 MIN_SCORE = 6
 
 
+#: Bytes that part the pieces of a name: without them, neighbouring pieces join as `sensitivity` joins them.
+_PARTING = bytes(b for b in range(256) if not (48 <= b <= 57 or 97 <= b <= 122))
+
+
+def may_name(lower: str) -> bool:
+    """Whether a lower-cased text can hold a name of any weight: false only if none does."""
+    joined = lower.encode("utf-8", "ignore").translate(None, _PARTING)
+    return any(part.encode() in joined for part in SENSITIVE)
+
+
 def sensitivity(name: str) -> int:
     """The weight of a name: that of its weightiest part, plus one if a second part has a weight too."""
     parts = [p.lower() for p in _PART.findall(name)]
@@ -82,7 +92,7 @@ def scan(text: str | None, lexer: bool = True) -> list[tuple[str, int, int]]:
         found.update(("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20)
     if _HEX_RUN in text.encode().translate(_HEX_CLASS):
         found.update(("hex", *m.span()) for m in _HEX.finditer(text))
-    if lexer and any(x in text for x in (":", "=", "</", "--")) and any(part in lower for part in SENSITIVE):
+    if lexer and any(x in text for x in (":", "=", "</", "--")) and may_name(lower):
         found.update(lexed(text))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
