@@ -503,7 +503,7 @@ def test_registered_queries_without_sql_against_brute_force(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_registered_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{T.SF}/{table}.parquet'")
     want = con.execute(registry.oracle_sql()[name])
     columns = sorted(c[0] for c in want.description)
