@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.sources import logs, rollouts, transcripts
+from tokenloom.sources import accounting, logs, rollouts, transcripts
 
 
 def write(root, name, rows):
@@ -99,18 +99,18 @@ def observed(spark, root, files):
     for name, rows in files.items():
         write(root, f"sessions/rollout-2026-09-16T05-00-00-{name}.jsonl", rows)
     rows = rollouts.events(logs.read_lines(spark, str(root)))
-    return rows, rollouts.observe(rows)
+    return rows, accounting.observe(rows)
 
 
 def test_counters_of_a_rollout(spark, tmp_path):
     meta = {"type": "session_meta", "payload": {"id": PARENT, "model_provider": "prov"}}
     context = {"type": "turn_context", "payload": {"turn_id": "t1", "model": "m9", "effort": "high"}}
     steps = [used(10, 2, 1), used(10, 2, 1), used(25, 2, 4), used(0, 0, 0, 99), used(8, 1, 6), used(9, 20, 7)]
-    rows, found = observed(spark, tmp_path, {PARENT: [meta, context, *(count(t, used(3, 1, 2)) for t in steps)]})
+    rows, found = observed(spark, tmp_path, {PARENT: [meta, context, *(count(t, used(0, 0, 0, 99) if t == used(0, 0, 0, 99) else used(3, 1, 2)) for t in steps)]})
     got = [(r["what"], r["code"], r["uncached_input"], r["cache_read"], r["output"], r["epoch"]) for r in found.orderBy("offset", F.desc("code")).collect()]
     assert got == [
-        ("usage", None, 8, 2, 1, 0), ("usage", None, 15, 0, 3, 0), ("diagnostic", "estimate", None, None, None, 0),
-        ("diagnostic", "epoch-reset", None, None, None, 1), ("usage", None, 2, 1, 2, 1), ("gap", "input-below-cache", None, None, None, 2),
+        ("usage", None, 8, 2, 1, 0), ("usage", None, 15, 0, 3, 0), ("diagnostic", "estimate-window", None, None, None, 1), ("diagnostic", "epoch-reset", None, None, None, 1),
+        ("usage", None, 7, 1, 6, 1), ("gap", "input-below-cache", None, None, None, 1),
     ]
     context = rollouts.in_context(found.filter("what = 'usage'"), rows).select("model", "effort", "provider").distinct().collect()
     assert [tuple(r) for r in context] == [("m9", "high", "prov")]
@@ -127,9 +127,9 @@ def test_boundary_twins_and_compaction(spark, tmp_path):
         {"type": "compacted", "payload": {"latest_token_usage_record": {"thread_id": CHILD, "response_id": "x1", "usage": used(7, 0, 3)}}},
     ]
     rows, found = observed(spark, tmp_path, {CHILD: child})
-    found = rollouts.claimed(found).orderBy("offset").collect()
+    found = found.orderBy("offset").collect()
     assert [(r["what"], r["copy"], r["owner"], r["output"]) for r in found] == [
-        ("usage", True, PARENT, 10), ("usage", False, CHILD, 5), ("usage", False, CHILD, 3), ("twin", None, None, None), ("usage", False, CHILD, 4), ("usage", True, CHILD, 3),
+        ("usage", True, PARENT, 10), ("usage", False, CHILD, 3), ("twin", None, None, None), ("usage", False, CHILD, 4), ("usage", True, CHILD, 3),
     ]
     assert [tuple(r) for r in rollouts.relations(rows).select("kind", "source", "target", "found").collect()] == [("spawn", PARENT, CHILD, False)]
 

@@ -117,3 +117,26 @@ def log_linear_bucket(value: Column, per_octave: int = 8) -> Column:
     power = F.floor(F.log2(value.cast("double")) + F.lit(1e-12))
     return F.when(value <= 0, F.lit(-1).cast("long")).otherwise((power * per_octave + F.floor((value / F.pow(F.lit(2.0), power) - 1) * per_octave)).cast("long"))
 
+
+
+def paired_neighbours(rows: DataFrame, stream: list[str], order: list[str], kind: Column, value: Column, section: Column | None = None) -> DataFrame:
+    """Whether a row makes a pair with the row just before or just after it: the two are of different kinds, their values are
+    equal (nulls pair with nothing) and they stand in the same section. A row makes one pair at most, with the earlier neighbour if it can.
+
+    Rows that could pair with the next form runs; read from its start, a run pairs off its rows two by two.
+    """
+    w = Window.partitionBy(*stream).orderBy(*order)
+    marked = rows.withColumns({"_kind": kind, "_value": value, "_section": section if section is not None else F.lit(0)})
+    linked = (F.lag("_kind").over(w) != F.col("_kind")) & (F.lag("_value").over(w) == F.col("_value")) & (F.lag("_section").over(w) == F.col("_section"))
+    runs = marked.withColumn("_starts", (~F.coalesce(linked, F.lit(False))).cast("long")).withColumn("_run", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*stream, "_run")
+    runs = runs.withColumns({"_place": F.row_number().over(run.orderBy(*order)), "_size": F.count("*").over(run)})
+    return runs.withColumn("paired", (F.col("_place") % 2 == 0) | (F.col("_place") < F.col("_size"))).drop("_kind", "_value", "_section", "_starts", "_run", "_place", "_size")
+
+
+def nearest_known(rows: DataFrame, stream: list[str], order: list[str], value: Column, into: str) -> DataFrame:
+    """The value in force at each row, its own included; rows before the first take that one."""
+    w = Window.partitionBy(*stream).orderBy(*order)
+    return rows.withColumn("_known", value).withColumn(
+        into, F.coalesce(F.last("_known", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_known", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    ).drop("_known")

@@ -1,16 +1,10 @@
 """Rollouts: files of one thread's usage as records and cumulative counters, to observations.
 
-A file is read in order by one ordered pass, which Spark sorts and which holds the state of one file only. Before its boundary
-ordinal a file repeats its parent's history: usage there is a copy. A counter that repeats the usage record beside it is its
-twin and counts nothing. Counters go on from the inherited total; one that falls starts an epoch, and the usage that it names
-as its last is charged. A total without input or output is an estimate, input below its cache a gap.
+This module types the lines and what stands around usage; module accounting says which usage counts, and whose it is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +12,10 @@ from tokenloom.functions.measures import counts_only
 from tokenloom.operators.ordered import in_force
 from tokenloom.sources.transcripts import utc
 
-_COUNTS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
-_U = "STRUCT<" + ", ".join(f"{c}: DECIMAL(38,6)" for c in _COUNTS) + ">"
+COUNTS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
+_U = "STRUCT<" + ", ".join(f"{c}: DECIMAL(38,6)" for c in COUNTS) + ">"
 _PAYLOAD = (
-    "id: STRING, parent_thread_id: STRING, forked_from_id: STRING, model_provider: STRING, cwd: STRING, subagent_history_start_ordinal: STRING, turn_id: STRING, root_turn_id: STRING, model: STRING, effort: STRING,"
+    "id: STRING, parent_thread_id: STRING, forked_from_id: STRING, model_provider: STRING, cwd: STRING, subagent_history_start_ordinal: STRING, history_mode: STRING, history_base: STRING, thread_source: STRING, source: STRING, turn_id: STRING, root_turn_id: STRING, model: STRING, effort: STRING,"
     f" thread_id: STRING, response_id: STRING, usage: {_U}, type: STRING, info: STRUCT<total_token_usage: {_U}, last_token_usage: {_U}>, latest_token_usage_record: STRUCT<thread_id: STRING, response_id: STRING, turn_id: STRING, root_turn_id: STRING, usage: {_U}>,"
     " thread_settings: STRUCT<service_tier: STRING, model_provider_id: STRING>, rate_limits: STRUCT<limit_id: STRING, limit_name: STRING, primary: MAP<STRING,STRING>, secondary: MAP<STRING,STRING>>"
 )
@@ -37,7 +31,7 @@ def named(locator: Column) -> Column:
 
 
 def _whole(usage: Column) -> Column:
-    return F.struct(*(F.when((usage[c] >= 0) & (usage[c] == F.floor(usage[c])), usage[c].cast("long")).alias(c) for c in _COUNTS))
+    return F.struct(*(F.when((usage[c] >= 0) & (usage[c] == F.floor(usage[c])), usage[c].cast("long")).alias(c) for c in COUNTS))
 
 
 def events(lines: DataFrame) -> DataFrame:
@@ -49,7 +43,10 @@ def events(lines: DataFrame) -> DataFrame:
     rows = parsed.withColumn("kind", kind).filter(F.col("kind").isin(*MARKERS)).withColumn("u", record).withColumn("n", named(F.col("locator")))
     p = lambda c: F.col(f"r.payload.{c}")
     start = p("subagent_history_start_ordinal")
+    inner = F.get_json_object(p("source"), "$.subagent")
+    subagent = F.coalesce(p("thread_source").isin("subagent", "guardian_review"), F.lit(False)) | F.coalesce(inner != "memory_consolidation", F.lit(False))
     return rows.select(
+        "line_no", (p("history_mode") == "paginated").alias("paginated"), p("history_base").isNotNull().alias("based"), subagent.alias("subagent"), F.get_json_object(p("source"), "$.subagent.thread_spawn.parent_thread_id").isNotNull().alias("nested"),
         "locator", "offset", F.col("n.thread").alias("file_thread"), F.col("n.rollout").alias("rollout"), "kind", utc(F.col("r.timestamp").try_cast("timestamp")).alias("ts"), F.col("r.ordinal").cast("long").alias("ordinal"), p("id").alias("id"),
         F.coalesce(p("parent_thread_id"), p("forked_from_id")).alias("parent"), F.when(p("parent_thread_id").isNotNull(), "spawn").when(p("forked_from_id").isNotNull(), "fork").alias("relation"),
         start.try_cast("long").alias("boundary"), (start.isNotNull() & start.try_cast("long").isNull()).alias("boundary_invalid"), F.coalesce("u.thread_id", p("thread_id")).alias("thread_id"), F.col("u.response_id").alias("response_id"),
@@ -58,104 +55,6 @@ def events(lines: DataFrame) -> DataFrame:
     )
 
 
-class Pass:
-    """The state of one file: who is active, what is inherited, the counter's total and epoch, records that a counter may repeat."""
-
-    def __init__(self, file_thread: str):
-        self.file, self.active, self.parent, self.boundary = file_thread, file_thread, None, None
-        self.total, self.epoch, self.records, self.turn, self.counted = None, 0, False, None, False
-        self.untaken = None
-
-    def step(self, e: dict) -> list[dict]:
-        """The observations, gaps and diagnostics of a line."""
-        kind = e["kind"]
-        if self.boundary is not None and e["ordinal"] is not None and e["ordinal"] >= self.boundary and not self.counted:
-            self.counted, self.active = True, self.file
-        if kind == "session_meta":
-            if e["id"]:
-                self.active = e["id"]
-            if e["id"] == self.file:
-                self.parent, self.boundary = e["parent"], e["boundary"]
-                if e["boundary_invalid"]:
-                    return [self._row(e, "diagnostic", "boundary-invalid")]
-            return []
-        if kind == "turn_context":
-            self.turn, self.untaken = e["turn"], None
-            return []
-        if kind == "thread_settings_applied":
-            self.active = e["thread_id"] or self.file
-            return []
-        inherited = self.boundary is not None and not self.counted
-        if kind in ("token_usage_record", "compacted"):
-            if not any(v is not None for v in e["usage"].values()):
-                return []
-            owner = e["thread_id"] or self.active
-            self.records = self.records or kind == "token_usage_record"
-            self.untaken = e["usage"] if kind == "token_usage_record" else self.untaken
-            copy = owner != self.file or inherited or kind == "compacted"
-            return self._measured(e, e["usage"], owner, copy, e["response_id"] and f"response:{e['response_id']}")
-        return self._counter(e, inherited)
-
-    def _counter(self, e: dict, inherited: bool) -> list[dict]:
-        total, last = e["total"], e["last"]
-        if not any(v is not None for v in total.values()):
-            return []
-        before = self.total or {}
-        owner = self.parent if inherited and self.parent else self.active
-        key = f"counter:{owner}:" + ":".join("?" if total[c] is None else str(total[c]) for c in _COUNTS)
-        if self.untaken is not None and last == self.untaken and (total["input_tokens"] or total["output_tokens"]):
-            self.untaken, self.total = None, total
-            return [self._row(e, "twin", None)]
-        if before and all(total[c] == before.get(c) for c in _COUNTS if total[c] is not None):
-            return []
-        if not total["input_tokens"] and not total["output_tokens"] and total["total_tokens"]:
-            return [self._row(e, "diagnostic", "estimate")]
-        if inherited:  # the parent's total, from which the file's own goes on
-            self.total = total
-            return self._measured(e, last, owner, True, key)
-        if any(total[c] is not None and total[c] < before.get(c, 0) for c in _COUNTS if before.get(c) is not None):
-            self.total, self.epoch = total, self.epoch + 1
-            charged = last if any(v is not None for v in last.values()) else total
-            return [self._row(e, "diagnostic", "epoch-reset"), *self._measured(e, charged, owner, owner != self.file, key)]
-        delta = {c: None if total[c] is None else total[c] - (before.get(c) or 0) for c in _COUNTS}
-        self.total = {c: before.get(c) if total[c] is None else total[c] for c in _COUNTS}
-        return self._measured(e, delta, owner, owner != self.file, key)
-
-    def _row(self, e: dict, what: str, code: str | None, **more) -> dict:
-        return {"locator": e["locator"], "offset": e["offset"], "what": what, "code": code, "epoch": self.epoch, "turn": e["turn"] or self.turn, "ts": e["ts"], "file_thread": self.file, **more}
-
-    def _measured(self, e: dict, usage: dict, owner: str, copy: bool, key: str | None) -> list[dict]:
-        read, write = usage["cached_input_tokens"], usage["cache_write_input_tokens"]
-        uncached = None if usage["input_tokens"] is None else usage["input_tokens"] - (read or 0) - (write or 0)
-        if uncached is not None and uncached < 0:
-            self.total, self.epoch = None, self.epoch + 1
-            return [self._row(e, "gap", "input-below-cache", owner=owner)]
-        return [self._row(e, "usage", None, owner=owner, copy=copy, key=key, uncached_input=uncached, cache_read=read, cache_write_unspecified=write, output=usage["output_tokens"], reasoning=usage["reasoning_output_tokens"])]
-
-
-_OUT = {
-    "locator": pa.string(), "offset": pa.int64(), "file_thread": pa.string(), "what": pa.string(), "code": pa.string(), "owner": pa.string(), "copy": pa.bool_(), "key": pa.string(), "epoch": pa.int32(), "turn": pa.string(), "ts": pa.timestamp("us"),
-    "uncached_input": pa.int64(), "cache_read": pa.int64(), "cache_write_unspecified": pa.int64(), "output": pa.int64(), "reasoning": pa.int64(),
-}
-_SCHEMA = "locator string, offset long, file_thread string, what string, code string, owner string, copy boolean, key string, epoch int, turn string, ts timestamp_ntz, uncached_input long, cache_read long, cache_write_unspecified long, output long, reasoning long"
-
-
-def observe(rows: DataFrame) -> DataFrame:
-    """Usage, twins, gaps and diagnostics of typed rows, by one ordered pass over each file."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = at = None
-        for batch in batches:
-            out = []
-            for e in batch.to_pylist():
-                if state is None or e["locator"] != at:
-                    state, at = Pass(e["file_thread"]), e["locator"]
-                out += state.step(e)
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in out], k) for c, k in _OUT.items()], names=list(_OUT))
-
-    return rows.repartition("locator").sortWithinPartitions("locator", "offset").mapInArrow(run, _SCHEMA)
-
-
 def in_context(usage: DataFrame, rows: DataFrame) -> DataFrame:
     """Usage with the model and effort of its turn, and the tier and provider in force: the last before it in its file."""
     turns = rows.filter("kind = 'turn_context'").select("locator", "turn", "offset", "model", "effort")
@@ -163,14 +62,6 @@ def in_context(usage: DataFrame, rows: DataFrame) -> DataFrame:
     return in_force(in_force(usage, turns, ["locator", "turn"], "offset", ["model", "effort"]), settings, ["locator"], "offset", ["tier", "provider"])
 
 
-def claimed(usage: DataFrame) -> DataFrame:
-    """Copies that no original reports: a compacted record's usage is an original where its response stands nowhere else."""
-    own = usage.filter("what = 'usage' AND NOT copy").select("file_thread", "key").distinct().withColumn("_own", F.lit(True))
-    found = usage.join(own, ["file_thread", "key"], "left")
-    lone = F.col("copy") & F.col("_own").isNull() & (F.col("owner") == F.col("file_thread")) & F.col("key").startswith("response:")
-    return found.withColumn("copy", F.col("copy") & ~F.coalesce(lone, F.lit(False))).drop("_own")
-
-
 def relations(rows: DataFrame) -> DataFrame:
     """Edges (kind, source, target) that files name, and whether the parent was found."""
     metas = rows.filter("kind = 'session_meta' AND id = file_thread AND parent IS NOT NULL").select(F.col("relation").alias("kind"), F.col("parent").alias("source"), F.col("id").alias("target")).distinct()
