@@ -23,11 +23,11 @@ def test_the_first_known_type_tells_the_dialect(spark, tmp_path):
     write("m/b.jsonl", "ai-title")
     write("m/c.jsonl", *["ai-title"] * 100, "event_msg")
     write("r/d.jsonl", "event_msg")
-    lines = {k: logs.read_lines(spark, str(tmp_path / k)) for k in "mr"}
+    lines = {k: logs.read_heads(spark, str(tmp_path / k), dialects.PEEK) for k in "mr"}
     told = {r["locator"].rsplit("/", 1)[1]: r["dialect"] for r in dialects.sniffed(lines["m"]).collect()}
     assert told == {"a.jsonl": "messages", "b.jsonl": None, "c.jsonl": None}
     assert [dialects.dialect_of(lines[k]) for k in "mr"] == ["messages", "rollouts"]
     with pytest.raises(dialects.MixedDialects):
-        dialects.dialect_of(logs.read_lines(spark, str(tmp_path)))
+        dialects.dialect_of(logs.read_heads(spark, str(tmp_path), dialects.PEEK))
     with pytest.raises(dialects.UnknownDialect):
-        dialects.dialect_of(lines["m"].filter("line_no > 5"))
+        dialects.dialect_of(lines["m"].filter("state = 'none'"))

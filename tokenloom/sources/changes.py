@@ -15,12 +15,13 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, locator, length, modified) of the logs under a root; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     logs = files.filter(F.col("path").rlike(r"\.jsonl(\.zst|\.gz)?$"))
+    logs = logs.withColumn("path", F.regexp_replace("path", "^file:(//)?(?=/)", ""))  # as logs are read
     return logs.select("path", locator(F.col("path")).alias("locator"), "length", F.col("modificationTime").alias("modified"))
 
 
 def first_records(lines: DataFrame) -> DataFrame:
-    """(path, first): the digest of each log's first record, of the rows of `read_lines`."""
-    records = lines.filter("state = 'record'").groupBy("path").agg(F.min_by("line", "line_no").alias("line"))
+    """(path, first): the digest of each log's first record, of the rows of `read_lines` or `read_heads`."""
+    records = lines.filter("state = 'record'").groupBy("path").agg(F.min_by("line", "offset").alias("line"))
     return records.select("path", F.sha2(F.col("line").cast("binary"), 256).alias("first"))
 
 

@@ -54,20 +54,19 @@ def rollout_homes(variables: Mapping[str, str], home: str | None, override: str
     return [str(PurePosixPath(home) / ".codex")] if home else []
 
 
-def sniffed(lines: DataFrame, peek: int = PEEK) -> DataFrame:
-    """(locator, dialect) of each log by its first record of a known type among its first lines; null where there is none,
+def sniffed(heads: DataFrame) -> DataFrame:
+    """(locator, dialect) of each log by the first record of a known type among its first lines (`read_heads`, PEEK of them); null where there is none,
     or where an oversized or damaged line comes first."""
     kind = F.get_json_object("line", "$.type")
     named = F.coalesce(*(F.when(kind.isin(*types), F.lit(d)) for d, types in TYPES.items()))
     said = F.when(F.col("state").isin("oversized", "failed"), F.lit("")).otherwise(named)
-    first = lines.filter(F.col("line_no") < peek).withColumn("_said", said)
-    found = first.groupBy("locator").agg(F.min_by("_said", F.when(F.col("_said").isNotNull(), F.col("line_no"))).alias("dialect"))
+    found = heads.withColumn("_said", said).groupBy("locator").agg(F.min_by("_said", F.when(F.col("_said").isNotNull(), F.col("offset"))).alias("dialect"))
     return found.withColumn("dialect", F.nullif("dialect", F.lit("")))
 
 
-def dialect_of(lines: DataFrame, peek: int = PEEK) -> str:
+def dialect_of(heads: DataFrame) -> str:
     """The only dialect of the logs under a root; logs that tell none don't count."""
-    found = sorted(r["dialect"] for r in sniffed(lines, peek).select("dialect").distinct().filter("dialect IS NOT NULL").collect())  # a row a dialect
+    found = sorted(r["dialect"] for r in sniffed(heads).select("dialect").distinct().filter("dialect IS NOT NULL").collect())  # a row a dialect
     if len(found) > 1:
         raise MixedDialects(f"logs of several dialects ({', '.join(found)}): read each root by itself")
     if not found:

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.functions.measures import counts_only
+from tokenloom.functions.measures import INPUTS, MEASURES, counts_only
 from tokenloom.operators.ordered import in_force
-from tokenloom.sources.transcripts import utc
+from tokenloom.operators.reconcile import build_requests, ownership, select_revision
+from tokenloom.sources.transcripts import project, utc
 
 COUNTS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
 _U = "STRUCT<" + ", ".join(f"{c}: DECIMAL(38,6)" for c in COUNTS) + ">"
@@ -46,8 +47,8 @@ def events(lines: DataFrame) -> DataFrame:
     inner = F.get_json_object(p("source"), "$.subagent")
     subagent = F.coalesce(p("thread_source").isin("subagent", "guardian_review"), F.lit(False)) | F.coalesce(inner != "memory_consolidation", F.lit(False))
     return rows.select(
-        "line_no", (p("history_mode") == "paginated").alias("paginated"), p("history_base").isNotNull().alias("based"), subagent.alias("subagent"), F.get_json_object(p("source"), "$.subagent.thread_spawn.parent_thread_id").isNotNull().alias("nested"),
-        "locator", "offset", F.col("n.thread").alias("file_thread"), F.col("n.rollout").alias("rollout"), "kind", utc(F.col("r.timestamp").try_cast("timestamp")).alias("ts"), F.col("r.ordinal").cast("long").alias("ordinal"), p("id").alias("id"),
+        (p("history_mode") == "paginated").alias("paginated"), p("history_base").isNotNull().alias("based"), subagent.alias("subagent"), F.get_json_object(p("source"), "$.subagent.thread_spawn.parent_thread_id").isNotNull().alias("nested"),
+        project(p("cwd")).alias("project"), "locator", "offset", F.col("n.thread").alias("file_thread"), F.col("n.rollout").alias("rollout"), "kind", utc(F.col("r.timestamp").try_cast("timestamp")).alias("ts"), F.col("r.ordinal").cast("long").alias("ordinal"), p("id").alias("id"),
         F.coalesce(p("parent_thread_id"), p("forked_from_id")).alias("parent"), F.when(p("parent_thread_id").isNotNull(), "spawn").when(p("forked_from_id").isNotNull(), "fork").alias("relation"),
         start.try_cast("long").alias("boundary"), (start.isNotNull() & start.try_cast("long").isNull()).alias("boundary_invalid"), F.coalesce("u.thread_id", p("thread_id")).alias("thread_id"), F.col("u.response_id").alias("response_id"),
         F.coalesce("u.turn_id", "u.root_turn_id", p("turn_id")).alias("turn"), p("model").alias("model"), p("effort").alias("effort"), p("thread_settings.service_tier").alias("tier"),
@@ -62,6 +63,20 @@ def in_context(usage: DataFrame, rows: DataFrame) -> DataFrame:
     return in_force(in_force(usage, turns, ["locator", "turn"], "offset", ["model", "effort"]), settings, ["locator"], "offset", ["tier", "provider"])
 
 
+def requests(usage: DataFrame) -> DataFrame:
+    """One row for each request of usage in context: observations of one key are one request; the latest original stands for it. Usage without a key is a request by itself."""
+    place = F.concat_ws("#", "locator", F.col("offset").cast("string"))
+    keyed = usage.withColumn("request", F.coalesce("key", F.concat(F.lit("local:"), place)))
+    missing = [m for m in MEASURES if m not in usage.columns]
+    keyed = keyed.withColumns({m: F.lit(None).cast("long") for m in missing})
+    original, reported = ~F.col("copy"), F.coalesce(*MEASURES).isNotNull()
+    order = F.struct("ts", "locator", "offset")
+    picked = select_revision(keyed.filter(original), ["request"], order, ["model", "effort", "tier", "provider", *MEASURES], [*INPUTS, "provider_only"], reported)
+    built = build_requests(keyed, ["request"], original, "ts", "offset").select("request", "originals", "copies", "first_seen", "last_seen", "copy_only")
+    out = built.join(ownership(keyed, ["request"], "owner"), "request").join(picked, "request", "left")
+    return out.withColumn("counting", F.when(F.col("copy_only"), "copy_only").otherwise("counted"))
+
+
 def relations(rows: DataFrame) -> DataFrame:
     """Edges (kind, source, target) that files name, and whether the parent was found."""
     metas = rows.filter("kind = 'session_meta' AND id = file_thread AND parent IS NOT NULL").select(F.col("relation").alias("kind"), F.col("parent").alias("source"), F.col("id").alias("target")).distinct()

@@ -8,7 +8,7 @@ request id, however indirectly, are one request; of its originals that with the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.measures import INPUTS, MEASURES, counts_only, split_writes, sum_known, whole_number
@@ -22,7 +22,7 @@ _USAGE = f"STRUCT<{_PARTS}, cache_creation: STRUCT<ephemeral_5m_input_tokens: {_
 _FIELDS = f"sessionId: STRING, requestId: STRING, uuid: STRING, timestamp: STRING, cwd: STRING, effort: STRING, isSidechain: BOOLEAN, version: STRING, apiBlockIndex: {_N}, quotaLimits: MAP<STRING,STRING>"
 _MESSAGE = f"message: STRUCT<id: STRING, model: STRING, usage: {_USAGE}, content: ARRAY<STRUCT<type: STRING, id: STRING>>>"
 _RECORD = f"type: STRING, {_FIELDS}, {_MESSAGE}, data: STRUCT<message: STRUCT<{_FIELDS}, {_MESSAGE}>>"
-_CHILD = r"/subagents/(?:.*/)?agent-([^/]+)\.jsonl$"
+CHILD = r"/subagents/(?:.*/)?agent-([^/]+)\.jsonl$"
 
 
 def utc(instant: Column) -> Column:
@@ -38,7 +38,7 @@ def project(cwd: Column) -> Column:
 
 def located(lines: DataFrame) -> DataFrame:
     """Record lines with their file's session and agent, and the thread that holds them: main, agent or inline run."""
-    agent = F.nullif(F.regexp_extract("locator", _CHILD, 1), F.lit(""))
+    agent = F.nullif(F.regexp_extract("locator", CHILD, 1), F.lit(""))
     folder = F.regexp_extract("locator", r"([^/]+)/subagents/(?!.*/subagents/)", 1)
     stem = F.regexp_extract("locator", r"([^/]+)\.jsonl$", 1)
     rows = lines.filter("state = 'record'").withColumn("agent", agent).withColumn("file_session", F.when(F.col("agent").isNull(), stem).otherwise(folder))
@@ -143,6 +143,18 @@ def limit_rows(rows: DataFrame) -> DataFrame:
     return rows.filter("limits IS NOT NULL").select("locator", "offset", "owner", "ts", F.concat(F.lit("{"), F.array_join(named, ","), F.lit("}")).alias("window"))
 
 
+def read_sidecars(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(session, agent, tool_use) of the `.meta.json` files beside subagents' transcripts; one that isn't an object, or is above 1 MiB, says nothing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "agent-*.meta.json").option("ignoreMissingFiles", True)
+    there = [r for r in roots if not r.endswith((".jsonl", ".zst", ".gz"))]
+    if not there:
+        return spark.createDataFrame([], "session string, agent string, tool_use string")
+    found = files.load(there).filter(f"length <= {1 << 20}").select("path", F.decode("content", "UTF-8").alias("body"))
+    agent = F.regexp_extract("path", r"/agent-([^/]+)\.meta\.json$", 1)
+    folder = F.regexp_extract("path", r"([^/]+)/subagents/(?!.*/subagents/)", 1)
+    return found.select(folder.alias("session"), agent.alias("agent"), F.get_json_object("body", "$.toolUseId").alias("tool_use")).filter("tool_use IS NOT NULL")
+
+
 def edges(rows: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Relations of threads: forks, inline sidechains, and one spawn for each subagent.
 
