@@ -102,7 +102,7 @@ _REQUEST = ("request", "owner", "status", "candidates", "counting", "originals",
 
 def _of_messages(spark: SparkSession, roots: list[str], only: list[str] | None) -> Ledger:
     lines = logs.read_lines(spark, roots, only=only)
-    rows = stored(transcripts.attributed(transcripts.observations(lines)))
+    rows = stored(transcripts.attributed(stored(transcripts.observations(lines))))
     requests = transcripts.requests(rows)
     sidecars = transcripts.read_sidecars(spark, roots)
     edges = transcripts.edges(rows, sidecars).select("kind", "source", "target", F.col("proven").alias("found"))

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.measures import INPUTS, MEASURES, counts_only, split_writes, sum_known, whole_number
+from tokenloom.operators.joins import dealt_join
 from tokenloom.operators.ordered import carry_forward
-from tokenloom.operators.reconcile import build_requests, largest_output, linked_sets, merge_edges, ownership, replayed, scoped_ids, select_revision
+from tokenloom.operators.reconcile import build_requests, largest_output, linked_sets, merge_edges, ownership, scoped_ids, select_revision
 
 #: Only these fields are parsed. Counts are decimals, so that whole numbers keep their digits and text in their place is absent.
 _N = "DECIMAL(38,6)"
@@ -96,18 +97,22 @@ def attributed(rows: DataFrame) -> DataFrame:
     child = F.col("agent").isNotNull() | F.col("side")
     order = F.struct(child.alias("child"), F.col("ts").isNull().alias("undated"), "ts", "locator", "offset")
 
-    def owners(key: str) -> DataFrame:
-        return rows.filter(eligible & F.col(key).isNotNull()).groupBy(key).agg(F.min_by("thread", order).alias("first_owner"))
+    base = rows
 
-    of_uuid, of_message = owners("uuid"), owners("message")
-    rows = replayed(rows.withColumn("child", child), of_uuid, "uuid", "thread", "_uuid_replayed")
-    rows = replayed(rows, of_message, "message", "thread", "_message_replayed")
-    rows = rows.join(of_uuid.withColumnsRenamed({"uuid": "_u", "first_owner": "_by_uuid"}), F.col("uuid") == F.col("_u"), "left").join(of_message.withColumnsRenamed({"message": "_m", "first_owner": "_by_message"}), F.col("message") == F.col("_m"), "left")
+    def owners(key: str) -> DataFrame:
+        return base.filter(eligible & F.col(key).isNotNull()).groupBy(key).agg(F.min_by("thread", order).alias("first_owner"))
+
+    # rows without a key match nothing and stay out of the joins; a key that many rows have is dealt over tasks
+    at = F.xxhash64("locator", "offset")
+    rows = rows.withColumn("child", child)
+    for key in ("uuid", "message"):
+        rows = dealt_join(rows, owners(key).withColumnRenamed("first_owner", f"_by_{key}"), [key], at, "left")
+        rows = rows.withColumn(f"_{key}_replayed", F.coalesce(F.col(f"_by_{key}") != F.col("thread"), F.lit(False)))
     by_message = F.col("child") & F.col("_message_replayed")
     native = F.when(F.col("foreign"), F.col("session")).otherwise(F.col("thread"))
     owner = F.when(F.col("_uuid_replayed"), F.col("_by_uuid")).when(by_message | F.col("nested"), F.coalesce("_by_message", native)).otherwise(native)
     rows = rows.withColumn("copy", F.col("nested") | F.col("foreign") | F.col("_uuid_replayed") | by_message).withColumn("owner", owner)
-    return rows.drop("_uuid_replayed", "_message_replayed", "_u", "_m", "_by_uuid", "_by_message", "child")
+    return rows.drop("_uuid_replayed", "_message_replayed", "_by_uuid", "_by_message", "child")
 
 
 def requests(rows: DataFrame) -> DataFrame:
