@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import tables as T
-from tokenloom.llm import importance, katz, tries
+from tokenloom.llm import importance, katz, langid, tries
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -223,3 +223,13 @@ def test_trie_registered_query_and_empty_table(spark):
     rows = T.sample_rows("conversations", "conv_id, turn, role, text")
     assert found(tries.op13_conversation_trie(spark, T.SF)) == trie(rebuilt(rows))
     assert tries.prefix_trie(*tries.rebuilt(spark.createDataFrame([], CONVERSATION))).count() == 0
+
+
+def test_the_labelled_sample_is_of_rows(spark):
+    """One key on all rows, or none, sends no more rows to the driver than were asked for."""
+    one = spark.range(2000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id") % 1500).alias("text"), F.lit("en").alias("lang"))
+    for docs in (one, one.withColumn("doc_id", F.lit(None).cast("long")), one.withColumn("text", F.lit("all alike"))):
+        sample = langid.labelled_sample(docs, "doc_id", "text", "lang", 10)
+        assert len(sample) == 10
+        assert [list(a) for a in langid.labelled_sample(docs.repartition(5), "doc_id", "text", "lang", 10)["at"]] == [list(a) for a in sample["at"]]
+    assert len(langid.labelled_sample(T.empty(spark), "doc_id", "text", "lang", 10)) == 0

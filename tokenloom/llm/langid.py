@@ -114,19 +114,25 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 
 
 def labelled_sample(docs: DataFrame, key: str, text: str, label: str, rows: int) -> pd.DataFrame:
-    """The label, buckets and counts of at most `rows` labelled documents, those whose key's hash is smallest."""
-    chosen = docs.select(F.col(f"`{key}`").alias("_k"), F.xxhash64(f"`{key}`").alias("_h")).orderBy("_h", "_k").limit(rows).select("_k").distinct()
-    few = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{label}`").alias("_label"), F.col(f"`{text}`").alias("_text"))
-    few = few.join(F.broadcast(chosen), "_k", "left_semi")  # bounded by `rows`
+    """The label, buckets and counts of at most `rows` labelled rows: those whose hash (of key, label and text) is smallest.
+
+    Rows are chosen, not keys: repeated or missing keys make no difference, and of rows alike in all three any may stand for another. No task and
+    not the driver holds more than `rows` of them.
+    """
+    few = docs.select(F.xxhash64(*(x for c in (key, label, text) for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull()))).alias("h"), F.col(f"`{label}`").alias("label"), F.col(f"`{text}`").alias("text"))
+    least = few.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if least is None:
+        return pd.DataFrame({"label": [], "at": [], "n": []})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [counts(t) for t in batch["_text"]]
-            yield pd.DataFrame({"k": batch["_k"], "label": batch["_label"], "at": [a for a, _ in found], "n": [n for _, n in found]})
+            found = [counts(t) for t in batch["text"]]
+            yield pd.DataFrame({"h": batch["h"], "label": batch["label"], "at": [a for a, _ in found], "n": [n for _, n in found]})
 
-    kinds = dict(few.dtypes)
-    out = few.mapInPandas(run, f"k {kinds['_k']}, label {kinds['_label']}, at array<long>, n array<long>").toPandas()
-    return out[out["at"].map(len) > 0].sort_values(["k", "label"], ignore_index=True).head(rows)
+    kind = dict(few.dtypes)["label"]
+    chosen = few.filter(F.col("h") <= least).mapInPandas(run, f"h long, label {kind}, at array<long>, n array<long>").orderBy("h").limit(rows)
+    out = chosen.toPandas()
+    return out[out["at"].map(len) > 0].drop(columns="h").reset_index(drop=True)
 
 
 def train(sample: pd.DataFrame, idf: np.ndarray, seed: int = 7) -> Model:
