@@ -35,7 +35,10 @@ def root(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def read(spark, root):
-    return ledger.read(spark, ledger.sources(spark, [f"{root}/m", f"{root}/r"]))
+    stats = ledger.Stats()
+    made = ledger.read(spark, ledger.sources(spark, [f"{root}/m", f"{root}/r"]), stats=stats)
+    made.stats = stats.lines()
+    return made
 
 
 SUMS = ("uncached_input", "cache_read", "output")
@@ -96,3 +99,16 @@ def test_sources_and_default_roots(spark, root, tmp_path):
         ledger.sources(spark, [str(tmp_path)])
     assert ledger.default_roots({"CODEX_HOME": "/c"}, "/h") == {"messages": ["/h/.claude/projects", "/h/.config/claude/projects"], "rollouts": ["/c/sessions", "/c/archived_sessions"]}
     assert [p for p in logs.listed(file)] == [logs.Listed(file, p.length) for p in logs.listed(file)]
+
+
+def test_stats_are_taken_along(read):
+    lines = [x for x in read.stats if "part=" in x]
+    assert "stats: part=message-lines rows=8 record=8 malformed=0 oversized=0 pending=0 failed=0" in lines
+    assert "stats: part=message-observations rows=7 undated=0" in lines and "stats: part=message-owners rows=7 copies=1" in lines
+    assert any(x.startswith("stats: part=rollout-usage") and "originals=3" in x and "gaps=1" in x for x in lines)
+    assert sum("phase=" in x for x in read.stats) == 4
+
+
+def test_coverage(read):
+    got = {r["agent"]: (r["observations"], r["copies"], r["requests"], r["requests_without_usage"]) for r in ledger.coverage(read).collect()}
+    assert got == {"claude": (7, 1, 5, 0), "codex": (4, 1, 3, 0)}

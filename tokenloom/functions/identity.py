@@ -24,8 +24,9 @@ def base32(hex32: Column) -> Column:
     """128 bits, given as 32 hex digits, as 26 digits."""
     half = lambda at: F.lpad(F.conv(F.substring(hex32, at, 16), 16, 2), 64, "0")
     bits = F.concat(F.lit("00"), half(1), half(17))
-    digit = lambda i: F.substring(F.lit(DIGITS), F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(25)), digit), "")
+    digit = lambda b, i: F.substring(F.lit(DIGITS), F.conv(F.substring(b, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
+    # the bits are worked out once, not once for each digit
+    return F.transform(F.array(bits), lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: digit(b, i)), ""))[0]
 
 
 def analytical_id(prefix: str, kind: str, *parts: Column) -> Column:

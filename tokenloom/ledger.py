@@ -10,11 +10,13 @@ locators of named sessions' families, reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import time
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions.measures import MEASURES
@@ -97,12 +99,57 @@ def narrowed(spark: SparkSession, roots: Roots, sessions: list[str]) -> dict[str
     return out
 
 
+class Stats:
+    """Counts and seconds of what a run did, in the order in which it did it; counts come from metrics that Spark takes along while the parts are made."""
+
+    def __init__(self):
+        self.metrics: list[tuple[str, Observation]] = []
+        self.seconds: dict[str, float] = {}
+
+    def watched(self, rows: DataFrame, name: str, *metrics: Column) -> DataFrame:
+        """The rows; their count and the metrics are known once they have been made."""
+        seen = Observation(f"{name}-{len(self.metrics)}")
+        self.metrics.append((name, seen))
+        return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics)
+
+    @contextmanager
+    def phase(self, name: str) -> Iterator[None]:
+        began = time.monotonic()
+        try:
+            yield
+        finally:
+            self.seconds[name] = self.seconds.get(name, 0.0) + time.monotonic() - began
+
+    def lines(self) -> list[str]:
+        """One line a measurement, as key=value."""
+        out = [f"stats: phase={k} seconds={v:.3f}" for k, v in self.seconds.items()]
+        return out + [f"stats: part={name} " + " ".join(f"{k}={v}" for k, v in seen.get.items()) for name, seen in self.metrics]
+
+
 _REQUEST = ("request", "owner", "status", "candidates", "counting", "originals", "copies", "first_seen", "last_seen", "model", "effort", "project", *MEASURES)
 
 
-def _of_messages(spark: SparkSession, roots: list[str], only: list[str] | None) -> Ledger:
+def _line_states() -> list[Column]:
+    return [F.count_if(F.col("state") == s).alias(s) for s in ("record", "malformed", "oversized", "pending", "failed")]
+
+
+def coverage(ledger: Ledger) -> DataFrame:
+    """What reconciliation did with each agent's observations, in one pass over requests."""
+    counted = F.col("counting") == "counted"
+    return ledger.requests.groupBy("agent").agg(
+        F.sum(F.col("originals") + F.col("copies")).alias("observations"), F.sum("copies").alias("copies"), F.count("*").alias("requests"), F.count_if(F.col("counting") == "copy_only").alias("copy_only_requests"),
+        F.count_if(counted & F.coalesce(*MEASURES).isNull()).alias("requests_without_usage"), F.count_if(F.col("counting") == "unresolved").alias("unresolved_requests"), F.count_if(F.col("status") == "ambiguous").alias("ambiguous_requests"),
+        F.count_if(counted & F.col("last_seen").isNull()).alias("undated_requests"),
+    )
+
+
+def _of_messages(spark: SparkSession, roots: list[str], only: list[str] | None, stats: Stats) -> Ledger:
     lines = logs.read_lines(spark, roots, only=only)
-    rows = stored(transcripts.attributed(stored(transcripts.observations(lines))))
+    with stats.phase("read-messages"):
+        seen = stats.watched(transcripts.observations(stats.watched(lines, "message-lines", *_line_states())), "message-observations", F.count_if(F.col("ts").isNull()).alias("undated"))
+        owned = transcripts.attributed(seen)
+    with stats.phase("attribute-messages"):
+        rows = stored(stats.watched(owned, "message-owners", F.count_if("copy").alias("copies")))
     requests = transcripts.requests(rows)
     sidecars = transcripts.read_sidecars(spark, roots)
     edges = transcripts.edges(rows, sidecars).select("kind", "source", "target", F.col("proven").alias("found"))
@@ -112,10 +159,13 @@ def _of_messages(spark: SparkSession, roots: list[str], only: list[str] | None)
     return Ledger(own, requests.select(*_REQUEST), edges, gaps, counts)
 
 
-def _of_rollouts(spark: SparkSession, roots: list[str], only: list[str] | None) -> Ledger:
+def _of_rollouts(spark: SparkSession, roots: list[str], only: list[str] | None, stats: Stats) -> Ledger:
     lines = logs.read_lines(spark, roots, only=only)
-    rows = stored(rollouts.events(lines))
-    found = stored(rollouts.in_context(accounting.observe(rows), rows))
+    with stats.phase("read-rollouts"):
+        rows = stored(stats.watched(rollouts.events(stats.watched(lines, "rollout-lines", *_line_states())), "rollout-events"))
+    with stats.phase("account-rollouts"):
+        kinds = (F.count_if((F.col("what") == "usage") & ~F.col("copy")).alias("originals"), F.count_if((F.col("what") == "usage") & F.col("copy")).alias("copies"), F.count_if(F.col("what") == "gap").alias("gaps"), F.count_if(F.col("what") == "diagnostic").alias("diagnostics"))
+        found = stored(stats.watched(rollouts.in_context(accounting.observe(rows), rows), "rollout-usage", *kinds))
     projects = rows.filter("kind = 'session_meta' AND id = file_thread").groupBy("file_thread").agg(F.min_by("project", F.struct("locator", "offset")).alias("project"))
     own = rows.groupBy("file_thread").agg(F.min("locator").alias("path")).join(projects, "file_thread", "left")
     own = own.select(F.col("file_thread").alias("id"), F.col("file_thread").alias("session"), F.col("file_thread").alias("native_id"), "path", F.lit(True).alias("located"), "project")
@@ -124,14 +174,15 @@ def _of_rollouts(spark: SparkSession, roots: list[str], only: list[str] | None)
     return Ledger(own, requests.select(*_REQUEST), rollouts.relations(rows).select("kind", "source", "target", "found"), gaps, stored(logs.manifest(lines)))
 
 
-def read(spark: SparkSession, roots: Roots, sessions: list[str] | None = None) -> Ledger:
-    """The ledger of all logs under roots; with `sessions`, of the logs of their families."""
+def read(spark: SparkSession, roots: Roots, sessions: list[str] | None = None, stats: Stats | None = None) -> Ledger:
+    """The ledger of all logs under roots; with `sessions`, of the logs of their families. `stats` gets counts and seconds."""
+    stats = stats or Stats()
     roots = {d: r for d, r in roots.items() if r}
     only = narrowed(spark, roots, sessions) if sessions else None
     parts = []
     for dialect, build in ((MESSAGES, _of_messages), (ROLLOUTS, _of_rollouts)):
         if roots.get(dialect):
-            part = build(spark, roots[dialect], None if only is None else only[dialect])
+            part = build(spark, roots[dialect], None if only is None else only[dialect], stats)
             agent = F.lit(AGENTS[dialect]).alias("agent")
             parts.append(Ledger(*(getattr(part, f).select(agent, "*") for f in Ledger.__dataclass_fields__)))
     if not parts:

@@ -15,24 +15,23 @@ def dealt_join(large: DataFrame, small: DataFrame, on: list[str], spread: Column
     """large joined to small on columns; the rows of hot keys are dealt over SALTS tasks by `spread`, and only their rows of small are copied as often.
 
     No more than 1 / HOT_SHARE keys can be hot, whatever the tables, so the list of them is broadcast. Rows of large without a key match
-    nothing: a left join keeps them apart from the shuffle of the others.
+    nothing and are dealt over as many tasks.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
     known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in on))
+    keyed = large.filter(known) if how in ("inner", "left_semi") else large
     counts = large.filter(known).groupBy(*on).agg(F.count("*").alias("_n"))
     rows, most = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     least = max(HOT, int(rows * HOT_SHARE))
-    keyed = large.filter(known)
+    spread = F.pmod(spread, F.lit(SALTS)).cast("int")
     if most < least:
-        out = keyed.join(small, on, how)
+        left, right = keyed.withColumn("_salt", F.when(known, 0).otherwise(spread)), small.withColumn("_salt", F.lit(0))
     else:
-        hot = F.broadcast(counts.filter(F.col("_n") >= least).select(*on, F.lit(SALTS).alias("_salts")))
-        salts = F.coalesce("_salts", F.lit(1))
-        left = keyed.join(hot, on, "left").withColumn("_salt", F.pmod(spread, salts).cast("int")).drop("_salts")
-        right = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-        out = left.join(right, [*on, "_salt"], how).drop("_salt")
-    return out.unionByName(large.filter(~known), allowMissingColumns=True) if how in ("left", "left_anti") else out
+        hot = F.broadcast(counts.filter(F.col("_n") >= least).select(*on, F.lit(True).alias("_hot")))
+        left = keyed.join(hot, on, "left").withColumn("_salt", F.when(known & F.col("_hot").isNull(), 0).otherwise(spread)).drop("_hot")
+        right = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(0)))).drop("_hot")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: tuple[str, str], end: tuple[str, str], cell: int) -> DataFrame:

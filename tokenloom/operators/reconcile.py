@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.functions.keys import canonical
 from tokenloom.operators.graph import connected_components
 
 
@@ -31,10 +32,16 @@ def linked_sets(observations: DataFrame, key: str, keys: str) -> DataFrame:
     return observations.select(key, first.alias("node")).join(roots, "node").select(key, F.col("root").alias("set_id"))
 
 
-def canonical(keys: Column) -> Column:
-    """The least of an array of structs (precedence, basis, id), and the other ids in order."""
-    best = F.array_min(keys)["id"]
-    return F.struct(best.alias("id"), F.array_sort(F.array_distinct(F.filter(F.transform(keys, lambda k: k["id"]), lambda i: i != best))).alias("aliases"))
+def identified(rows: DataFrame, by: list[str], keys: str) -> DataFrame:
+    """(by, id, basis, aliases) of each set of rows with keys (an array column of keys' structs): the strongest key's id stands for the set, the others are aliases."""
+    each = rows.select(*by, F.explode(keys).alias("_key")).distinct()  # a set has each key once before its keys are put together
+    sets = each.groupBy(*by).agg(F.collect_set("_key").alias("_keys"))
+    return sets.select(*by, F.inline(F.array(canonical(F.col("_keys")))))  # a generator makes it once
+
+
+def alias_table(sets: DataFrame) -> DataFrame:
+    """(alias, canonical) of sets' ids and aliases, as `rewrite_aliases` takes it."""
+    return sets.select(F.explode("aliases").alias("alias"), F.col("id").alias("canonical"))
 
 
 def latest_revision(sequence: str, place: list[str]) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.measures import INPUTS, MEASURES, counts_only, split_writes, sum_known, whole_number
+from tokenloom.operators.graph import stored
 from tokenloom.operators.joins import dealt_join
 from tokenloom.operators.ordered import carry_forward
 from tokenloom.operators.reconcile import build_requests, largest_output, linked_sets, merge_edges, ownership, scoped_ids, select_revision
@@ -97,7 +98,7 @@ def attributed(rows: DataFrame) -> DataFrame:
     child = F.col("agent").isNotNull() | F.col("side")
     order = F.struct(child.alias("child"), F.col("ts").isNull().alias("undated"), "ts", "locator", "offset")
 
-    base = rows
+    rows = base = stored(rows)  # read several times, parsed once
 
     def owners(key: str) -> DataFrame:
         return base.filter(eligible & F.col(key).isNotNull()).groupBy(key).agg(F.min_by("thread", order).alias("first_owner"))
