@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenloom.plans import documents, ledger, spans  # noqa: F401  (register their queries)
+from tokenloom.plans import documents, ledger, nested, spans  # noqa: F401  (register their queries)
 from tokenloom.plans.queries import QUERIES, SQL
 
 
