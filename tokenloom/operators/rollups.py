@@ -78,7 +78,7 @@ def placement(candidates: str, selected: Column) -> Column:
     return F.when((known == 0) | (inside == 0), "outside").when(inside == known, "inside").otherwise("possible")
 
 
-def _ranked(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
+def ranked_values(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
     """Each group's known values (_v) with how often they occur (_n), the rank of their last (_upto), and the group's rows (_of).
 
     Values are counted before they are shuffled and sorted, so a group's rows are never held together; a sort may spill.
@@ -92,13 +92,13 @@ def _ranked(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
 def sizes(requests: DataFrame, by: list[str], value: Column) -> DataFrame:
     """Nearest-rank percentiles of the values that are known."""
     at = [F.min(F.when(F.col("_upto") * 100 >= F.col("_of") * p, F.col("_v"))).cast("long").alias(f"p{p}") for p in (50, 90, 99)]
-    return _ranked(requests, by, value).groupBy(*by).agg(F.sum("_n").alias("count"), *at, F.max("_v").alias("max"))
+    return ranked_values(requests, by, value).groupBy(*by).agg(F.sum("_n").alias("count"), *at, F.max("_v").alias("max"))
 
 
 def medians(rows: DataFrame, by: list[str], value: Column, to: str) -> DataFrame:
     """The middle of each group's known values, or the mean of the two in the middle."""
     low, high = (F.min(F.when(F.col("_upto") * 2 >= F.col("_of") + i, F.col("_v"))).cast("double") for i in (0, 1))
-    return _ranked(rows, by, value).groupBy(*by).agg((low * 0.5 + high * 0.5).alias(to))
+    return ranked_values(rows, by, value).groupBy(*by).agg((low * 0.5 + high * 0.5).alias(to))
 
 
 def joint(requests: DataFrame, row: Column, column: str, values: list[str], value: Column) -> DataFrame:

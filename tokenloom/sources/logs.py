@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from tokenloom.sources.roots import SUFFIXES, discover, form, path_locator
+
 MAX_LINE = 64 << 20
 #: Bytes of plain files that one partition reads, unless the option `split` says otherwise, and files that it opens at most.
 SPLIT, FILES = 128 << 20, 1000
@@ -39,18 +41,12 @@ _PACKED = 1 << 14
 _HEAD = 4096
 _COLUMNS = (("path", pa.string(), "string"), ("locator", pa.string(), "string"), ("offset", pa.int64(), "long"), ("length", pa.int64(), "long"), ("state", pa.string(), "string"), ("line", pa.string(), "string"))
 SCHEMA = ", ".join(f"{c} {t}" for c, _, t in _COLUMNS)
-#: In the order in which twins are preferred.
-_SUFFIXES = (".jsonl", ".jsonl.zst", ".jsonl.gz")
 
 
 def locator(path: Column) -> Column:
     return F.regexp_replace(path, r"(\.jsonl)\.(zst|gz)$", "$1")
 
 
-def path_locator(path: str) -> str:
-    return next((path[: -len(s)] + ".jsonl" for s in _SUFFIXES[1:] if path.endswith(s)), path)
-
-
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path and the path within it."""
     if "://" in path:
@@ -70,19 +66,22 @@ class Listed:
         return self.path.endswith(".jsonl")
 
 
-def listed(root: str) -> list[Listed]:
-    """The preferred file of each log under a root, or the root itself if it is a file."""
-    system, inside = opened(root := root.rstrip("/") or root)
-    start = "" if isinstance(system, fs.LocalFileSystem) else root[: len(root) - len(inside)] if root.endswith(inside) else ""
-    own = system.get_file_info(inside)
-    found = [own] if own.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inside, recursive=True)) if own.type == fs.FileType.Directory else []
-    best: dict[str, tuple[int, Listed]] = {}
-    for f in found:
-        rank = next((i for i, s in reversed(list(enumerate(_SUFFIXES))) if f.path.endswith(s)), None)
-        if f.type == fs.FileType.File and rank is not None:
-            file = Listed(start + f.path, f.size)
-            best[path_locator(file.path)] = min(best.get(path_locator(file.path), (9, file)), (rank, file), key=lambda x: x[0])
-    return [file for _, (_, file) in sorted(best.items())]
+def listed(roots: str | list[str], every: bool = False) -> list[Listed]:
+    """The preferred file of each log under roots (folders or files), or every one; no file twice."""
+    roots = [roots] if isinstance(roots, str) else roots
+    found = [Listed(f.path, f.length) for f in discover([r for r in roots if "://" not in r]).files]
+    for root in (r for r in roots if "://" in r):
+        system, inside = opened(root := root.rstrip("/"))
+        start = root[: len(root) - len(inside)] if root.endswith(inside) else ""
+        own = system.get_file_info(inside)
+        below = [own] if own.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inside, recursive=True)) if own.type == fs.FileType.Directory else []
+        found += [Listed(start + f.path, f.size) for f in below if f.type == fs.FileType.File and form(f.path) is not None]
+    if every:
+        return sorted({f.path: f for f in found}.values(), key=lambda f: f.path)
+    best: dict[str, Listed] = {}
+    for file in sorted(found, key=lambda f: form(f.path)):
+        best.setdefault(path_locator(file.path), file)
+    return [best[name] for name in sorted(best)]
 
 
 class Missing(OSError):
@@ -98,7 +97,7 @@ class Stream:
         try:
             self.file = system.open_input_file(inside)
         except FileNotFoundError:
-            twins = [path.removesuffix(".gz").removesuffix(".zst").removesuffix(".jsonl") + s for s in _SUFFIXES]
+            twins = [path.removesuffix(".gz").removesuffix(".zst").removesuffix(".jsonl") + s for s in SUFFIXES]
             for twin in twins:
                 try:
                     self.file = system.open_input_file(opened(twin)[1])
@@ -273,11 +272,12 @@ def ranges(file: Listed, split: int, begin: int = 0, end: int | None = None) ->
 class LogReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.roots, self.only = json.loads(options["roots"]), json.loads(options.get("only", "null"))
+        self.every = options.get("every") == "true"
         self.split, self.most, self.lines = int(options.get("split", SPLIT)), int(options.get("maxline", MAX_LINE)), int(options.get("lines", 0))
 
     def partitions(self) -> list[Ranges]:
-        files = {f.path: f for root in self.roots for f in listed(root)}
-        chosen = [f for f in files.values() if self.only is None or path_locator(f.path) in self.only]
+        only = None if self.only is None else set(self.only)
+        chosen = [f for f in listed(self.roots, self.every) if only is None or path_locator(f.path) in only]
         if self.lines:
             heads = [Range(f.path, 0, 1 << 62, f.length if f.plain else 1 << 62, self.lines) for f in chosen]
             size = min(FILES, len(heads) // 200 + 1)
@@ -323,12 +323,11 @@ class LogStream(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         found = {}
-        for root in self.roots:
-            for f in listed(root):
-                try:
-                    found[f.path] = self._reached(f)
-                except OSError:  # gone since it was listed
-                    continue
+        for f in listed(self.roots):
+            try:
+                found[f.path] = self._reached(f)
+            except OSError:  # gone since it was listed
+                continue
         self.seen = found
         return {path: reached[:3] for path, reached in found.items() if reached[0]}
 
@@ -365,7 +364,7 @@ class LogStream(DataSourceStreamReader):
 
 
 class LogLines(DataSource):
-    """Options: roots (JSON list), split, maxline, lines (so many of each file's first), only (JSON list of locators)."""
+    """Options: roots (JSON list), split, maxline, lines (so many of each file's first), every (form of each log), only (JSON list of locators)."""
 
     @classmethod
     def name(cls) -> str:
@@ -392,10 +391,10 @@ def read_lines(spark: SparkSession, root: str | list[str], split: int = SPLIT, m
     return (reader if only is None else reader.option("only", json.dumps(only))).load()
 
 
-def read_heads(spark: SparkSession, root: str | list[str], lines: int) -> DataFrame:
-    """The first lines of each log: no more of a file is read than they take (and a block)."""
+def read_heads(spark: SparkSession, root: str | list[str], lines: int, every: bool = False) -> DataFrame:
+    """The first lines of each log, or of every form of each: no more of a file is read than they take (and a block)."""
     spark.dataSource.register(LogLines)
-    return spark.read.format("log_lines").option("roots", _roots(root)).option("lines", lines).load()
+    return spark.read.format("log_lines").option("roots", _roots(root)).option("lines", lines).option("every", str(every).lower()).load()
 
 
 def stream_lines(spark: SparkSession, root: str | list[str], split: int = SPLIT, max_line: int = MAX_LINE) -> DataFrame:
