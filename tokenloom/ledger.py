@@ -13,14 +13,15 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions.measures import MEASURES
-from tokenloom.operators import rollups, selection
+from tokenloom.operators import conditions, rollups, selection
 from tokenloom.operators.graph import connected_components, stored
 from tokenloom.sources import accounting, dialects, logs, rollouts, transcripts
 from tokenloom.sources.dialects import MESSAGES, ROLLOUTS
@@ -197,6 +198,27 @@ def covered(ledger: Ledger, sessions: list[str], everything: bool = False, agent
     return selection.covered(ledger.threads, edges, [selection.any_of(named)] if named else [], everything or not named, agents, scope)
 
 
+def within(ledger: Ledger, since: datetime | None = None, until: datetime | None = None, where: Column | None = None) -> Ledger:
+    """The ledger with the requests last seen in a half-open interval, and for which a condition on them is true. Threads, gaps and logs have no instant and stay."""
+    rows = ledger.requests.filter(conditions.during(F.col("last_seen"), since, until))
+    return replace(ledger, requests=rows if where is None else rows.filter(where))
+
+
+def active(ledger: Ledger, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+    """Ids of the threads with usage in an interval: as a choice they bring all their usage, also that outside it."""
+    return conditions.active_threads(ledger.requests, "owner", "last_seen", since, until)
+
+
+def latest(ledger: Ledger, project: str | None = None) -> DataFrame:
+    """The id of the thread used last, of those of a project if one is named."""
+    return conditions.latest_thread(ledger.requests, "owner", "last_seen", None if project is None else F.col("project") == project)
+
+
+def of_projects(ledger: Ledger, projects: list[str]) -> DataFrame:
+    """Ids of the threads that belong to any of the projects."""
+    return ledger.threads.filter(F.col("project").isin(projects)).select("id").distinct()
+
+
 def placed(requests: DataFrame, chosen: DataFrame | None) -> DataFrame:
     """Requests with `place`: inside the chosen threads (column id), possible where only some of their candidates are, else outside. Without a choice all are inside."""
     if chosen is None:
@@ -245,6 +267,7 @@ def breakdowns(ledger: Ledger, dimensions: list[str], chosen: DataFrame | None =
     return rollups.breakdowns(_counted(ledger, chosen), dimensions)
 
 
-def by(ledger: Ledger, column: Column, chosen: DataFrame | None = None) -> DataFrame:
-    """Counted requests grouped by any expression over them (column value)."""
-    return rollups.with_derived(_counted(ledger, chosen).groupBy(column.alias("value")).agg(F.count("*").alias("requests"), *rollups.measure_sums()))
+def by(ledger: Ledger, column: Column, chosen: DataFrame | None = None, having: Column | None = None) -> DataFrame:
+    """Counted requests grouped by any expression over them (column value); with `having`, the groups whose sums meet it."""
+    out = rollups.with_derived(_counted(ledger, chosen).groupBy(column.alias("value")).agg(F.count("*").alias("requests"), *rollups.measure_sums()))
+    return out if having is None else out.filter(having)

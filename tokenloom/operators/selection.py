@@ -91,6 +91,15 @@ def candidate_property(rows: DataFrame, key: str, candidates: str, threads: Data
     return each.groupBy(key).agg(kind.alias(to))
 
 
+def thread_sources(evidence: DataFrame, located: DataFrame, sources: DataFrame) -> DataFrame:
+    """(thread, path): the files of each thread, each once: those of the sources that its evidence (thread, source) names, and those whose locator
+    begins with the thread's own native id and a slash. located has thread and native_id; sources has source, locator and paths (a file and its twins)."""
+    named = evidence.select("thread", "source").distinct().join(sources.select("source", "paths"), "source").select("thread", F.explode("paths").alias("path"))
+    first = F.when(F.contains("locator", F.lit("/")), F.split_part("locator", F.lit("/"), F.lit(1)))
+    own = sources.select(first.alias("native_id"), "paths").join(located.select("thread", "native_id").distinct(), "native_id").select("thread", F.explode("paths").alias("path"))
+    return named.unionByName(own).distinct()
+
+
 class HookMismatch(ValueError):
     """A hook's transcript is not that of the session it names."""
 
