@@ -138,3 +138,13 @@ def test_names_of_rollouts(spark):
     files = spark.createDataFrame([(f"sessions/rollout-x-{PARENT}.jsonl",), (f"archived/rollout-x-{PARENT}.jsonl",), (f"s/rollout-x-{PARENT}_r2.jsonl",)], "locator string")
     assert {tuple(r[0]) for r in files.select(rollouts.named(F.col("locator"))).collect()} == {(PARENT, PARENT), (PARENT, "r2")}
     assert [(r["rollout"], r["locations"]) for r in rollouts.duplicate_locations(files).collect()] == [(PARENT, 2)]
+
+
+def test_lines_without_usage_are_not_shuffled(spark, tmp_path):
+    """What is shuffled of a line is where it is and what it says of threads; only lines that may have usage are parsed."""
+    write(tmp_path, "p/s.jsonl", [{"type": "user", "sessionId": "s", "isSidechain": True, "message": {"content": "x" * 5000}}, said("a", 5, "s", 1, "u1", extra={"isSidechain": True}), {"type": "assistant", "message": {"usage": {"output_tokens": "9"}}}])
+    rows = transcripts.located(logs.read_lines(spark, str(tmp_path)))
+    assert "line" not in rows.columns
+    got = rows.orderBy("offset").select(F.col("r").isNotNull().alias("parsed"), "side", "_named").collect()
+    assert [(r["parsed"], r["_named"]) for r in got] == [(False, "s"), (True, "s"), (True, "s")]
+    assert transcripts.records(logs.read_lines(spark, str(tmp_path))).count() == 1

@@ -38,27 +38,37 @@ def project(cwd: Column) -> Column:
     return F.nullif(F.regexp_extract(cwd, r"([^/]+)/*$", 1), F.lit(""))
 
 
+#: A record without this text has no usage, so it is never parsed.
+_MARK = '"output_tokens"'
+
+
 def located(lines: DataFrame) -> DataFrame:
-    """Record lines with their file's session and agent, and the thread that holds them: main, agent or inline run."""
+    """Record lines with their file's session and agent, the thread that holds them (main, agent or inline run) and the session named last up to them.
+
+    Every line decides where threads begin and which session holds, but only what it says of that is shuffled; the record `r` is parsed before, where there may be usage.
+    """
     agent = F.nullif(F.regexp_extract("locator", CHILD, 1), F.lit(""))
     folder = F.regexp_extract("locator", r"([^/]+)/subagents/(?!.*/subagents/)", 1)
     stem = F.regexp_extract("locator", r"([^/]+)\.jsonl$", 1)
-    rows = lines.filter("state = 'record'").withColumn("agent", agent).withColumn("file_session", F.when(F.col("agent").isNull(), stem).otherwise(folder))
-    side = F.coalesce(F.get_json_object("line", "$.isSidechain") == "true", F.lit(False)) & F.col("agent").isNull()
+    rows = lines.filter("state = 'record'").select("locator", "offset", "line", F.json_tuple("line", "type", "isSidechain", "sessionId").alias("_type", "_side", "_session"))
+    rows = rows.withColumn("agent", agent).withColumn("file_session", F.when(F.col("agent").isNull(), stem).otherwise(folder))
+    rows = rows.withColumn("side", F.coalesce(F.col("_side") == "true", F.lit(False)) & F.col("agent").isNull())
+    usage = F.col("_type").isin("assistant", "progress") & F.contains("line", F.lit(_MARK))
+    record = F.when(usage, F.from_json(counts_only(F.col("line")), f"STRUCT<{_RECORD}>"))
+    rows = rows.select("locator", "offset", "agent", "file_session", "side", "_session", record.alias("r"), F.when(F.col("side"), F.substring(F.sha2("line", 256), 1, 16)).alias("_line"))
     w = Window.partitionBy("locator").orderBy("offset")
-    rows = rows.withColumn("side", side).withColumn("_start", F.col("side") & ~F.coalesce(F.lag("side").over(w), F.lit(False)))
-    rows = rows.withColumn("_run", F.sum(F.col("_start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    digest = F.when(F.col("_start"), F.substring(F.sha2("line", 256), 1, 16))
-    rows = rows.withColumn("_digest", F.first(digest, ignorenulls=True).over(Window.partitionBy("locator", "_run").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_start", F.col("side") & ~F.coalesce(F.lag("side").over(w), F.lit(False)))
+    # a run goes by the digest of the line that it begins with, which holds until the next run
+    rows = rows.withColumn("_digest", F.last(F.when(F.col("_start"), F.col("_line")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # the session that lines of a subagent name holds for the lines after them
+    rows = carry_forward(rows, ["locator"], ["offset"], F.col("_session"), "_named", inclusive=True)
     own = F.when(F.col("agent").isNotNull(), F.concat_ws("/", "file_session", "agent")).when(F.col("side"), F.concat_ws("/", "file_session", F.concat(F.lit("inline-"), "_digest"))).otherwise(F.col("file_session"))
-    return rows.withColumn("thread", own).drop("_start", "_run", "_digest")
+    return rows.withColumn("thread", own).drop("_start", "_digest", "_line", "_session")
 
 
 def records(lines: DataFrame) -> DataFrame:
     """One row for each usage-bearing record, nested ones marked as forced copies; with the session that the record names."""
-    parsed = located(lines).withColumn("r", F.from_json(counts_only(F.col("line")), f"STRUCT<{_RECORD}>")).drop("line")
-    # the session that lines of a subagent name holds for the lines after them
-    parsed = carry_forward(parsed, ["locator"], ["offset"], F.col("r.sessionId"), "_named", inclusive=True)
+    parsed = located(lines)
     nested = F.col("r.type") == "progress"
     body = F.when(nested, F.col("r.data.message")).otherwise(F.struct(*(F.col(f"r.{c.split(':')[0].strip()}") for c in [*_FIELDS.split(", "), "message:"])))
     rows = parsed.filter("r.type IN ('assistant', 'progress')").withColumn("nested", nested).withColumn("b", body)
