@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.operators import joins
+
 
 def stored(df: DataFrame) -> DataFrame:
     """The same rows from the cluster's checkpoint folder; a folder of our own only where none is named."""
@@ -23,21 +25,27 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, root) of every node of the edges; the root is the smallest node that links reach.
 
     Alternates two steps until nothing changes: larger neighbours move to a node's smallest neighbour, then
-    smaller ones do. Chains at least halve in every round, so rounds grow with the logarithm of the longest path.
+    smaller ones do. Chains at least halve in every round, so rounds grow with the logarithm of the longest path. A round whose nodes
+    have many neighbours deals those of each over tasks; what meets in the second step is never more than what met in the first.
     """
     pair = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
     alone = edges.filter(F.col(a) == F.col(b)).select(F.col(a).alias("node"))
     links, before = stored(pair.filter("hi <> lo").distinct()), None
     while True:
-        mark = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("s")).first()
+        around = links.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(links.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
+        each = around.groupBy("n").agg(F.count("*").alias("d"), F.sum(F.xxhash64("n", "m").cast("decimal(38,0)")).alias("s"))
+        mark = each.agg(F.sum("d"), F.sum("s"), F.max("d").alias("most")).first()
         if mark == before:
             break
-        before = mark
-        around = links.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(links.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
+        before, hot = mark, (mark["most"] or 0) >= joins.HOT
         least = around.groupBy("n").agg(F.min("m").alias("least")).select("n", F.least("n", "least").alias("least"))
-        outer = around.join(least, "n").filter("m > n").select(F.col("m").alias("hi"), F.col("least").alias("lo")).distinct()
+        larger = around.filter("m > n")
+        met = joins.dealt_join(larger, least, ["n"], F.xxhash64("m")) if hot else larger.join(least, "n")
+        outer = met.select(F.col("m").alias("hi"), F.col("least").alias("lo")).distinct()
+        outer = stored(outer) if hot else outer  # counted before it is dealt
         root = outer.groupBy("hi").agg(F.min("lo").alias("root"))
-        inner = outer.join(root, "hi").filter("lo <> root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
+        met = joins.dealt_join(outer, root, ["hi"], F.xxhash64("lo")) if hot else outer.join(root, "hi")
+        inner = met.filter("lo <> root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
         links = stored(inner.unionByName(root.select("hi", F.col("root").alias("lo"))).distinct())
     found = links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     roots = found.select(F.col("root").alias("node"), "root").distinct()
