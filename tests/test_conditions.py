@@ -74,3 +74,18 @@ def test_thread_sources(spark):
     sources = spark.createDataFrame([("s1", "x", ["a", "a.gz"]), ("s2", "n1/y", ["b"]), ("s3", "n3/deep/z", ["c"]), ("s4", "n4", ["d"]), ("s5", None, ["e"])], "source string, locator string, paths array<string>")
     got = sorted(tuple(r) for r in selection.thread_sources(evidence, located, sources).collect())
     assert got == [("t1", "a"), ("t1", "a.gz"), ("t1", "b"), ("t2", "b"), ("t3", "c")]
+
+
+def test_defaults_of_commands(read):  # noqa: F811
+    names = {"claude": "ONE", "codex": "TWO"}
+    ids = lambda chosen: None if chosen is None else {r["id"] for r in chosen.collect()}
+    assert ledger.choice(read, "daily") is None and ledger.choice(read, "sessions") is None and ledger.choice(read, "report", given=True) is None
+    with pytest.raises(selection.UnknownSelector):
+        ledger.choice(read, "report")
+    with pytest.raises(ValueError):
+        ledger.choice(read, "weekly")
+    own = ids(ledger.choice(read, "report", environment={"ONE": "one"}, variables=names))
+    assert own == ids(ledger.choice(read, "daily", ["one"])) == ids(ledger.choice(read, "daily", current=True, environment={"ONE": "one"}, variables=names)) and "one" in own and len(own) > 1
+    assert ids(ledger.choice(read, "report", ["one"], scope="self")) == {"one"}
+    assert ids(ledger.choice(read, "report", ["two"], current=True, environment={"ONE": "three"}, variables=names)) == set()
+    assert ids(ledger.choice(read, "report", ["three"], everything=True)) == {"three"}

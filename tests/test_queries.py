@@ -222,3 +222,28 @@ def test_hooks(spark):
     for text in ("{", "[]", '{"session_id": 1, "transcript_path": "x"}', '{"session_id": "s1"}', '{"session_id": "s1", "transcript_path": 3}'):
         with pytest.raises(ValueError):
             selection.hook_input(text)
+
+
+def test_fnv_of_texts(spark):
+    known = {"": "cbf29ce484222325", "a": "af63dc4c8601ec8c", "foobar": "85944171f73967e8"}
+
+    def plainly(text):
+        h = 0xCBF29CE484222325
+        for b in text.encode():
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        return f"{h:016x}"
+
+    texts = [*known, "é😀", "x" * 300, None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(identity.fnv64(F.col("t"))).collect()]
+    assert got == [*known.values(), plainly("é😀"), plainly("x" * 300), None]
+
+
+def test_counts_that_stop_or_fail(spark):
+    most = measures.MOST
+    rows = spark.createDataFrame([("a", most), ("a", most), ("b", 7), ("b", None), ("c", None)], "g string, n long")
+    got = {r["g"]: r["s"] for r in rows.groupBy("g").agg(measures.saturating_sum(F.col("n")).alias("s")).collect()}
+    assert got == {"a": most, "b": 7, "c": None}
+    with pytest.raises(Exception, match="(?i)overflow"):
+        rows.groupBy("g").agg(F.sum("n")).collect()
+    assert [r[0] for r in spark.range(0, 8).select(measures.ceil_div(F.col("id"), 3)).collect()] == [0, 1, 1, 1, 2, 2, 2, 3]
+    assert spark.range(1).select(measures.ceil_div(F.lit(most), 100)).first()[0] == -(-most // 100)

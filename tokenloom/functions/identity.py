@@ -35,3 +35,21 @@ def analytical_id(prefix: str, kind: str, *parts: Column) -> Column:
 
 def check_bits(prefix: str, kind: str, *parts: Column) -> Column:
     return F.substring(digest_hex(prefix, kind, *parts), 33, 16)
+
+
+# Where the 64-bit FNV-1a hash begins, and its prime.
+_FNV_START, _FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+
+
+def fnv64(text: Column) -> Column:
+    """The 64-bit FNV-1a hash of a text's UTF-8 bytes as 16 hex digits; for short texts, as every byte is a step. Null stays null."""
+    number = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+
+    def step(h: Column, byte: Column) -> Column:
+        low = F.pmod(h, number(256))
+        mixed = h - low + low.cast("int").bitwiseXOR(byte).cast("decimal(20,0)")
+        return F.pmod(mixed.cast("decimal(20,0)") * F.lit(str(_FNV_PRIME)).cast("decimal(13,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)")
+
+    pairs = F.regexp_extract_all(F.hex(text.cast("binary")), F.lit("([0-9A-F]{2})"), F.lit(1))
+    hashed = F.aggregate(F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("int")), number(_FNV_START), step)
+    return F.lower(F.lpad(F.conv(hashed.cast("string"), 10, 16), 16, "0"))

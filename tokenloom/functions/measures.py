@@ -59,3 +59,24 @@ def whole_number(value: Column) -> Column:
 def counts_only(line: Column) -> Column:
     """A JSON line in which text in place of a count is null: a parser of decimals would take it for a number."""
     return F.regexp_replace(line, r'"([a-z0-9_]+_tokens|apiBlockIndex|ordinal)"\s*:\s*"[^"\\]*"', '"$1":null')
+
+
+MOST = (1 << 63) - 1
+
+
+def saturating(total: Column) -> Column:
+    """A sum of counts that stops at the largest count instead of failing; sums of counts as decimals never overflow on the way."""
+    return F.when(total.isNotNull(), F.least(total, F.lit(MOST).cast("decimal(38,0)"))).cast("long")
+
+
+def saturating_sum(count: Column) -> Column:
+    """The sum over a group's known counts, the largest count where it is above that; null if none is known."""
+    return saturating(F.sum(count.cast("decimal(20,0)")))
+
+
+def ceil_div(count: Column, by: int) -> Column:
+    """A count divided and rounded up, in whole numbers."""
+    if by < 1:
+        raise ValueError(f"division by {by}")
+    whole = F.call_function("div", count, F.lit(by)).cast("long")
+    return whole + F.when(count > whole * by, 1).otherwise(0)

@@ -198,6 +198,25 @@ def covered(ledger: Ledger, sessions: list[str], everything: bool = False, agent
     return selection.covered(ledger.threads, edges, [selection.any_of(named)] if named else [], everything or not named, agents, scope)
 
 
+def choice(ledger: Ledger, command: str, sessions: list[str] = (), everything: bool = False, current: bool = False, given: bool = False, environment: Mapping[str, str] | None = None, variables: Mapping[str, str] | None = None, scope: str | None = None) -> DataFrame | None:
+    """The threads that a command covers if it is told this much, for the functions named `daily`, `sessions` and `report`; None for all of them.
+
+    Without a choice, `daily` and `sessions` cover everything, and so does `report` where sources were given (`given`), else the session the process runs in, as
+    the environment names it (variables: each agent's name for it). Named sessions and the current one intersect.
+    """
+    if command not in ("report", "daily", "sessions"):
+        raise ValueError(command)
+    chosen = bool(sessions) or everything or current
+    if everything or not chosen and (given or command != "report"):
+        return covered(ledger, list(sessions), everything=True, scope=scope) if sessions or scope else None
+    names = list(sessions)
+    parts = [covered(ledger, names, scope=scope)] if names else []
+    if current or not chosen:
+        agent, own = selection.current_session(dict(environment or {}), dict(variables or {}))
+        parts.append(covered(ledger, [own], agents=(agent,), scope=scope))
+    return selection.select(parts)
+
+
 def within(ledger: Ledger, since: datetime | None = None, until: datetime | None = None, where: Column | None = None) -> Ledger:
     """The ledger with the requests last seen in a half-open interval, and for which a condition on them is true. Threads, gaps and logs have no instant and stay."""
     rows = ledger.requests.filter(conditions.during(F.col("last_seen"), since, until))
