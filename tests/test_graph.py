@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.operators import graph, joins
+from tokenloom.operators import graph, joins, reconcile
 
 
 def union_find(pairs):
@@ -56,3 +56,36 @@ def test_a_hub_is_dealt_over_tasks(spark, monkeypatch):
 
 def test_no_edges(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_together_store_a_few_times_the_links(spark, monkeypatch):
+    rows = []
+    for name in ("stored", "written"):
+        keep = getattr(graph, name, None)
+        monkeypatch.setattr(graph, name, lambda df, keep=keep: (out := keep(df), rows.append(out.count()))[0], raising=False)
+    names = random.Random(5).sample(range(10**6), 4000)
+    chain = [(f"n{a}", f"n{b}") for a, b in zip(names, names[1:], strict=False)]
+    got = {r["node"]: r["root"] for r in graph.connected_components(spark.createDataFrame(chain, "a string, b string")).collect()}
+    assert got == dict.fromkeys(got, min(got)) and len(got) == 4000
+    assert sum(rows) < 8 * 4000  # links and nodes of all rounds, and the two lists of names
+
+
+def test_numbers_that_clash_are_drawn_anew(spark, monkeypatch):
+    right, salts = graph.hashed, []
+    monkeypatch.setattr(graph, "hashed", lambda node, salt: (salts.append(salt), F.pmod(right(node, 0), F.lit(50)) if salt < 2 else right(node, salt))[1])
+    pairs = [(f"a{i}", f"a{i // 2}") for i in range(100)] + [(f"b{i}", f"b{i // 3}") for i in range(100)] + [("c", "c")]
+    edges = spark.createDataFrame([*pairs, (None, "a1"), ("d", None), (None, None)], "a string, b string")
+    got = {r["node"]: r["root"] for r in graph.connected_components(edges).collect()}
+    assert got == union_find(pairs) and set(salts) == {0, 1, 2}
+
+
+@pytest.mark.parametrize("hot", [20, 10_000])
+def test_sets_by_keys_that_few_or_many_share(spark, monkeypatch, hot):
+    monkeypatch.setattr(joins, "HOT", hot)
+    rows = [(i, [f"x{i % 3}", None, f"y{i}"]) for i in range(300)] + [(i, [f"z{i}", f"z{i + 1}", f"z{i}"]) for i in range(300, 400)]
+    rows += [(400, ["y7", "z300"]), (401, []), (402, [None]), (403, None), (404, ["alone"]), (404, ["alone"]), (405, ["alone"])]
+    keyed = [(i, [k for k in keys or [] if k] or [f"local:{i}"]) for i, keys in rows]
+    root = union_find([(keys[0], k) for _, keys in keyed for k in keys])
+    got = reconcile.linked_sets(spark.createDataFrame(rows, "id int, keys array<string>"), "id", "keys")
+    assert got.columns == ["id", "set_id"]
+    assert sorted(map(tuple, got.collect())) == sorted((i, root[keys[0]]) for i, keys in keyed)

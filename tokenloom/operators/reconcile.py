@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.keys import canonical
-from tokenloom.operators.graph import connected_components
+from tokenloom.operators.graph import numbering, representatives, with_roots, written
+from tokenloom.operators.joins import dealt_join
 
 
 def dedupe_rereads(rows: DataFrame, place: list[str]) -> DataFrame:
@@ -20,16 +21,19 @@ def dedupe_rereads(rows: DataFrame, place: list[str]) -> DataFrame:
 def linked_sets(observations: DataFrame, key: str, keys: str) -> DataFrame:
     """(key, set_id) of observations that share any of their keys (an array column), however indirectly.
 
-    Each observation links its first key to the others, so a key that many share costs one edge for each of them.
+    Each observation links its first key to the others, so a key that many share costs one edge for each of them. Links are between
+    numbers of keys; the smallest key of a set, which names it, is the first of one of its observations.
     An observation without keys is a set by itself, under a key made of its own.
     """
     known = F.array_compact(keys)
     own = F.array(F.concat(F.lit("local:"), F.col(key).cast("string")))
-    observations = observations.select(key, F.when(F.size(known) > 0, known.cast("array<string>")).otherwise(own).alias(keys))
-    first = F.array_min(keys)
-    edges = observations.select(first.alias("a"), F.explode(keys).alias("b")).distinct()
-    roots = connected_components(edges)
-    return observations.select(key, first.alias("node")).join(roots, "node").select(key, F.col("root").alias("set_id"))
+    rows = observations.select(F.col(key).alias("key"), F.array_distinct(F.when(F.size(known) > 0, known.cast("array<string>")).otherwise(own)).alias("keys"))
+    rows = written(rows.withColumn("first", F.array_min("keys"))).filter("first IS NOT NULL")  # before that, the filter would make the keys again
+    number = numbering(rows.select(F.explode("keys").alias("node")))
+    named = rows.select("key", "first", number(F.col("first")).alias("node"))
+    links = rows.filter(F.size("keys") > 1).select(number(F.col("first")).alias("a"), F.explode(F.transform("keys", number)).alias("b"))
+    found = dealt_join(named, representatives(links), ["node"], F.xxhash64("key"), "left").select("key", "first", "rep")
+    return with_roots(found, "first").select(F.col("key").alias(key), F.col("root").alias("set_id"))
 
 
 def identified(rows: DataFrame, by: list[str], keys: str) -> DataFrame:

@@ -155,9 +155,9 @@ def linked_sets_events(spark, d):
     user = F.col("user_id").cast("string")
     hour = F.concat(F.lit("h"), user, F.lit("/"), F.date_trunc("hour", "ts").cast("string"))
     k = F.concat(F.lit("k"), user, F.lit("/"), F.get_json_object("props", "$.k"))
-    keys = F.array_compact(F.array(hour, k))
-    alone = F.array(F.concat(F.lit("e"), F.col("event_id").cast("string")))
-    rows = read(spark, d, "events").select(F.col("event_id").alias("observation"), F.when(F.size(keys) > 0, keys).otherwise(alone).alias("keys"))
+    alone = F.array(F.concat(F.lit("e"), F.col("observation").cast("string")))
+    rows = read(spark, d, "events").select(F.col("event_id").alias("observation"), F.array_compact(F.array(hour, k)).alias("keys"))
+    rows = rows.withColumn("keys", F.when(F.size("keys") > 0, F.col("keys")).otherwise(alone))  # the keys are made once
     return reconcile.linked_sets(rows, "observation", "keys")
 
 
