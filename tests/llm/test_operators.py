@@ -8,6 +8,7 @@ import zlib
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -117,6 +118,30 @@ def test_one_index_serves_several_benchmarks(spark):
         assert {r["_key"] for r in decontaminate.search_index(index, items).collect() if r["items"]} == want
 
 
+def _group_bytes(index):
+    """Bytes of each row group of a written table."""
+    written = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(i) for m in written for i in range(m.num_row_groups)]
+    return [sum(g.column(c).total_compressed_size for c in range(g.num_columns)) for g in groups]
+
+
+def _long_texts(spark, n):
+    """n texts in one partition, each a segment of its own; text 7 ends with a passage."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(130_000)), lambda i: F.hex(F.xxhash64("doc_id", i)))
+    passage = F.when(F.col("doc_id") == 7, " alpha beta gamma delta").otherwise("")
+    return spark.range(0, n, 1, 1).toDF("doc_id").withColumn("text", F.concat(F.array_join(words, " "), passage))
+
+
+def test_benchmark_stage_holds_a_few_segments_at_once(spark, monkeypatch):
+    """Readers decode a row group of arrays at once: those of the stage's index don't grow with the task's part."""
+    sizes, discard = [], decontaminate.discard
+    monkeypatch.setattr(decontaminate, "discard", lambda *stored: (sizes.extend(_group_bytes(stored[0])), discard(*stored)))
+    items = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(_long_texts(spark, 12), items).select("doc_id").collect()}
+    assert kept == set(range(12)) - {7}
+    assert sum(sizes) > 2 * 8_000_000 and max(sizes) < 1.5 * 8_000_000
+
+
 def test_secrets_against_patterns(spark):
     texts = [t for _, t, *_ in T.ROWS] + [t for (t,) in T.sample_rows("documents", "text")]
     for text in texts:

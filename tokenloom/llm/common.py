@@ -48,10 +48,15 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, kind: str = "run") -> DataFrame:
-    """The rows as a written table in the shared folder."""
+def store(df: DataFrame, kind: str = "run", group_bytes: int | None = None) -> DataFrame:
+    """The rows as a written table in the shared folder.
+
+    Where rows are large, group_bytes bounds what a task holds of them: a writer holds a row group, and a reader of arrays
+    decodes up to one at once. Sizes are looked at from the first row on, by default only after 100 rows.
+    """
     path = new_folder(df.sparkSession, kind)
-    df.write.option("compression", "zstd").parquet(path)
+    sized = {"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1} if group_bytes else {}
+    df.write.options(compression="zstd", **sized).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -34,6 +34,8 @@ from tokenloom.llm.common import boxed, discard, filled, mark_of, may_hold, read
 WINDOW = 10
 #: Characters of benchmark text that go to the tasks at once, and bytes of documents that one index segment holds.
 BLOCK_CHARS, SEGMENT_BYTES = 16_000_000, 2_000_000
+#: Bytes of a row group of the index, a few segments: so much of it a task writes or decodes at once, however long its part.
+GROUP_BYTES = 8_000_000
 
 #: Bytes under 0x80 that aren't letters or digits part words; A-Z become a-z.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -123,7 +125,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", mark:
     """The written index: one row for each segment, with its documents (keys, marks) and the postings of its terms."""
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(f"`{key}`"), F.lit("") if mark is None else mark, F.col(f"`{text}`"))
-    return store(rows.mapInArrow(_segment_rows, f"keys array<{kind}>, marks array<string>, {POSTINGS}"), "index")
+    return store(rows.mapInArrow(_segment_rows, f"keys array<{kind}>, marks array<string>, {POSTINGS}"), "index", GROUP_BYTES)
 
 
 class Segment:
