@@ -139,7 +139,21 @@ def test_benchmark_stage_holds_a_few_segments_at_once(spark, monkeypatch):
     items = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
     kept = {r["doc_id"] for r in decontaminate.drop_contaminated(_long_texts(spark, 12), items).select("doc_id").collect()}
     assert kept == set(range(12)) - {7}
-    assert sum(sizes) > 2 * 8_000_000 and max(sizes) < 1.5 * 8_000_000
+    assert len(sizes) > 1 and max(sizes) < 12_000_000
+
+
+def test_op6_holds_a_few_segments_at_once(spark, monkeypatch, tmp_path):
+    """As above by the query, where a task's part is many short texts."""
+    made, build = [], decontaminate.build_index
+    monkeypatch.setattr(decontaminate, "build_index", lambda *a: made.append(build(*a)) or made[-1])
+    words = F.transform(F.sequence(F.lit(1), F.lit(650)), lambda i: F.hex(F.xxhash64("doc_id", i)))
+    passage = F.when(F.col("doc_id") % 500 == 7, " alpha beta gamma delta").otherwise("")
+    spark.range(0, 2000, 1, 1).toDF("doc_id").withColumn("text", F.concat(F.array_join(words, " "), passage)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "beta gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in decontaminate.op6_decontamination(spark, str(tmp_path)).select("doc_id", "n_words", "n_hit", "contaminated").collect()}
+    assert got == {(i, 654, 2, True) if i % 500 == 7 else (i, 650, 0, False) for i in range(2000)}
+    sizes = _group_bytes(made[0])
+    assert len(sizes) > 1 and max(sizes) < 12_000_000
 
 
 def test_secrets_against_patterns(spark):
